@@ -1,0 +1,58 @@
+"""Partition folders of a path, through Hadoop's file system so any store works."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import SparkSession
+
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds anything a reader would see."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return False
+    return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+
+
+def partition_folders(spark: SparkSession, path: str, column: str = "dt") -> dict[str, str]:
+    """Partition value -> folder. Lists names only: one per day, no data is read."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return {}
+    found = {}
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(column + "="):
+            found[name[len(column) + 1 :]] = status.getPath().toString()
+    return found
+
+
+def parse_day(value: str) -> date | None:
+    try:
+        return date.fromisoformat(value)
+    except ValueError:
+        return None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def rename(spark: SparkSession, src: str, dst: str) -> None:
+    fs, p = _path(spark, src)
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst)):
+        raise OSError(f"cannot move {src} to {dst}")
