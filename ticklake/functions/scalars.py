@@ -15,8 +15,8 @@ YEAR_ONE_SECONDS = -62135596800
 # Label pattern of the metric text format.
 LABEL_PATTERN = '([a-zA-Z_][a-zA-Z0-9_]*)="([^"]*)"'
 
-# sign, integer digits with thousands commas, fraction, trailing sign
-_NUMBER = r"^\s*([+-]?)((?:[0-9][0-9,]*)?)(?:\.([0-9]*))?\s*([+-]?)\s*$"
+# sign, integer digits with thousands commas, eight decimals, the rest of them, trailing sign
+_NUMBER = r"^\s*([+-]?)((?:[0-9][0-9,]*)?)(?:\.([0-9]{0,8})[0-9]*)?\s*([+-]?)\s*$"
 # what nearly every message holds, and a plain cast reads without rounding
 _PLAIN_NUMBER = r"^-?[0-9]{1,28}(\.[0-9]{1,8})?$"
 
@@ -39,23 +39,15 @@ def parse_decimal(text: Column, default: Column | None = None) -> Column:
     Accepts spaces, thousands commas, a sign on either end; no exponent. Digits beyond
     the eighth decimal are cut from the text, so nothing is rounded.
     """
-    lead = F.regexp_extract(text, _NUMBER, 1)
-    whole = F.replace(F.regexp_extract(text, _NUMBER, 2), F.lit(","), F.lit(""))
-    fraction = F.regexp_extract(text, _NUMBER, 3)
-    trail = F.regexp_extract(text, _NUMBER, 4)
-    digits = F.concat(whole, F.lit("."), F.substring(fraction, 1, 8))
+    # A text that matches is rewritten as sign and digits; one that does not stays as it is.
+    # Two signs give digits that do not cast.
+    tidy = F.regexp_replace(text, _NUMBER, "=$1$4$2.$3")
+    digits = F.when(tidy != text, F.replace(F.substring(tidy, 2, 200), F.lit(","), F.lit("")))
     number = digits.try_cast("decimal(38,8)")
-    negative = (lead == "-") | (trail == "-")
-    usable = (
-        text.rlike(_NUMBER)
-        & ~((lead != "") & (trail != ""))
-        & (F.length(F.concat(whole, fraction)) > 0)
-        & (number <= F.lit(MAX_DECIMAL).cast("decimal(38,8)"))
-    )
-    fallback = F.lit(0).cast("decimal(38,8)") if default is None else default
-    lenient = F.when(usable, F.when(negative, -number).otherwise(number).cast("decimal(38,8)"))
+    lenient = F.when(F.abs(number) <= F.lit(MAX_DECIMAL).cast("decimal(38,8)"), number)
     return F.coalesce(
-        F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("decimal(38,8)")).otherwise(lenient), fallback
+        F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("decimal(38,8)")).otherwise(lenient),
+        F.lit(0).cast("decimal(38,8)") if default is None else default,
     )
 
 

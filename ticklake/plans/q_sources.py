@@ -213,10 +213,10 @@ def src10(spark, d):
 
 @query("udf01_registered_parser", v.TK + "select trade_id, ticker, 'Pipe' as exchange, cast(price as double) as price from tk")
 def udf01(spark, d):
-    def fields(parts, value):
+    def fields(parts):
         return {
-            "status": F.lit(messages.TICK),
-            "reason": F.lit(None).cast("string"),
+            "unread": F.lit(False),
+            "trade": F.lit(True),
             "trade_id": parts[0].cast("bigint"),
             "ticker": parts[1],
             "price": parts[2],

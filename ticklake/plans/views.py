@@ -66,36 +66,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_columns(events: DataFrame) -> DataFrame:
-    t = tick_columns(events)
     ms = F.unix_millis("ts")
-    price, volume = F.col("price").cast("string"), F.col("volume").cast("string")
-    trade = F.to_json(
+    text = F.to_json(
         F.struct(
-            F.lit("trade").alias("e"),
+            F.when(F.col("ticker") == "SIGNUP", "24hrTicker").otherwise("trade").alias("e"),
             ms.alias("E"),
-            F.col("ticker").alias("s"),
+            # A null field is left out of the text.
+            F.when((F.col("ticker") != "VIEW") | (F.col("exchange") == "Binance"), F.col("ticker")).alias("s"),
             F.col("trade_id").alias("t"),
-            price.alias("p"),
-            volume.alias("q"),
+            F.when(F.col("ticker") == "VIEW", "bad").otherwise(F.col("price").cast("string")).alias("p"),
+            F.col("volume").cast("string").alias("q"),
             ms.alias("T"),
             (F.col("exchange") == "Binance").alias("m"),
             F.lit(True).alias("M"),
         )
     )
-    value = (
-        F.when(F.col("ticker") == "ERROR", F.concat(F.lit("{broken "), F.col("trade_id").cast("string")))
-        .when(F.col("ticker") == "SIGNUP", F.replace(trade, F.lit('"e":"trade"'), F.lit('"e":"24hrTicker"')))
-        .when(
-            (F.col("ticker") == "VIEW") & (F.col("exchange") == "Kraken"),
-            F.replace(trade, F.lit('"s":"VIEW",'), F.lit("")),
-        )
-        .when(
-            (F.col("ticker") == "VIEW") & (F.col("exchange") == "Binance"),
-            F.regexp_replace(trade, '"p":"[^"]*",', '"p":"bad",'),
-        )
-        .otherwise(trade)
+    broken = F.concat(F.lit("{broken "), F.col("trade_id").cast("string"))
+    return tick_columns(events).select(
+        F.col("trade_id").alias("seq"), F.when(F.col("ticker") == "ERROR", broken).otherwise(text).alias("value")
     )
-    return t.select(F.col("trade_id").alias("seq"), value.alias("value"))
 
 
 # What the parser must make of them.

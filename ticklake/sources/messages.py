@@ -21,44 +21,35 @@ TICK, IGNORED, DEAD = "tick", "ignored", "dead"
 class Parser:
     """How one exchange's text becomes a tick. Both steps are expressions, never Python per row.
 
-    ``read`` turns the text into a struct, ``fields`` picks (status, reason, trade_id, ticker,
-    price, volume, ts) from that struct, price and volume still as text. Two steps, so that the
-    text is read once however many fields look at it.
+    ``read`` turns the text into a struct. ``fields`` picks from that struct: ``trade`` (is it
+    one), ``trade_id``, ``ticker``, ``price`` and ``volume`` still as text, ``ts``, and
+    ``unread`` (nothing was found, so the text may not be JSON). Two steps, so that the text
+    is read once however many fields look at it.
     """
 
     read: Callable[[Column], Column]
-    fields: Callable[[Column, Column], dict[str, Column]]
+    fields: Callable[[Column], dict[str, Column]]
 
 
-def _binance_fields(m: Column, value: Column) -> dict[str, Column]:
-    event, symbol = m["event"], m["symbol"]
-    # Only text without an event is checked for being JSON at all.
-    malformed = event.isNull() & F.try_parse_json(value).isNull()
+def _binance_fields(m: Column) -> dict[str, Column]:
     return {
-        "status": F.when(malformed, DEAD).when((event == "trade") & symbol.isNotNull(), TICK).otherwise(IGNORED),
-        "reason": F.when(malformed, "malformed")
-        .when(event.isNull() | (event != "trade"), "not_a_trade")
-        .when(symbol.isNull(), "no_symbol"),
+        "unread": m["event"].isNull(),
+        "trade": m["event"] == "trade",
         "trade_id": m["trade_id"],
-        "ticker": symbol,
+        "ticker": m["symbol"],
         "price": m["price"],
         "volume": m["quantity"],
         "ts": F.timestamp_millis(m["trade_ms"]),
     }
 
 
-def _kraken_fields(m: Column, value: Column) -> dict[str, Column]:
+def _kraken_fields(m: Column) -> dict[str, Column]:
     first = F.try_element_at(m["data"], F.lit(1))
-    trade = (m["channel"] == "trade") & (F.size(m["data"]) > 0)
-    malformed = m["channel"].isNull() & F.try_parse_json(value).isNull()
-    symbol = first["symbol"]
     return {
-        "status": F.when(malformed, DEAD).when(trade & symbol.isNotNull(), TICK).otherwise(IGNORED),
-        "reason": F.when(malformed, "malformed")
-        .when(F.coalesce(~trade, F.lit(True)), "not_a_trade")
-        .when(symbol.isNull(), "no_symbol"),
+        "unread": m["channel"].isNull(),
+        "trade": (m["channel"] == "trade") & (F.size(m["data"]) > 0),
         "trade_id": first["trade_id"].try_cast("bigint"),
-        "ticker": symbol,
+        "ticker": first["symbol"],
         "price": first["price"],
         "volume": first["qty"],
         "ts": F.try_to_timestamp(first["timestamp"]),
@@ -93,28 +84,41 @@ def parse(
     big = F.octet_length(text) > max_bytes
     # An oversized text is never read.
     raw = messages.withColumn("_raw", parser.read(F.when(~big, text)))
-    fields = parser.fields(F.col("_raw"), F.when(~big, text))
-    picked = raw.select(
-        *messages.columns, big.alias("_big"), *[c.alias(f"_{n}") for n, c in fields.items()]
-    )
+    fields = parser.fields(F.col("_raw"))
+    # Only a text in which nothing was found is checked for being JSON at all.
+    malformed = F.when(~big & fields["unread"], F.try_parse_json(text).isNull())
     missing = F.lit(None).cast("decimal(38,8)")
-    numbers = picked.withColumns(
-        {n: parse_decimal(F.col(n), missing) for n in ("_price", "_volume")}
+    numbers = {n: parse_decimal(fields[n], missing) for n in ("price", "volume")}
+    picked = raw.select(
+        *messages.columns,
+        big.alias("_big"),
+        F.coalesce(malformed, F.lit(False)).alias("_malformed"),
+        F.coalesce(fields["trade"], F.lit(False)).alias("_trade"),
+        *[numbers.get(n, fields[n]).alias(f"_{n}") for n in ("trade_id", "ticker", "price", "volume", "ts")],
     )
-    partial = F.col("_price").isNull() | F.col("_volume").isNull() | F.col("_ts").isNull()
-    partial = F.lit(strict) & (F.col("_status") == TICK) & partial
+    c = {n: F.col(f"_{n}") for n in ("big", "malformed", "trade", "trade_id", "ticker", "price", "volume", "ts")}
+    partial = c["price"].isNull() | c["volume"].isNull() | c["ts"].isNull()
+    partial = F.lit(strict) & c["trade"] & c["ticker"].isNotNull() & partial
     zero = F.lit(0).cast("decimal(18,8)")
-    return numbers.select(
+    return picked.select(
         *messages.columns,
         F.lit(exchange).alias("exchange"),
         F.struct(
-            F.when(F.col("_big") | partial, DEAD).otherwise(F.col("_status")).alias("status"),
-            F.when(F.col("_big"), "oversized").when(partial, "incomplete").otherwise(F.col("_reason")).alias("reason"),
-            F.col("_trade_id").alias("trade_id"),
-            F.col("_ticker").alias("ticker"),
-            F.coalesce(truncate_price(F.col("_price")), zero).alias("price"),
-            F.coalesce(truncate_price(F.col("_volume")), zero).alias("volume"),
-            F.coalesce("_ts", millis_to_ts(F.lit(None).cast("bigint"))).alias("ts"),
+            F.when(c["big"] | c["malformed"] | partial, DEAD)
+            .when(c["trade"] & c["ticker"].isNotNull(), TICK)
+            .otherwise(IGNORED)
+            .alias("status"),
+            F.when(c["big"], "oversized")
+            .when(c["malformed"], "malformed")
+            .when(~c["trade"], "not_a_trade")
+            .when(c["ticker"].isNull(), "no_symbol")
+            .when(partial, "incomplete")
+            .alias("reason"),
+            c["trade_id"].alias("trade_id"),
+            c["ticker"].alias("ticker"),
+            F.coalesce(truncate_price(c["price"]), zero).alias("price"),
+            F.coalesce(truncate_price(c["volume"]), zero).alias("volume"),
+            F.coalesce(c["ts"], millis_to_ts(F.lit(None).cast("bigint"))).alias("ts"),
         ).alias("m"),
     )
 
