@@ -9,41 +9,35 @@ from pyspark.sql import functions as F
 
 from ticklake.schemas import TICK_KEY
 
-BROADCAST_ROWS = 100_000
-SALTS = 64
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a side has at most ``rows`` rows. Reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
 
 
 def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 0
 ) -> DataFrame:
     """Join each left row to its entry in ``right``, which has one row per key.
 
-    A right side of checked size is broadcast. A larger one is joined by shuffle with the
-    left keys salted over ``salts`` parts and each right row repeated once per part, so a
-    key with a third of all left rows spreads over that many tasks.
+    No side is forced: adaptive execution broadcasts ``right`` when its measured size is below
+    ``spark.sql.autoBroadcastJoinThreshold``, and otherwise splits partitions that a hot left
+    key has made too large. ``salts`` spreads the left keys over that many parts by hand, with
+    each right row repeated once per part, where adaptive execution is not at work (streams).
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup keeps left rows: 'inner' or 'left'")
-    if is_small(right, rows):
-        return left.join(F.broadcast(right), list(on), how)
+    if not salts:
+        return left.join(right, list(on), how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def missing_keys(batch: DataFrame, table: DataFrame, key: Sequence[str] = TICK_KEY) -> DataFrame:
-    """Rows of the batch whose key the table does not hold yet."""
-    return batch.join(table.select(*key), list(key), "left_anti").select(*batch.columns)
+    """Rows of the batch whose key the table does not hold yet.
+
+    The table is first reduced to the keys of the batch. While the batch is small, adaptive
+    execution broadcasts its keys there, so the large table is scanned but never shuffled.
+    """
+    held = table.select(*key).join(batch.select(*key), list(key), "left_semi")
+    return batch.join(held, list(key), "left_anti").select(*batch.columns)
 
 
 def existing_keys(
@@ -58,7 +52,6 @@ def existing_keys(
     if not loose:
         return stored.join(keys.select(*key).distinct(), list(key), "left_semi")
     for c in key:
-        # Distinct values of one column: aggregated first, then broadcast only if few.
         stored = lookup(stored, keys.select(c).distinct(), [c])
     return stored.select(*key)
 

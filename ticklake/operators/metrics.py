@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticklake.functions import fill_percent
 from ticklake.operators import ordered, rates
+from ticklake.session import cut
 
 # Metrics of the runtime rather than of the pipeline.
 RUNTIME_METRICS = "^process_runtime|^target_info"
@@ -260,7 +261,7 @@ def counter_rate(
     and grew by its new value. Null where the window holds a single sample.
     """
     slot_s = max(3600, window_s)
-    stepped = ordered.previous(samples, keys, "ts", {"_prev": value}, ordered.time_chunk("ts", slot_s))
+    stepped = ordered.previous(cut(samples), keys, "ts", {"_prev": value}, ordered.time_chunk("ts", slot_s))
     grown = stepped.withColumn(
         "_grow",
         F.when(F.col("_prev").isNull(), F.lit(0)).when(F.col(value) < F.col("_prev"), F.col(value)).otherwise(
@@ -291,8 +292,8 @@ def held_for(
     ``since`` is the first sample of the unbroken run; ``firing`` is true once it is old enough.
     """
     chunk = ordered.time_chunk("ts", slot_s)
-    state = samples.withColumn("active", F.coalesce(condition, F.lit(False)))
-    before = ordered.previous(state, keys, "ts", {"_was": "active"}, chunk)
+    state = cut(samples.withColumn("active", F.coalesce(condition, F.lit(False))))
+    before = cut(ordered.previous(state, keys, "ts", {"_was": "active"}, chunk))
     starts = F.when(F.col("active") & ~F.coalesce(F.col("_was"), F.lit(False)), F.col("ts"))
     run = ordered.running_max(before, keys, ["ts"], {"_start": starts}, chunk)
     since = F.when(F.col("active"), F.col("_start"))
@@ -315,6 +316,7 @@ def evaluate_rules(
     Rules share one pass: each sample is matched with the rules of its metric, then the
     unbroken runs are followed per (rule, series).
     """
+    samples = cut(samples)
     kinds = {m for _, _, m, *_ in rules}
     plain = samples.where(F.col("metric").isin([m for m in kinds if not m.startswith("rate:")]))
     counters = samples.where(F.col("metric").isin([m[5:] for m in kinds if m.startswith("rate:")]))

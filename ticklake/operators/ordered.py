@@ -8,6 +8,9 @@ series) may hold a third of all rows. So the ordered axis is cut into chunks:
 * *sliding* operators copy the rows of the last ``width`` units of a slot into the next one,
   so every frame is complete inside its slot.
 
+Prefix operators read their input twice, once for the rows and once for the totals; callers
+whose input is more than a scan write it out first (``session.cut``).
+
 Both cut by an expression over the row itself, which gives the same chunks on every retry.
 Callers choose chunks that bound the rows in them: ``seq div n`` over a unique number holds
 at most n rows; a time slot holds at most slot / resolution rows per group once the rows are

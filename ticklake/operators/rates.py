@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklake.operators import ordered
+from ticklake.session import cut
 
 MAX_WINDOW_S = 60
 
@@ -54,7 +55,7 @@ def deltas(
 ) -> DataFrame:
     """Difference to the sample before, with seconds between them; null on the first sample."""
     out = ordered.previous(
-        samples, keys, "ts", {"_v": value, "_t": "ts"}, ordered.time_chunk("ts", slot_s)
+        cut(samples), keys, "ts", {"_v": value, "_t": "ts"}, ordered.time_chunk("ts", slot_s)
     )
     return out.select(
         *samples.columns,
@@ -76,9 +77,8 @@ def health_deltas(health: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Drops count from the highest estimate seen so far, so a fall and recovery adds nothing.
     """
     slot = ordered.time_chunk("ts", 3600)
-    step = ordered.previous(health, keys, "ts", {"_b": "backlog"}, slot)
-    peak = ordered.running_max(step, keys, ["ts"], {"_peak": F.col("dropped")}, slot)
-    top = ordered.previous(peak, keys, "ts", {"_before": "_peak"}, slot)
+    peak = ordered.running_max(cut(health), keys, ["ts"], {"_peak": F.col("dropped")}, slot)
+    top = ordered.previous(cut(peak), keys, "ts", {"_b": "backlog", "_before": "_peak"}, slot)
     zero = F.lit(0)
     backlog = F.col("backlog") - F.coalesce("_b", zero)
     drops = F.greatest(F.col("dropped") - F.greatest(F.coalesce("_before", zero), zero), zero)

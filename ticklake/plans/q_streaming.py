@@ -8,6 +8,7 @@ from ticklake.plans import views as v
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
 from ticklake.plans.registry import query
 from ticklake.session import scratch
+from ticklake.sinks.files import order_by_name
 from ticklake.sources import messages
 from ticklake.sources.tables import read_ticks
 from ticklake.streaming import candles as sc
@@ -19,9 +20,10 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def split_files(spark, df, label, order, files=4):
-    """A folder of files whose order follows ``order``, so that a stream reads several batches."""
+    """A folder of files that a stream reads one by one, in the order of ``order``."""
     path = scratch(spark, label)
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    order_by_name(spark, path)
     return path
 
 
@@ -65,10 +67,14 @@ def str01(spark, d):
     return sc.read_merged(spark, path)
 
 
-# All files but the order of reading are fixed, so only what the last watermark closed is certain.
-@query("str02_closed_candles")
+# Files come in order, so nothing is late: out come the candles that end before the last watermark.
+@query(
+    "str02_closed_candles",
+    v.TK + CANDLE_SQL + CANDLE_OUT
+    + " where end_time <= (select date_trunc('milliseconds', max(ts)) from tk) - interval 2 hour",
+)
 def str02(spark, d):
-    return drain(sc.closed_candles(tick_stream(spark, d, "str02-in"), 3600, "31 days"), spark, "str02")
+    return drain(sc.closed_candles(tick_stream(spark, d, "str02-in"), 3600, "2 hours"), spark, "str02")
 
 
 @query(
@@ -96,7 +102,7 @@ def str03(spark, d):
 @query("str04_final_flush", v.TK + CANDLE_SQL + CANDLE_OUT)
 def str04(spark, d):
     # Closed candles of the stream plus the candles still open at its end are all candles.
-    out = drain(sc.closed_candles(tick_stream(spark, d, "str04-in"), 3600, "31 days"), spark, "str04")
+    out = drain(sc.closed_candles(tick_stream(spark, d, "str04-in"), 3600, "2 hours"), spark, "str04")
     return out.unionByName(sc.open_candles(v.ticks(spark, d), out, 3600))
 
 
@@ -126,7 +132,7 @@ def str06(spark, d):
 @query("str06_fifo_stream_small")
 def str06_small(spark, d):
     _rocksdb(spark)
-    out = drain(sd.fifo(arrival_stream(spark, d, "str06s-in"), size=20, shards=4, by="ticker"), spark, "str06s")
+    out = drain(sd.fifo(arrival_stream(spark, d, "str06s-in"), size=3, shards=4, by="ticker"), spark, "str06s")
     return out.select("trade_id", "ticker", "exchange", "ts", "shard")
 
 

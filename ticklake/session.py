@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,6 +23,8 @@ def local_session(cores: str = "8", app: str = "ticklake", **conf: str) -> Spark
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        # No call-site capture for every Column call: it costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )
@@ -58,6 +60,29 @@ def scratch_base(spark: SparkSession) -> str:
     return _local_base
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared scratch folder."""
+    return f"{scratch_base(spark).rstrip('/')}/ticklake-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared scratch folder."""
-    return f"{scratch_base(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the scratch folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write a frame to the shared scratch folder and go on from the files.
+
+    For frames that a query needs more than once: the plan above runs a single time, later
+    steps read only the columns they use, and a lost executor costs a re-read, not a re-run.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

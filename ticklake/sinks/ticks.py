@@ -13,7 +13,7 @@ from ticklake.functions import parse_decimal, truncate_price, uuid7
 from ticklake.operators.dedup import first_arrival
 from ticklake.operators.joins import missing_keys
 from ticklake.schemas import RAW_TICK, TICK_KEY
-from ticklake.session import scratch
+from ticklake.session import cut, scratch
 from ticklake.sinks import files
 from ticklake.sources.tables import read_ticks
 
@@ -74,8 +74,9 @@ def new_rows(
 ) -> DataFrame:
     """First arrival of each key that the table at ``path`` does not hold yet.
 
-    Copies inside the batch collapse before anything is joined, the table side is pruned to
-    the days of the batch, and only its three key columns are read.
+    Copies inside the batch collapse before anything is joined; the result is staged, because
+    three steps read it. Of the table only the days of the batch and the three key columns
+    are read.
     """
     complete = ticks.where(
         F.col("ticker").isNotNull() & F.col("exchange").isNotNull() & F.col("ts").isNotNull()
@@ -83,8 +84,8 @@ def new_rows(
     batch = to_rows(first_arrival(complete), received_at)
     if not files.has_data(spark, path):
         return batch
-    days = _days(complete.select(F.to_date(F.col("ts").cast("timestamp")).alias("dt")))
-    return missing_keys(batch, _of_days(read_ticks(spark, path), days))
+    batch = cut(batch, "batch")
+    return missing_keys(batch, _of_days(read_ticks(spark, path), _days(batch)))
 
 
 def insert_ignore(

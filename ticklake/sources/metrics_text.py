@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.functions import label_map, metric_value, normalise_value_text
@@ -11,8 +11,9 @@ from ticklake.schemas import METRIC_CSV
 
 # name, optional {labels}, value
 _SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([+\-]?(?:[0-9.eE+\-]+|NaN|[iI]nf))\s*$"
-_DIRECTIVE = r"^#\s*(?i:(HELP|TYPE))\s+(\S+)(?:\s+(.*))?$"
 _HISTOGRAM_SUFFIX = "_(bucket|sum|count)$"
+# A character that no metric text contains, to carry the three parts of one match.
+_MARK = "\x01"
 
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
@@ -23,68 +24,74 @@ def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_lines(lines: DataFrame, scrape: str = "scrape") -> DataFrame:
-    """All lines with their kind: help, type, sample, blank, comment or dead."""
-    text = F.trim("line")
-    head = F.upper(F.regexp_extract(text, _DIRECTIVE, 1))
-    kind = (
-        F.when(text == "", "blank")
-        .when(text.startswith("#") & (head == "HELP"), "help")
-        .when(text.startswith("#") & (head == "TYPE"), "type")
-        .when(text.startswith("#"), "comment")
-        .when(text.rlike(_SAMPLE), "sample")
-        .otherwise("dead")
+def _directives(lines: DataFrame) -> DataFrame:
+    """Lines that start with # as kind help, type or comment, with metric name and text."""
+    parts = F.split(F.trim("line"), " +", 4)
+    word, size = F.upper(parts[1]), F.size(parts)
+    kind = F.when((size >= 3) & (word == "HELP"), "help").when((size >= 3) & (word == "TYPE"), "type")
+    rows = lines.where(F.trim("line").startswith("#")).select(
+        *lines.columns, F.coalesce(kind, F.lit("comment")).alias("kind"), parts.alias("_p")
+    )
+    told = F.col("kind") != "comment"
+    return rows.select(
+        *lines.columns,
+        "kind",
+        F.when(told, F.col("_p")[2]).alias("metric"),
+        F.when(told, F.coalesce(F.try_element_at("_p", F.lit(4)), F.lit(""))).alias("about"),
     )
-    name = F.when(
-        kind.isin("help", "type"), F.regexp_extract(text, _DIRECTIVE, 2)
-    ).when(kind == "sample", F.regexp_extract(text, _SAMPLE, 1))
-    return lines.select(
+
+
+def _samples(lines: DataFrame) -> DataFrame:
+    """All other lines as kind sample, blank or dead; one regex pass per line."""
+    text = F.trim("line")
+    marked = F.regexp_replace(text, _SAMPLE, f"$1{_MARK}$2{_MARK}$3")
+    rows = lines.where(~text.startswith("#")).select(*lines.columns, F.split(marked, _MARK).alias("_p"))
+    hit = F.size("_p") == 3
+    return rows.select(
         *lines.columns,
-        kind.alias("kind"),
-        name.alias("metric"),
-        F.when(kind.isin("help", "type"), F.trim(F.regexp_extract(text, _DIRECTIVE, 3))).alias("about"),
-        F.when(kind == "sample", F.regexp_extract(text, _SAMPLE, 2)).alias("labels"),
-        F.when(kind == "sample", normalise_value_text(F.regexp_extract(text, _SAMPLE, 3))).alias("value"),
+        F.when(hit, "sample").when(F.col("_p")[0] == "", "blank").otherwise("dead").alias("kind"),
+        F.when(hit, F.col("_p")[0]).alias("metric"),
+        F.when(hit, F.col("_p")[1]).alias("labels"),
+        F.when(hit, normalise_value_text(F.col("_p")[2])).alias("value"),
     )
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """All lines with their kind: help, type, comment, sample, blank or dead (not readable)."""
+    return _directives(lines).unionByName(_samples(lines), allowMissingColumns=True)
+
+
 def samples(lines: DataFrame, scrape: str = "scrape", strict_name: bool = False) -> DataFrame:
     """Samples with the type and help text that their scrape gives for the metric.
 
     The last directive of a name wins. ``_bucket``, ``_sum`` and ``_count`` rows take the text
     of their histogram unless ``strict_name`` asks for the full name only.
     """
-    parsed = parse_lines(lines, scrape)
-    found = parsed.where(F.col("kind") == "sample").drop("kind", "about")
+    found = _samples(lines).where(F.col("kind") == "sample").drop("kind")
+    stem = F.regexp_replace("metric", _HISTOGRAM_SUFFIX, "").alias("_stem")
+    kinds = {
+        name: F.max_by(F.when(F.col("kind") == k, F.col("about")), F.when(F.col("kind") == k, F.col("line_no")))
+        for name, k in (("type", "type"), ("description", "help"))
+    }
     about = (
-        parsed.where(F.col("kind").isin("help", "type"))
-        .groupBy(scrape, F.col("metric").alias("_name"))
-        .agg(
-            F.max_by(F.when(F.col("kind") == "type", F.col("about")),
-                     F.when(F.col("kind") == "type", F.col("line_no"))).alias("type"),
-            F.max_by(F.when(F.col("kind") == "help", F.col("about")),
-                     F.when(F.col("kind") == "help", F.col("line_no"))).alias("description"),
-        )
-    )
-    if strict_name:
-        out = lookup(found.withColumn("_name", F.col("metric")), about, [scrape, "_name"], "left")
-        return _filled(out)
-    stem = F.regexp_replace("metric", _HISTOGRAM_SUFFIX, "")
-    # The full name is looked up first: a counter may itself end in _count.
-    exact = lookup(found.withColumn("_name", F.col("metric")), about, [scrape, "_name"], "left").drop("_name")
-    family = about.withColumnsRenamed({"type": "_ftype", "description": "_fdesc"})
-    both = lookup(exact.withColumn("_name", stem), family, [scrape, "_name"], "left")
-    return _filled(
-        both.withColumn("type", F.coalesce("type", "_ftype"))
-        .withColumn("description", F.coalesce("description", "_fdesc"))
-        .drop("_ftype", "_fdesc")
+        _directives(lines)
+        .where(F.col("kind") != "comment")
+        .groupBy(scrape, "metric")
+        .agg(*[e.alias(n) for n, e in kinds.items()])
+        # At most four names share a stem: itself and the three suffixes.
+        .groupBy(scrape, stem)
+        .agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("type", "description")))).alias("_about"))
     )
+    joined = lookup(found.withColumn("_stem", stem), about, [scrape, "_stem"], "left")
+    own = F.try_element_at("_about", F.col("metric"))
+    family = F.try_element_at("_about", F.col("_stem"))
+    out = joined.select(*found.columns, own.alias("_own"), family.alias("_family"))
 
+    def told(name: str) -> Column:
+        texts = [F.col("_own")[name]] + ([] if strict_name else [F.col("_family")[name]])
+        return F.coalesce(*texts, F.lit("")).alias(name)
 
-def _filled(df: DataFrame) -> DataFrame:
-    return df.drop("_name").withColumn("type", F.coalesce("type", F.lit(""))).withColumn(
-        "description", F.coalesce("description", F.lit(""))
-    )
+    return out.select(*found.columns, told("type"), told("description"))
 
 
 def typed(rows: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticklake.operators.candles import ohlcv
-from ticklake.schemas import TICK
+from ticklake.schemas import RAW_TICK, TICK
 from ticklake.sinks import files
 from ticklake.sinks.candles import Sink, write_batch
-from ticklake.sinks.ticks import insert_ignore, new_rows
+from ticklake.sinks.ticks import append, insert_ignore, new_rows
 from ticklake.sources.messages import dead_letters, parse, ticks
 
 
@@ -63,11 +63,15 @@ class Ingest:
             dead_letters(parsed).write.mode("overwrite").parquet(f"{self.dead_path}/batch_id={batch_id}")
             found = ticks(parsed, self.seq)
             stage = f"{self.staging}/batch_id={batch_id}"
-            if not files.exists(spark, f"{stage}/_SUCCESS"):
-                fresh = new_rows(spark, found, self.tick_path)
-                fresh.select(*TICK.names).write.mode("overwrite").parquet(stage)
-            staged = spark.read.schema(TICK).parquet(stage)
-            insert_ignore(spark, staged, self.tick_path)
+            replay = files.exists(spark, f"{stage}/_SUCCESS")
+            if not replay:
+                new_rows(spark, found, self.tick_path).write.mode("overwrite").parquet(stage)
+            staged = spark.read.schema(RAW_TICK).parquet(stage)
+            if replay:
+                # Some of these rows may have reached the table before the failure.
+                insert_ignore(spark, staged.select(*TICK.names), self.tick_path)
+            else:
+                append(staged, self.tick_path)
             source = staged if self.candles_from == "deduped" else found
             self.candle_sink(ohlcv(source, self.interval_s), batch_id)
             # The batch before this one is committed by now; its stage is no longer needed.
