@@ -6,8 +6,9 @@ repeat; a repeat does not renew its place. When the memory is full, the oldest t
 
 The result depends on the order of arrival within a shard, so a shard is worked through in
 order. Spark does the sharding and the (spilling) sort; the Python part sees one Arrow batch
-at a time and keeps ``size`` keys, however long the shard is. More shards, or sharding by
-whole key instead of ticker, spread a hot ticker.
+at a time and keeps ``size`` keys, however long the shard is. Sharding by the whole key (the
+default) spreads a hot ticker over all shards; by ticker it matches consumers that each own
+their tickers, and a hot ticker then makes one long shard.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def with_shard(df: DataFrame, shards: int, by: str = "ticker", key: Sequence[str
 def fifo_dedup(
     df: DataFrame,
     size: int = DEFAULT_SIZE,
-    shards: int = 1,
-    by: str = "ticker",
+    shards: int = 64,
+    by: str = "key",
     key: Sequence[str] = TICK_KEY,
     seq: str = "trade_id",
 ) -> DataFrame:

@@ -29,11 +29,11 @@ CHUNK_ROWS = 1 << 20
 
 def seq_chunk(seq: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of a unique arrival number: no chunk holds more than ``rows`` rows."""
-    return F.floor(F.col(seq) / F.lit(rows)).cast("bigint")
+    return F.call_function("div", F.col(seq), F.lit(rows))
 
 
 def time_chunk(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.call_function("div", F.unix_micros(F.col(ts)), F.lit(seconds * 1_000_000))
 
 
 def _carry_join(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,7 +124,7 @@ def sliding(
     slot = slot or max(3600, 60 * width)
     if slot < width:
         raise ValueError("a slot must be at least as long as the frame")
-    own = F.floor(F.col(axis) / F.lit(slot)).cast("bigint")
+    own = F.call_function("div", F.col(axis) - F.pmod(F.col(axis), F.lit(slot)), F.lit(slot))
     spill = (own + 1) * slot - F.col(axis) < width
     copies = F.when(spill, F.array(own, own + 1)).otherwise(F.array(own))
     src = df.select("*", F.explode(copies).alias("_slot"))

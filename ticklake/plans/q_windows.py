@@ -157,7 +157,7 @@ def win07(spark, d):
 @query("str06_fifo_batch")
 def str06_batch(spark, d):
     # Depends on arrival order step by step; no SQL says it. Tested against brute force.
-    return fifo.fifo_dedup(v.arrivals(spark, d), size=3, shards=4)
+    return fifo.fifo_dedup(v.arrivals(spark, d), size=3, shards=4, by="ticker")
 
 
 @query(
