@@ -257,6 +257,7 @@ def counter_rate(
 ) -> DataFrame:
     """Growth per second of a counter over the trailing window, at each sample.
 
+    Takes one sample per series and instant (``rates.one_per_instant`` makes it so).
     Growth is summed between the samples inside the window; a counter that falls was reset
     and grew by its new value. Null where the window holds a single sample.
     """
@@ -289,6 +290,7 @@ def held_for(
 ) -> DataFrame:
     """Mark the samples at which the condition has held without a break for ``seconds``.
 
+    Takes one sample per series and instant (``rates.one_per_instant`` makes it so).
     ``since`` is the first sample of the unbroken run; ``firing`` is true once it is old enough.
     """
     chunk = ordered.time_chunk("ts", slot_s)

@@ -36,6 +36,9 @@ def throughput(runs: DataFrame) -> DataFrame:
     )
 
 
-def report_order(runs: DataFrame) -> DataFrame:
-    """By method, sequential before parallel, then by chunk size."""
-    return runs.orderBy("method", F.when(F.col("mode") == "Sequential", 0).otherwise(1), "chunk_size")
+def report_order(runs: DataFrame, tie: str = "run_id") -> DataFrame:
+    """By method, sequential before parallel, then by chunk size.
+
+    The run breaks ties, so that a sort splits the many runs of one setting over its tasks.
+    """
+    return runs.orderBy("method", F.when(F.col("mode") == "Sequential", 0).otherwise(1), "chunk_size", tie)

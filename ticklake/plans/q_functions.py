@@ -153,22 +153,32 @@ def f05(spark, d):
     )
 
 
-@query("f06_uuid")
+@query(
+    "f06_uuid",
+    """select event_id as trade_id, lpad(lower(to_hex(epoch_ms(date_trunc('milliseconds', ts)))), 12, '0') as at,
+      '7' as version, true as v7_shape, true as v4_shape from events""",
+)
 def f06(spark, d):
-    # Random by nature: only shape and time prefix can be checked.
-    return v.ticks(spark, d).select(
-        "trade_id", s.uuid7(F.col("ts")).alias("uuid7"), s.uuid4().alias("uuid4")
+    # Random by nature: time prefix, version and shape are what can be compared.
+    shape = "^[0-9a-f]{8}-[0-9a-f]{4}-%s[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    made = v.ticks(spark, d).select("trade_id", s.uuid7(F.col("ts")).alias("u7"), s.uuid4().alias("u4"))
+    return made.select(
+        "trade_id",
+        F.concat(F.substring("u7", 1, 8), F.substring("u7", 10, 4)).alias("at"),
+        F.substring("u7", 15, 1).alias("version"),
+        F.col("u7").rlike(shape % "7").alias("v7_shape"),
+        F.col("u4").rlike(shape % "4").alias("v4_shape"),
     )
 
 
-_HASH = """list_reduce(list_prepend(cast(17 as bigint),
+STABLE_HASH = """list_reduce(list_prepend(cast(17 as bigint),
       list_transform(string_split({0}, ''), lambda c: cast(ascii(c) as bigint))),
       lambda a, c: (a * 31 + c) & 4294967295) & 2147483647"""
 
 
 @query(
     "f07_shard",
-    f"""select c_custkey, {_HASH.format('c_name')} as hash, cast(({_HASH.format('c_name')}) % 4 as integer) as shard
+    f"""select c_custkey, {STABLE_HASH.format('c_name')} as hash, cast(({STABLE_HASH.format('c_name')}) % 4 as integer) as shard
         from customer""",
 )
 def f07(spark, d):
@@ -369,7 +379,7 @@ def f18(spark, d):
     v.TK
     + f"""select trade_id, cast(price as double) as price,
       case when k >= 60 and k % 60 = 0 then (k // 60)::varchar || 'm' else k::varchar || 's' end as label,
-      cast(({_HASH.format('ticker')}) % 3 as integer) as shard,
+      cast(({STABLE_HASH.format('ticker')}) % 3 as integer) as shard,
       cast(price as double) as parsed
     from (select *, cast(volume * 100 as integer) + 1 as k from tk)""",
 )

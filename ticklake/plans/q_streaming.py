@@ -6,6 +6,7 @@ from ticklake.functions import shard
 from ticklake.operators import candles
 from ticklake.plans import views as v
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
+from ticklake.plans.q_windows import FIFO
 from ticklake.plans.registry import query
 from ticklake.session import scratch
 from ticklake.sinks.files import order_by_name
@@ -129,7 +130,7 @@ def str06(spark, d):
     return out.select("trade_id", "ticker", "exchange", "ts")
 
 
-@query("str06_fifo_stream_small")
+@query("str06_fifo_stream_small", FIFO)
 def str06_small(spark, d):
     _rocksdb(spark)
     out = drain(sd.fifo(arrival_stream(spark, d, "str06s-in"), size=3, shards=4, by="ticker"), spark, "str06s")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ticklake.operators import dedup, fifo, metrics, rates
 from ticklake.plans import views as v
+from ticklake.plans.q_functions import STABLE_HASH
 from ticklake.plans.registry import query
 
 
@@ -154,10 +155,28 @@ def win07(spark, d):
     return status_of(v.table(spark, d, "nation").select(F.col("n_name").alias("exchange")), log)
 
 
-@query("str06_fifo_batch")
+# The filter step by step: one recursion step per arrival of a shard, three keys remembered.
+FIFO = (
+    v.AR.replace("with tk", "with recursive tk")
+    + f""", sh as (select *, cast(({STABLE_HASH.format('ticker')}) % 4 as integer) as shard,
+        exchange || ticker || ts as key from ar),
+    ln as (select *, row_number() over (partition by shard order by trade_id) as rn from sh),
+    fi(shard, rn, mem, keep, trade_id) as (
+      select distinct shard, cast(0 as bigint), cast([] as varchar[]), false, cast(-1 as bigint) from ln
+      union all
+      select ln.shard, ln.rn,
+        case when list_contains(mem, key) then mem
+             else list_append(case when len(mem) >= 3 then mem[2:] else mem end, key) end,
+        not list_contains(mem, key), ln.trade_id
+      from fi join ln on ln.shard = fi.shard and ln.rn = fi.rn + 1)
+    select trade_id, ticker, exchange, ts, sh.shard from fi join sh using (trade_id) where keep"""
+)
+
+
+@query("str06_fifo_batch", FIFO)
 def str06_batch(spark, d):
-    # Depends on arrival order step by step; no SQL says it. Tested against brute force.
-    return fifo.fifo_dedup(v.arrivals(spark, d), size=3, shards=4, by="ticker")
+    out = fifo.fifo_dedup(v.arrivals(spark, d), size=3, shards=4, by="ticker")
+    return out.select("trade_id", "ticker", "exchange", "ts", "shard")
 
 
 @query(

@@ -13,7 +13,7 @@ from ticklake.functions import parse_decimal, truncate_price, uuid7
 from ticklake.operators.dedup import first_arrival
 from ticklake.operators.joins import missing_keys
 from ticklake.schemas import RAW_TICK, TICK_KEY
-from ticklake.session import cut, scratch
+from ticklake.session import scratch
 from ticklake.sinks import files
 from ticklake.sources.tables import read_ticks
 
@@ -70,13 +70,13 @@ def _of_days(table: DataFrame, days: list[date], most: int = 400) -> DataFrame:
 
 
 def new_rows(
-    spark: SparkSession, ticks: DataFrame, path: str, received_at: Column | None = None
+    spark: SparkSession, ticks: DataFrame, path: str, staging: str, received_at: Column | None = None
 ) -> DataFrame:
     """First arrival of each key that the table at ``path`` does not hold yet.
 
-    Copies inside the batch collapse before anything is joined; the result is staged, because
-    three steps read it. Of the table only the days of the batch and the three key columns
-    are read.
+    Copies inside the batch collapse before anything is joined; the result is written to
+    ``staging``, because three steps read it. Of the table only the days of the batch and the
+    three key columns are read. The caller deletes ``staging`` once the rows are written.
     """
     complete = ticks.where(
         F.col("ticker").isNotNull() & F.col("exchange").isNotNull() & F.col("ts").isNotNull()
@@ -84,7 +84,8 @@ def new_rows(
     batch = to_rows(first_arrival(complete), received_at)
     if not files.has_data(spark, path):
         return batch
-    batch = cut(batch, "batch")
+    batch.write.mode("overwrite").parquet(staging)
+    batch = spark.read.schema(batch.schema).parquet(staging)
     return missing_keys(batch, _of_days(read_ticks(spark, path), _days(batch)))
 
 
@@ -96,12 +97,15 @@ def insert_ignore(
     Running it again with the same ticks inserts nothing, so a retried batch is harmless.
     One writer per table at a time: plain files have no unique constraint.
     """
-    counter = Observation("inserted")
-    rows = new_rows(spark, ticks, path, received_at)
-    # Observed in the writing stage itself: there a repeated task counts once.
-    counted = laid_out(rows).observe(counter, F.count(F.lit(1)).alias("n"))
-    counted.write.mode("append").partitionBy("dt").parquet(path)
-    return _observed(counter)
+    counter, staging = Observation("inserted"), scratch(spark, "incoming")
+    try:
+        rows = new_rows(spark, ticks, path, staging, received_at)
+        # Observed in the writing stage itself: there a repeated task counts once.
+        counted = laid_out(rows).observe(counter, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("append").partitionBy("dt").parquet(path)
+        return _observed(counter)
+    finally:
+        files.delete(spark, staging)
 
 
 def _observed(counter: Observation) -> int:
@@ -131,8 +135,11 @@ def staged_insert(
     What is inserted then no longer depends on recomputing the input.
     """
     staging = staging or scratch(spark, "staging")
-    ticks.write.mode("overwrite").parquet(staging)
-    return insert_ignore(spark, spark.read.schema(ticks.schema).parquet(staging), path, received_at)
+    try:
+        ticks.write.mode("overwrite").parquet(staging)
+        return insert_ignore(spark, spark.read.schema(ticks.schema).parquet(staging), path, received_at)
+    finally:
+        files.delete(spark, staging)
 
 
 class DuplicateTick(ValueError):
@@ -175,6 +182,7 @@ def _rewrite(spark: SparkSession, path: str, changed: DataFrame, days: list[date
             .partitionBy("dt")
             .parquet(path)
         )
+    files.delete(spark, aside)
     folders = files.partition_folders(spark, path)
     for day in days:
         name = day.isoformat()

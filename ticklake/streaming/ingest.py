@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ticklake.operators.candles import ohlcv
 from ticklake.schemas import RAW_TICK, TICK
+from ticklake.session import adaptive
 from ticklake.sinks import files
 from ticklake.sinks.candles import Sink, write_batch
 from ticklake.sinks.ticks import append, insert_ignore, new_rows
@@ -57,27 +58,32 @@ class Ingest:
         self.candle_sink = candle_sink or (lambda df, n: write_batch(df, n, self.candle_path))
 
     def batch(self, messages: DataFrame, batch_id: int) -> None:
-        spark = messages.sparkSession
-        parsed = parse(messages, self.exchange, strict=self.strict).persist(StorageLevel.DISK_ONLY)
-        try:
-            dead_letters(parsed).write.mode("overwrite").parquet(f"{self.dead_path}/batch_id={batch_id}")
-            found = ticks(parsed, self.seq)
-            stage = f"{self.staging}/batch_id={batch_id}"
-            replay = files.exists(spark, f"{stage}/_SUCCESS")
-            if not replay:
-                new_rows(spark, found, self.tick_path).write.mode("overwrite").parquet(stage)
-            staged = spark.read.schema(RAW_TICK).parquet(stage)
-            if replay:
-                # Some of these rows may have reached the table before the failure.
-                insert_ignore(spark, staged.select(*TICK.names), self.tick_path)
-            else:
-                append(staged, self.tick_path)
-            source = staged if self.candles_from == "deduped" else found
-            self.candle_sink(ohlcv(source, self.interval_s), batch_id)
-            # The batch before this one is committed by now; its stage is no longer needed.
-            files.delete(spark, f"{self.staging}/batch_id={batch_id - 1}")
-        finally:
-            parsed.unpersist()
+        with adaptive(messages.sparkSession):
+            parsed = parse(messages, self.exchange, strict=self.strict).persist(StorageLevel.DISK_ONLY)
+            try:
+                self._write(parsed, batch_id)
+            finally:
+                parsed.unpersist()
+
+    def _write(self, parsed: DataFrame, batch_id: int) -> None:
+        spark = parsed.sparkSession
+        dead_letters(parsed).write.mode("overwrite").parquet(f"{self.dead_path}/batch_id={batch_id}")
+        found = ticks(parsed, self.seq)
+        stage, incoming = f"{self.staging}/batch_id={batch_id}", f"{self.staging}/incoming"
+        replay = files.exists(spark, f"{stage}/_SUCCESS")
+        if not replay:
+            new_rows(spark, found, self.tick_path, incoming).write.mode("overwrite").parquet(stage)
+            files.delete(spark, incoming)
+        staged = spark.read.schema(RAW_TICK).parquet(stage)
+        if replay:
+            # Some of these rows may have reached the table before the failure.
+            insert_ignore(spark, staged.select(*TICK.names), self.tick_path)
+        else:
+            append(staged, self.tick_path)
+        source = staged if self.candles_from == "deduped" else found
+        self.candle_sink(ohlcv(source, self.interval_s), batch_id)
+        # The batch before this one is committed by now; its stage is no longer needed.
+        files.delete(spark, f"{self.staging}/batch_id={batch_id - 1}")
 
     def start(self, messages: DataFrame, checkpoint: str, every_s: int | None = None) -> StreamingQuery:
         return (
