@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The storable price range, decimal(18,8).
@@ -206,6 +206,15 @@ def csv_quote(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row, whatever is filtered on it later.
+
+    A filter on a plain column is pushed below it together with a copy of its expression; a
+    generated column stops that.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def required(*columns: str) -> Column:
     """True where every named column is present (the null guards of the entities)."""
     ok = F.lit(True)

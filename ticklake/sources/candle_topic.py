@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.functions import interval_label, message_key  # noqa: F401
+from ticklake.functions import message_key, with_once
 from ticklake.schemas import CANDLE_MESSAGE
 
 CANDLE_TOPIC = "aggregated-data"
@@ -41,7 +41,7 @@ def encode(candles: DataFrame, sent_at: Column | None = None) -> DataFrame:
 def decode(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candles, dead letters) of topic rows with a text or binary ``value``."""
     rows = messages.withColumn("value", F.col("value").cast("string"))
-    parsed = rows.withColumn("c", F.from_json("value", CANDLE_MESSAGE))
+    parsed = with_once(rows, "c", F.from_json("value", CANDLE_MESSAGE))
     good = F.col("c.ticker").isNotNull() & F.col("c.interval").isNotNull()
     candles = parsed.where(good).select(
         "c.ticker",

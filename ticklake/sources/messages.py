@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.functions import millis_to_ts, parse_decimal, truncate_price
+from ticklake.functions import millis_to_ts, parse_decimal, truncate_price, with_once
 from ticklake.schemas import KRAKEN_MESSAGE, TRADE_FIELDS, TRADE_MESSAGE
 
 MAX_MESSAGE_BYTES = 1 << 20
@@ -83,18 +83,20 @@ def parse(
     parser, text = PARSERS[exchange.lower()], F.col(value)
     big = F.octet_length(text) > max_bytes
     # An oversized text is never read.
-    raw = messages.withColumn("_raw", parser.read(F.when(~big, text)))
+    raw = with_once(messages, "_raw", parser.read(F.when(~big, text)))
     fields = parser.fields(F.col("_raw"))
     # Only a text in which nothing was found is checked for being JSON at all.
     malformed = F.when(~big & fields["unread"], F.try_parse_json(text).isNull())
     missing = F.lit(None).cast("decimal(38,8)")
-    numbers = {n: parse_decimal(fields[n], missing) for n in ("price", "volume")}
-    picked = raw.select(
+    numbers = F.struct(*[parse_decimal(fields[n], missing).alias(n) for n in ("price", "volume")])
+    picked = with_once(raw, "_n", numbers).select(
         *messages.columns,
         big.alias("_big"),
         F.coalesce(malformed, F.lit(False)).alias("_malformed"),
         F.coalesce(fields["trade"], F.lit(False)).alias("_trade"),
-        *[numbers.get(n, fields[n]).alias(f"_{n}") for n in ("trade_id", "ticker", "price", "volume", "ts")],
+        *[fields[n].alias(f"_{n}") for n in ("trade_id", "ticker", "ts")],
+        F.col("_n.price").alias("_price"),
+        F.col("_n.volume").alias("_volume"),
     )
     c = {n: F.col(f"_{n}") for n in ("big", "malformed", "trade", "trade_id", "ticker", "price", "volume", "ts")}
     partial = c["price"].isNull() | c["volume"].isNull() | c["ts"].isNull()
@@ -148,7 +150,7 @@ def kraken_fields(messages: DataFrame, value: str = "value", every: bool = False
     every entry."""
     m = F.from_json(F.col(value), KRAKEN_MESSAGE)
     keep = [c for c in messages.columns if c != value]
-    trades = messages.withColumn("_m", m).where(
+    trades = with_once(messages, "_m", m).where(
         (F.col("_m.channel") == "trade") & (F.size("_m.data") > 0)
     )
     entry = F.explode("_m.data") if every else F.element_at("_m.data", 1)

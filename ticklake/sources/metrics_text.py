@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.functions import label_map, metric_value, normalise_value_text
+from ticklake.functions import label_map, metric_value, normalise_value_text, with_once
 from ticklake.operators.joins import lookup
 from ticklake.schemas import METRIC_CSV
 
@@ -26,12 +26,11 @@ def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
 
 def _directives(lines: DataFrame) -> DataFrame:
     """Lines that start with # as kind help, type or comment, with metric name and text."""
-    parts = F.split(F.trim("line"), " +", 4)
-    word, size = F.upper(parts[1]), F.size(parts)
+    only = lines.where(F.trim("line").startswith("#"))
+    split = with_once(only, "_p", F.split(F.trim("line"), " +", 4))
+    word, size = F.upper(F.try_element_at("_p", F.lit(2))), F.size("_p")
     kind = F.when((size >= 3) & (word == "HELP"), "help").when((size >= 3) & (word == "TYPE"), "type")
-    rows = lines.where(F.trim("line").startswith("#")).select(
-        *lines.columns, F.coalesce(kind, F.lit("comment")).alias("kind"), parts.alias("_p")
-    )
+    rows = split.select(*lines.columns, F.coalesce(kind, F.lit("comment")).alias("kind"), "_p")
     told = F.col("kind") != "comment"
     return rows.select(
         *lines.columns,
@@ -45,7 +44,7 @@ def _samples(lines: DataFrame) -> DataFrame:
     """All other lines as kind sample, blank or dead; one regex pass per line."""
     text = F.trim("line")
     marked = F.regexp_replace(text, _SAMPLE, f"$1{_MARK}$2{_MARK}$3")
-    rows = lines.where(~text.startswith("#")).select(*lines.columns, F.split(marked, _MARK).alias("_p"))
+    rows = with_once(lines.where(~text.startswith("#")), "_p", F.split(marked, _MARK))
     hit = F.size("_p") == 3
     return rows.select(
         *lines.columns,
