@@ -1,9 +1,7 @@
 import random
-from datetime import timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import BASE
 
 from ticklake.operators import dedup, fifo, joins
 from ticklake.operators.fifo import Memory
@@ -118,5 +116,3 @@ def test_subscriptions(spark):
     exchanges = spark.createDataFrame([("binance", "ws://h/ws/{Symbol}@trade")], "exchange string, url string")
     assert [r.url for r in joins.subscriptions(readers, exchanges).collect()] == ["ws://h/ws/btcusdt@trade"]
 
-
-__all__ = ["BASE", "timedelta"]

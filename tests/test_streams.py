@@ -7,7 +7,6 @@ from test_sources import trade
 
 from ticklake.operators import candles, dedup, fifo
 from ticklake.sinks.files import order_by_name
-from ticklake.sinks.ticks import insert_ignore
 from ticklake.sources.tables import read_ticks
 from ticklake.streaming import candles as sc
 from ticklake.streaming import dedup as sd
@@ -147,7 +146,16 @@ def test_replay_after_a_failure_half_way(spark, folder, written):
     assert sorted(r.ticks for r in sc.read_merged(spark, job.candle_path).collect()) == [6, 6]
 
 
-def test_candle_sink_failure_fails_the_batch(spark, make_ticks, folder):
-    path = folder()
-    insert_ignore(spark, make_ticks([("X", 1, 1, 0, "B")]), path)
-    assert read_ticks(spark, path).count() == 1
+def test_batches_run_with_adaptive_execution(spark, wire, folder):
+    seen = []
+
+    def sink(df, n):
+        seen.append((df.sparkSession.conf.get("spark.sql.adaptive.enabled"), df.count()))
+
+    job = Ingest("Binance", folder("ingest"), 60, candle_sink=sink)
+    job.start(message_stream(spark, wire(messages())), folder("cp")).awaitTermination()
+    assert seen == [("true", 2)]
+    # Staging of committed work does not pile up.
+    from ticklake.sinks import files
+
+    assert not files.exists(spark, f"{job.staging}/incoming")

@@ -39,6 +39,7 @@ def test_insert_ignore(spark, make_ticks, folder, rows):
 def test_rows_without_a_key_are_not_inserted(spark, make_ticks, folder, rows):
     t = make_ticks(rows).withColumn("exchange", F.when(F.col("ticker") != "ETHUSDT", F.col("exchange")))
     assert ticks.insert_ignore(spark, t, folder()) == 3
+    assert [r.ticker for r in ticks.refused(t).collect()] == ["ETHUSDT"]
 
 
 def test_text_prices(spark, folder):

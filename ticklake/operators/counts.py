@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.functions import exchange_tag
+from ticklake.functions import connection_message, exchange_tag, uuid4
 
 
 def per_exchange(ticks: DataFrame) -> DataFrame:
     """Message count per exchange; the grand total has a null exchange."""
-    return ticks.rollup("exchange").agg(F.count("*").alias("n"))
+    # Counted first: a rollup of the ticks themselves would double every row.
+    counts = ticks.groupBy("exchange").agg(F.count("*").alias("n"))
+    return counts.rollup("exchange").agg(F.sum("n").alias("n"))
 
 
 def per_exchange_of(exchanges: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -64,8 +66,6 @@ def status_report(log: DataFrame, ticks: DataFrame) -> DataFrame:
 
 def connection_rows(events: DataFrame, created_at: Column) -> DataFrame:
     """Status events as rows of the connection log."""
-    from ticklake.functions import connection_message, uuid4
-
     text = connection_message(F.col("exchange"), F.col("status"), F.col("message"))
     return events.where(F.col("exchange").isNotNull() & F.col("status").isNotNull()).select(
         uuid4().alias("id"),

@@ -48,12 +48,11 @@ def existing_keys(
     ``loose`` matches each column on its own list of values, so it also returns stored
     combinations nobody asked for, as three independent IN lists do.
     """
-    stored = table.select(*key).distinct()
-    if not loose:
-        return stored.join(keys.select(*key).distinct(), list(key), "left_semi")
-    for c in key:
-        stored = lookup(stored, keys.select(c).distinct(), [c])
-    return stored.select(*key)
+    # The table is reduced to the asked keys before anything is made distinct.
+    stored = table.select(*key)
+    for on in [[c] for c in key] if loose else [list(key)]:
+        stored = stored.join(keys.select(*on).distinct(), on, "left_semi")
+    return stored.distinct()
 
 
 def subscriptions(readers: DataFrame, exchanges: DataFrame) -> DataFrame:

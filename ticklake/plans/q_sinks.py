@@ -10,7 +10,7 @@ from ticklake.plans.q_reads import CANDLE_SQL
 from ticklake.plans.registry import query
 from ticklake.session import scratch
 from ticklake.sinks import candles as candle_sink
-from ticklake.sinks import files, maintenance, ticks
+from ticklake.sinks import maintenance, ticks
 from ticklake.sources import tables
 
 _OUT = "trade_id, ticker, exchange, cast(price as double) as price, cast(volume as double) as volume, ts"
@@ -299,5 +299,3 @@ def mnt05(spark, d):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return spark.read.parquet(out)
 
-
-__all__ = ["files"]

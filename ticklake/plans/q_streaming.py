@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ticklake.functions import shard
 from ticklake.operators import candles
 from ticklake.plans import views as v
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
@@ -255,5 +254,3 @@ def str13(spark, d):
     parsed = messages.parse(message_files(spark, d, "str13-in"), "Binance", max_bytes=40)
     return drain(messages.dead_letters(parsed), spark, "str13").select("seq", "reason")
 
-
-__all__ = ["shard"]

@@ -6,6 +6,7 @@ from ticklake.operators import dedup, fifo, metrics, rates
 from ticklake.plans import views as v
 from ticklake.plans.q_functions import STABLE_HASH
 from ticklake.plans.registry import query
+from ticklake.session import cut
 
 
 @query(
@@ -102,7 +103,7 @@ def win03_deltas(spark, d):
     select batch_id, inserted, total from t where total % 200 < inserted""",
 )
 def win04(spark, d):
-    return rates.progress_marks(v.batches(spark, d), 200).select("batch_id", "inserted", "total")
+    return rates.progress_marks(cut(v.batches(spark, d)), 200).select("batch_id", "inserted", "total")
 
 
 @query(
@@ -125,7 +126,7 @@ def win04_orders(spark, d):
     select batch_id, batch_size from t where rn % 10 = 0""",
 )
 def win05(spark, d):
-    return rates.every_nth(v.batches(spark, d), 10).select("batch_id", "batch_size")
+    return rates.every_nth(cut(v.batches(spark, d)), 10).select("batch_id", "batch_size")
 
 
 @query(

@@ -10,6 +10,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticklake.operators import ordered
+from ticklake.operators.dedup import mark_repeats
+from ticklake.operators.rates import one_per_instant
+from ticklake.session import cut
+
 DAY = (datetime(2024, 1, 10), datetime(2024, 1, 11))
 HOUR = (datetime(2024, 1, 10, 12), datetime(2024, 1, 10, 13))
 
@@ -148,8 +153,6 @@ LOG = """with lg as (
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch log: one batch per hour and exchange, with what each level removed."""
-    from ticklake.operators.dedup import mark_repeats
-
     hour = F.floor(F.unix_seconds("ts") / 3600).cast("bigint")
     channel = F.when(F.col("exchange") == "Binance", 0).otherwise(1)
     return (
@@ -179,8 +182,6 @@ BATCH = AR + """, marked as (
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples (metric, exchange, ms, value, ts), one per series and millisecond."""
-    from ticklake.operators.rates import one_per_instant
-
     t = ticks(spark, sf_dir).select(
         F.lower("ticker").alias("metric"), "exchange", "ts", F.col("price").alias("value")
     )
@@ -194,11 +195,8 @@ GAUGE = TK + """, ga as (
 
 def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipeline counters per hour and exchange: incoming, received and queued so far."""
-    from ticklake.operators import ordered
-
-    b = batches(spark, sf_dir)
     return ordered.running_sum(
-        b,
+        cut(batches(spark, sf_dir)),
         ["channel"],
         ["ts"],
         {"incoming": F.col("batch_size"), "received": F.col("batch_size") - F.col("cached")},

@@ -7,7 +7,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.session import scratch
 from ticklake.sinks import files
 
 
@@ -84,15 +83,3 @@ def maintain(
         return {"dropped": [], "skipped": [path]}
     return {"dropped": drop_expired(spark, path, today, retention_days, allow_drop), "skipped": []}
 
-
-__all__ = [
-    "convert_to_partitioned",
-    "copy_table",
-    "drop_expired",
-    "expired",
-    "is_partitioned",
-    "maintain",
-    "partition_rows",
-    "partitions",
-    "scratch",
-]

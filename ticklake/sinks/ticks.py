@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.functions import parse_decimal, truncate_price, uuid7
+from ticklake.functions import parse_decimal, required, truncate_price, uuid7
 from ticklake.operators.dedup import first_arrival
 from ticklake.operators.joins import missing_keys
 from ticklake.schemas import RAW_TICK, TICK_KEY
@@ -69,6 +69,11 @@ def _of_days(table: DataFrame, days: list[date], most: int = 400) -> DataFrame:
     return table.where(F.col("dt").isin(days))
 
 
+def refused(ticks: DataFrame) -> DataFrame:
+    """Ticks an insert leaves out because their key is incomplete; for the dead letters."""
+    return ticks.where(~required(*TICK_KEY))
+
+
 def new_rows(
     spark: SparkSession, ticks: DataFrame, path: str, staging: str, received_at: Column | None = None
 ) -> DataFrame:
@@ -78,10 +83,7 @@ def new_rows(
     ``staging``, because three steps read it. Of the table only the days of the batch and the
     three key columns are read. The caller deletes ``staging`` once the rows are written.
     """
-    complete = ticks.where(
-        F.col("ticker").isNotNull() & F.col("exchange").isNotNull() & F.col("ts").isNotNull()
-    )
-    batch = to_rows(first_arrival(complete), received_at)
+    batch = to_rows(first_arrival(ticks.where(required(*TICK_KEY))), received_at)
     if not files.has_data(spark, path):
         return batch
     batch.write.mode("overwrite").parquet(staging)

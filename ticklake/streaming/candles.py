@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticklake.operators.candles import CANDLE_KEY, merge_partials, ohlcv
+from ticklake.session import adaptive
 from ticklake.sinks.candles import write_batch
 
 
@@ -36,7 +37,8 @@ def write_partials(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(ohlcv(batch, interval_s), batch_id, path)
+        with adaptive(batch.sparkSession):
+            write_batch(ohlcv(batch, interval_s), batch_id, path)
 
     return (
         ticks.writeStream.foreachBatch(sink)

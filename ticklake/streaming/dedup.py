@@ -55,7 +55,8 @@ class FifoProcessor(StatefulProcessor):
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(self.seq, kind="stable")
-        names = pdf[self.key].astype(str).agg("\x1f".join, axis=1)
+        first, *rest = (pdf[c].astype(str) for c in self.key)
+        names = first.str.cat(rest, sep="\x1f") if rest else first
         keep = [memory.admit(k) for k in names]
         self.state.put([(k,) for k in memory.keys])
         yield pdf[keep]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticklake.operators.candles import ohlcv
@@ -13,6 +12,7 @@ from ticklake.session import adaptive
 from ticklake.sinks import files
 from ticklake.sinks.candles import Sink, write_batch
 from ticklake.sinks.ticks import append, insert_ignore, new_rows
+from ticklake.sources.candle_topic import decode
 from ticklake.sources.messages import dead_letters, parse, ticks
 
 
@@ -96,12 +96,10 @@ class Ingest:
 
 def decode_candle_stream(messages: DataFrame, path: str, dead: str, checkpoint: str, every_s=None) -> StreamingQuery:
     """Consume candle messages, write, then commit: each batch has its own folder in both tables."""
-    from ticklake.sources.candle_topic import decode
-
     def sink(batch: DataFrame, batch_id: int) -> None:
         good, bad = decode(batch)
         write_batch(good, batch_id, path)
-        bad.select(F.col("value")).write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
+        bad.select("value").write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(sink)
