@@ -91,7 +91,7 @@ def test_message_round_trip(spark):
     sent = candle_topic.encode(spark.createDataFrame([row], schema))
     m = sent.first()
     assert m.key == "solusdt:binance"
-    assert '"open":150.25' in m.value and '"startTime":"2024-06-15T12:30:00' in m.value
+    assert '"open":150.25' in m.value and '"startTime":"2024-06-15T12:30:00Z"' in m.value
     assert m.headers[0].key == "content-type" and bytes(m.headers[0].value) == b"application/json"
     good, bad = candle_topic.decode(sent.select("key", "value"))
     assert bad.isEmpty()

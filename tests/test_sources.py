@@ -51,6 +51,15 @@ def test_trades(spark):
     assert m.ticks(parsed).where("trade_id = 7").count() == 5
 
 
+def test_only_whole_objects_are_messages(spark):
+    whole = trade()
+    rows = text(spark, "[" + whole + "]", whole[:-1], whole[:40], " \n" + whole, "", None)
+    parsed = m.parse(rows, "Binance")
+    assert [r.trade_id for r in m.ticks(parsed, "seq").collect()] == [3]
+    status = {r.seq: r.status for r in parsed.select("seq", "m.status").collect()}
+    assert status[0] == "ignored" and status[1] == status[2] == "dead"
+
+
 def test_strict_and_oversized(spark):
     rows = text(spark, trade(), trade(p=None), trade(q="x"), trade(T=None), trade(e="ping", p=None))
     strict = {r.seq: r.reason for r in m.dead_letters(m.parse(rows, "binance", strict=True)).collect()}

@@ -9,7 +9,9 @@ from ticklake.functions import message_key, with_once
 from ticklake.schemas import CANDLE_MESSAGE
 
 CANDLE_TOPIC = "aggregated-data"
-_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+# Candle bounds are whole seconds.
+_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def encode(candles: DataFrame, sent_at: Column | None = None) -> DataFrame:
@@ -22,11 +24,11 @@ def encode(candles: DataFrame, sent_at: Column | None = None) -> DataFrame:
         "low",
         "close",
         "volume",
-        F.date_format("start_time", _ISO).alias("startTime"),
-        F.date_format("end_time", _ISO).alias("endTime"),
+        F.date_format("start_time", _SECONDS).alias("startTime"),
+        F.date_format("end_time", _SECONDS).alias("endTime"),
         "exchange",
     )
-    sent = F.date_format(F.current_timestamp() if sent_at is None else sent_at, _ISO)
+    sent = F.date_format(F.current_timestamp() if sent_at is None else sent_at, _MICROS)
     headers = F.array(
         F.struct(F.lit("content-type").alias("key"), F.encode(F.lit("application/json"), "UTF-8").alias("value")),
         F.struct(F.lit("timestamp").alias("key"), F.encode(sent, "UTF-8").alias("value")),

@@ -82,8 +82,8 @@ def parse(
     """
     parser, text = PARSERS[exchange.lower()], F.col(value)
     big = F.octet_length(text) > max_bytes
-    # An oversized text is never read.
-    raw = with_once(messages, "_raw", parser.read(F.when(~big, text)))
+    # An oversized text is never read, and only an object can be a message.
+    raw = with_once(messages, "_raw", parser.read(F.when(~big & text.rlike(r"^\s*\{"), text)))
     fields = parser.fields(F.col("_raw"))
     # Only a text in which nothing was found is checked for being JSON at all.
     malformed = F.when(~big & fields["unread"], F.try_parse_json(text).isNull())

@@ -9,7 +9,7 @@ from ticklake.functions import label_map, metric_value, normalise_value_text, wi
 from ticklake.operators.joins import lookup
 from ticklake.schemas import METRIC_CSV
 
-# name, optional {labels}, value
+# Fixed value: a sample line is a name, optional {labels} and a value.
 _SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([+\-]?(?:[0-9.eE+\-]+|NaN|[iI]nf))\s*$"
 _HISTOGRAM_SUFFIX = "_(bucket|sum|count)$"
 # A character that no metric text contains, to carry the three parts of one match.
