@@ -31,6 +31,11 @@ class Parser:
     fields: Callable[[Column], dict[str, Column]]
 
 
+def _object(text: Column) -> Column:
+    """The text if it is a JSON object; an array around one is no message."""
+    return F.when(text.rlike(r"^\s*\{"), text)
+
+
 def _binance_fields(m: Column) -> dict[str, Column]:
     return {
         "unread": m["event"].isNull(),
@@ -59,8 +64,8 @@ def _kraken_fields(m: Column) -> dict[str, Column]:
 # Trades of the first exchange, and of the second (first entry of ``data``). Anything but a
 # trade with a symbol is ignored; text that is not JSON is dead.
 PARSERS: dict[str, Parser] = {
-    "binance": Parser(lambda v: F.from_json(v, TRADE_MESSAGE).cast(TRADE_FIELDS), _binance_fields),
-    "kraken": Parser(lambda v: F.from_json(v, KRAKEN_MESSAGE), _kraken_fields),
+    "binance": Parser(lambda v: F.from_json(_object(v), TRADE_MESSAGE).cast(TRADE_FIELDS), _binance_fields),
+    "kraken": Parser(lambda v: F.from_json(_object(v), KRAKEN_MESSAGE), _kraken_fields),
 }
 
 
@@ -82,8 +87,8 @@ def parse(
     """
     parser, text = PARSERS[exchange.lower()], F.col(value)
     big = F.octet_length(text) > max_bytes
-    # An oversized text is never read, and only an object can be a message.
-    raw = with_once(messages, "_raw", parser.read(F.when(~big & text.rlike(r"^\s*\{"), text)))
+    # An oversized text is never read.
+    raw = with_once(messages, "_raw", parser.read(F.when(~big, text)))
     fields = parser.fields(F.col("_raw"))
     # Only a text in which nothing was found is checked for being JSON at all.
     malformed = F.when(~big & fields["unread"], F.try_parse_json(text).isNull())
