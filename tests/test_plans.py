@@ -31,6 +31,18 @@ def test_range_read_prunes_days_and_pushes_filters(table):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", p)
 
 
+def test_an_insert_lists_only_its_days(spark, table):
+    from datetime import date
+
+    from ticklake.sources.tables import read_days
+
+    path = table.inputFiles()[0].split("/dt=")[0]
+    one = read_days(spark, path, [date(2024, 1, 10), date(1999, 1, 1)])
+    assert all("dt=2024-01-10" in f for f in one.inputFiles())
+    assert one.select("dt").distinct().count() == 1 and one.count() == table.where("dt = '2024-01-10'").count()
+    assert read_days(spark, path, [date(1999, 1, 1)]).isEmpty()
+
+
 def test_count_reads_two_columns(table):
     p = plan(reads.count_range(table, "CLICK", *v.DAY))
     assert re.search(r"ReadSchema: struct<ticker:string,ts:timestamp>", p)

@@ -6,7 +6,7 @@ from test_dedup import stream as random_ticks
 from test_sources import trade
 
 from ticklake.operators import candles, dedup, fifo
-from ticklake.sinks.files import order_by_name
+from ticklake.files import order_by_name
 from ticklake.sources.tables import read_ticks
 from ticklake.streaming import candles as sc
 from ticklake.streaming import dedup as sd
@@ -106,6 +106,9 @@ def test_ingest_fans_out(spark, wire, folder):
     assert [r.value for r in spark.read.parquet(job.dead_path).collect()] == ["broken"]
     merged = sc.read_merged(spark, job.candle_path)
     assert sorted((r.ticks, int(r.open), int(r.close)) for r in merged.collect()) == [(6, 100, 105), (6, 106, 111)]
+    day = BASE.date()
+    assert sc.read_merged(spark, job.candle_path, day, day).count() == 2
+    assert sc.read_merged(spark, job.candle_path, day + timedelta(days=1)).isEmpty()
     # Same checkpoint again: nothing new.
     job.start(message_stream(spark, src), cp).awaitTermination()
     assert read_ticks(spark, job.tick_path).count() == 12
@@ -156,6 +159,6 @@ def test_batches_run_with_adaptive_execution(spark, wire, folder):
     job.start(message_stream(spark, wire(messages())), folder("cp")).awaitTermination()
     assert seen == [("true", 2)]
     # Staging of committed work does not pile up.
-    from ticklake.sinks import files
+    from ticklake import files
 
     assert not files.exists(spark, f"{job.staging}/incoming")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ticklake.operators import reads
 from ticklake.schemas import create_tables
 from ticklake.sinks import candles as candle_sink
-from ticklake.sinks import files, maintenance, ticks
+from ticklake import files
+from ticklake.sinks import maintenance, ticks
 from ticklake.sources.tables import read_ticks
 
 DAY = 86400

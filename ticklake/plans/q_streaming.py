@@ -8,7 +8,7 @@ from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
 from ticklake.plans.q_windows import FIFO
 from ticklake.plans.registry import query
 from ticklake.session import scratch
-from ticklake.sinks.files import order_by_name
+from ticklake.files import order_by_name
 from ticklake.sources import messages
 from ticklake.sources.tables import read_ticks
 from ticklake.streaming import candles as sc

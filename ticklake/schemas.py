@@ -61,6 +61,25 @@ CANDLE = _struct(
     ("created_at", TimestampType()),
 )
 
+# Candles of one batch of a stream, before they are merged.
+PARTIAL_CANDLE = _struct(
+    ("ticker", StringType()),
+    ("exchange", StringType()),
+    ("interval", StringType()),
+    ("open", PRICE),
+    ("high", PRICE),
+    ("low", PRICE),
+    ("close", PRICE),
+    ("volume", DecimalType(28, 8)),
+    ("start_time", TimestampType()),
+    ("end_time", TimestampType()),
+    ("ticks", LongType()),
+    ("first_seq", LongType()),
+    ("last_seq", LongType()),
+    ("dt", DateType()),
+    ("batch_id", LongType()),
+)
+
 CONNECTION_LOG = _struct(
     ("id", StringType()),
     ("exchange", StringType()),

@@ -21,11 +21,19 @@ def append(candles: DataFrame, path: str, created_at: Column | None = None) -> N
 
 
 def write_batch(candles: DataFrame, batch_id: int, path: str) -> None:
-    """Write the partial candles of one batch to a folder of their own.
+    """Write the partial candles of one batch to folders of their own, by day and batch.
 
-    A replayed batch overwrites its own folder, so nothing is counted twice.
+    A replayed batch overwrites its own folders, so nothing is counted twice; readers of a day
+    open the files of that day only.
     """
-    candles.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows = candles.withColumn("dt", F.to_date("start_time")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    (
+        rows.hint("rebalance", F.col("dt"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dt", "batch_id")
+        .parquet(path)
+    )
 
 
 def with_fallback(primary: Sink, fallback_path: str, on_error: Callable[[Exception], None] | None = None) -> Sink:

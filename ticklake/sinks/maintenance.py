@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.sinks import files
+from ticklake import files
 
 
 def is_partitioned(spark: SparkSession, path: str, column: str = "dt") -> bool:

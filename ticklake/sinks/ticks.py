@@ -14,8 +14,8 @@ from ticklake.operators.dedup import first_arrival
 from ticklake.operators.joins import missing_keys
 from ticklake.schemas import RAW_TICK, TICK_KEY
 from ticklake.session import scratch
-from ticklake.sinks import files
-from ticklake.sources.tables import read_ticks
+from ticklake import files
+from ticklake.sources.tables import read_days
 
 
 def to_rows(ticks: DataFrame, received_at: Column | None = None) -> DataFrame:
@@ -60,15 +60,6 @@ def _days(batch: DataFrame) -> list[date]:
     return [r.dt for r in batch.select("dt").distinct().collect() if r.dt is not None]
 
 
-def _of_days(table: DataFrame, days: list[date], most: int = 400) -> DataFrame:
-    """Only the partitions of these days; beyond ``most`` days their enclosing range."""
-    if not days:
-        return table.where(F.lit(False))
-    if len(days) > most:
-        return table.where(F.col("dt").between(F.lit(min(days)), F.lit(max(days))))
-    return table.where(F.col("dt").isin(days))
-
-
 def refused(ticks: DataFrame) -> DataFrame:
     """Ticks an insert leaves out because their key is incomplete; for the dead letters."""
     return ticks.where(~required(*TICK_KEY))
@@ -88,7 +79,7 @@ def new_rows(
         return batch
     batch.write.mode("overwrite").parquet(staging)
     batch = spark.read.schema(batch.schema).parquet(staging)
-    return missing_keys(batch, _of_days(read_ticks(spark, path), _days(batch)))
+    return missing_keys(batch, read_days(spark, path, _days(batch)))
 
 
 def insert_ignore(
@@ -158,7 +149,7 @@ def bulk_append(
             raise DuplicateTick("the batch repeats a key")
         if files.has_data(spark, path):
             batch = to_rows(ticks, received_at)
-            stored = _of_days(read_ticks(spark, path), _days(batch))
+            stored = read_days(spark, path, _days(batch))
             if not batch.join(stored.select(*TICK_KEY), TICK_KEY, "left_semi").isEmpty():
                 raise DuplicateTick("the table already holds a key")
     append(to_rows(ticks, received_at), path)
@@ -195,7 +186,7 @@ def _rewrite(spark: SparkSession, path: str, changed: DataFrame, days: list[date
 def delete_rows(spark: SparkSession, path: str, keys: DataFrame, key: Sequence[str] = TICK_KEY) -> None:
     """Remove the rows with these keys; only their days are rewritten."""
     days = _days(keys.select(F.to_date("ts").alias("dt")))
-    touched = _of_days(read_ticks(spark, path), days)
+    touched = read_days(spark, path, days)
     rest = touched.join(keys.select(*key).distinct(), list(key), "left_anti").select(*touched.columns)
     _rewrite(spark, path, rest, _days(touched))
 
@@ -206,7 +197,7 @@ def update_rows(
     """Set ``columns`` of the rows with the keys in ``edits`` (one edit per key); only their days
     are rewritten."""
     days = _days(edits.select(F.to_date("ts").alias("dt")))
-    touched = _of_days(read_ticks(spark, path), days)
+    touched = read_days(spark, path, days)
     new = edits.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = touched.join(new, list(key), "left")
     hit = F.coalesce("_hit", F.lit(False))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DateType, StructField, StructType
 
+from ticklake import files
 from ticklake.schemas import CANDLE, CONNECTION_LOG, RAW_TICK, RUN_RESULT
 
 
@@ -12,6 +16,18 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_TICK).parquet(path)
 
 
+def read_days(spark: SparkSession, path: str, days: Iterable[date]) -> DataFrame:
+    """The tick table restricted to some days, without listing the files of the others.
+
+    A batch that touches one day of a table of thousands should not list them all.
+    """
+    folders = files.partition_folders(spark, path)
+    wanted = [folders[d.isoformat()] for d in sorted(days) if d.isoformat() in folders]
+    if not wanted:
+        return spark.createDataFrame([], RAW_TICK)
+    return spark.read.schema(RAW_TICK).option("basePath", path).parquet(*wanted)
+
+
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
     schema = StructType(CANDLE.fields + [StructField("dt", DateType(), True)])
     return spark.read.schema(schema).parquet(path)

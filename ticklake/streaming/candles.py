@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticklake.operators.candles import CANDLE_KEY, merge_partials, ohlcv
+from ticklake.schemas import PARTIAL_CANDLE
 from ticklake.session import adaptive
 from ticklake.sinks.candles import write_batch
 
@@ -50,11 +53,17 @@ def write_partials(
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
     """Partial candles as written: a bucket has one row per batch that touched it."""
-    return spark.read.parquet(path)
+    return spark.read.schema(PARTIAL_CANDLE).parquet(path)
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return merge_partials(read_partials(spark, path))
+def read_merged(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """Merged candles, of the days from ``first`` to ``last`` (inclusive) if given."""
+    rows = read_partials(spark, path)
+    if first is not None:
+        rows = rows.where(F.col("dt") >= F.lit(first))
+    if last is not None:
+        rows = rows.where(F.col("dt") <= F.lit(last))
+    return merge_partials(rows)
 
 
 def late_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ticklake.operators.candles import ohlcv
 from ticklake.schemas import RAW_TICK, TICK
 from ticklake.session import adaptive
-from ticklake.sinks import files
+from ticklake import files
 from ticklake.sinks.candles import Sink, write_batch
 from ticklake.sinks.ticks import append, insert_ignore, new_rows
 from ticklake.sources.candle_topic import decode
