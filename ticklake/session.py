@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -37,10 +38,18 @@ def local_session(cores: str = "8", app: str = "ticklake", **conf: str) -> Spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options every operator relies on (UTC above all)."""
+    """Set the runtime options every operator relies on (UTC above all).
+
+    Python workers are told where this package lies, as they need not start in its folder.
+    """
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if here not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
     return spark
 
 
