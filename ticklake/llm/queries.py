@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import chat, dac, exact_dedup, langid, mixing, packing, sharding, url_reputation
+from ticklake.llm import chat, dac, exact_dedup, langid, mixing, mtree, ngram_join, packing, sharding, url_reputation
 from ticklake.llm.common import table
 from ticklake.session import configure, cut, scratch
 
@@ -39,6 +39,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_ngram_jaccard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op2_token_binary")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "dac")
@@ -46,6 +51,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.documents(spark, path)
 
 
+@query("op3_top_k")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
