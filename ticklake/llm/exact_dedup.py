@@ -36,6 +36,8 @@ from ticklake.session import cut
 #: Keys a bucket may hold before it splits, and the bits a directory grows by when it is too shallow.
 PAGE_KEYS, STEP_BITS = 100_000, 4
 MAX_BITS = 48
+#: Pairs of id and digest up to which the copies that go are sent to all tasks (some 100 bytes each).
+SMALL_PAIRS = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -122,16 +124,15 @@ def duplicates(docs: DataFrame, page_keys: int = PAGE_KEYS, key: Callable[[Colum
 
 def unique(docs: DataFrame, page_keys: int = PAGE_KEYS) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of equal texts."""
-    stay = cut(duplicates(docs, page_keys).where("kept").select("doc_id", F.col("text_sha256").alias("_sha")), "stay")
-    once = cut(
-        docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("_sha"))
-        .groupBy("doc_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "_sha"),
-        "repeated",
-    )
+    pair = ["doc_id", "_sha"]
+    found = cut(duplicates(docs, page_keys).select("doc_id", "kept", F.col("text_sha256").alias("_sha")), "found")
+    # Repeated rows share id and text, so a pair may both stay and go: it is kept once.
+    pairs = found.groupBy(*pair).agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("n"))
+    go = cut(pairs.where("stays = 0").select(*pair), "go")
+    often = cut(pairs.where("stays = 1 and n > 1").select(*pair), "often")
     marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    kept = join_same(marked, stay, ["doc_id", "_sha"], "left_semi")
-    if not once.isEmpty():
-        # Repeated rows share id and text: one of them is taken.
-        repeated = join_same(kept, once, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"])
-        kept = join_same(kept, once, ["doc_id", "_sha"], "left_anti").unionByName(repeated)
+    kept = join_same(marked, F.broadcast(go) if go.count() <= SMALL_PAIRS else go, pair, "left_anti")
+    if not often.isEmpty():
+        repeated = join_same(kept, often, pair, "left_semi").dropDuplicates(pair)
+        kept = join_same(kept, often, pair, "left_anti").unionByName(repeated)
     return kept.drop("_sha")

@@ -357,3 +357,22 @@ def join(
     whole = rows.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return whole.unionByName(alone)
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose id is their component's, with all columns: one of each component.
+
+    Repeated rows count once. Rows that share an id although their texts differ stand or fall together.
+    """
+    found = cut(join(docs, **options), "joined")
+    same_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stay = found.where(same_id).groupBy("doc_id").agg(F.count("*").alias("n"))
+    go = join_same(found.where(~same_id).select("doc_id").distinct(), stay, ["doc_id"], "left_anti")
+    go = cut(go, "go")
+    kept = join_same(docs, F.broadcast(go) if go.count() <= SMALL_IDS else go, ["doc_id"], "left_anti")
+    often = stay.where("n > 1").select("doc_id")
+    if often.isEmpty():
+        return kept
+    often = cut(often, "often")
+    once = join_same(kept, often, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_same(kept, often, ["doc_id"], "left_anti").unionByName(once)
