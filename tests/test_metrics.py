@@ -20,7 +20,7 @@ def test_sliding_rate_divides_by_seconds_with_traffic(spark):
     out = {r.sec: r.rate for r in rates.sliding_rate(counts_, ["k"], 10).collect()}
     assert out == {0: 10.0, 1: 15.0, 9: 20.0, 10: 30.0, 75: 5.0}
     wide = {r.sec: r.rate for r in rates.sliding_rate(counts_, ["k"], 500).collect()}
-    assert wide[75] == 5.0 and wide[10] == 25.0
+    assert wide[75] == 21.0 and wide[10] == 25.0
     assert {r.rate for r in rates.sliding_rate(counts_, ["k"], 0).collect()} == {0.0}
 
 
@@ -41,6 +41,45 @@ def test_held_for_needs_an_unbroken_run(spark):
     assert out[240] == (False, None, False)
 
 
+def test_gaps_break_a_run(spark):
+    points = [(0, 9), (60, 9), (7200, 9), (7260, 9), (7400, 9)]
+    held = metrics.held_for(series(spark, points), ["series"], F.col("value") > 5, 120, slot_s=100, max_gap_s=300)
+    out = {int((r.ts - BASE).total_seconds()): (int((r.since - BASE).total_seconds()), r.firing) for r in held.collect()}
+    assert out == {0: (0, False), 60: (0, False), 7200: (7200, False), 7260: (7200, False), 7400: (7200, True)}
+
+
+def test_null_series_stay(spark):
+    df = series(spark, [(0, 1), (60, 5), (120, 9)]).withColumn("series", F.lit(None).cast("string"))
+    assert metrics.counter_rate(df, ["series"], 300).count() == 3
+    assert rates.deltas(df, ["series"]).where("delta is not null").count() == 2
+    held = metrics.held_for(df, ["series"], F.col("value") > 2, 60)
+    assert [r.firing for r in held.orderBy("ts").collect()] == [False, False, True]
+
+
+def test_nan_breaks_no_limit(spark):
+    df = spark.createDataFrame([(float("nan"),), (9.0,), (1.0,)], "value double")
+    assert df.where(metrics.breaches(F.col("value"), ">", 5)).count() == 1
+
+
+def test_no_job_runs_while_plans_are_built(spark):
+    df = series(spark, [(0, 1), (60, 5)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        metrics.counter_rate(df, ["series"], 300)
+        metrics.held_for(df, ["series"], F.col("value") > 2, 60)
+        rates.deltas(df, ["series"])
+        assert len(tracker.getJobIdsForGroup("building")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_exact_quantiles(spark):
+    df = spark.createDataFrame([(k, x) for k in ("a", None) for x in (5, 1, 2, 2, 9, None)], "k string, x int")
+    out = metrics.exact_quantiles(df, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 1.0}).collect()
+    assert {(r.k, r.lo, r.mid, r.hi) for r in out} == {("a", 1, 2, 9), (None, 1, 2, 9)}
+
+
 def test_alert_rules(spark):
     def rows(metric, values):
         return [(metric, "binance", BASE + timedelta(minutes=i), float(v)) for i, v in enumerate(values)]
@@ -54,7 +93,10 @@ def test_alert_rules(spark):
         + rows("unrelated", [1] * 6)
     )
     samples = spark.createDataFrame(data, "metric string, exchange string, ts timestamp, value double")
-    firing = metrics.evaluate_rules(samples, ["exchange"])
+    job = F.when(F.col("metric") == "probe_success", 'x="1",job="blackbox-health"').otherwise("")
+    firing = metrics.evaluate_rules(samples.withColumn("labels", job), ["exchange"])
+    unlabelled = metrics.evaluate_rules(samples, ["exchange"])
+    assert unlabelled.where("alertname = 'MarketDataWorkerUnhealthy'").isEmpty() and unlabelled.count() > 0
     out = {}
     for r in firing.collect():
         out.setdefault(r.alertname, set()).add(int((r.ts - BASE).total_seconds() // 60))
@@ -93,6 +135,10 @@ def test_histogram_and_quantile(spark):
     assert mean == {"a": 63 / 5, "b": 200.0}
     q = {r.k: r.quantile for r in metrics.histogram_quantile(h, ["k"], 0.5).collect()}
     assert q["a"] == pytest.approx(2 + 3 * 0.5) and q["b"] == 10.0
+    low = {r.k: r.quantile for r in metrics.histogram_quantile(h, ["k"], 0.0).collect()}
+    assert low == {"a": 0.0, "b": 10.0}
+    nulls = df.union(spark.createDataFrame([("a", None)], "k string, x double"))
+    assert metrics.observe(nulls, ["k"], "x", [2.0, 5.0, 10.0]).exceptAll(h).isEmpty()
 
 
 def test_gauges_and_drain(spark):
@@ -144,6 +190,8 @@ def test_fill_and_shares(spark):
     assert {r.channel: r.fill_pct for r in metrics.fill_levels(df).collect()} == {0: 50.0, 1: 25.0, None: 37.5}
     b = spark.createDataFrame([(0, 75), (1, 25)], "channel int, batch_size long")
     assert {r.channel: (r.pct, r.imbalance) for r in metrics.channel_shares(b).collect()} == {0: (75.0, 1.5), 1: (25.0, 0.5)}
+    idle = spark.createDataFrame([(0, 0), (1, 0)], "channel int, batch_size long")
+    assert {(r.total, r.pct) for r in metrics.channel_shares(idle).collect()} == {(0, None)}
 
 
 def test_run_reports(spark):

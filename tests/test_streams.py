@@ -40,10 +40,9 @@ def test_fifo_stream_equals_batch(spark, make_ticks, folder, size, shards):
     assert sorted(r.trade_id for r in out.collect()) == sorted(r.trade_id for r in batch.collect())
 
 
-@pytest.mark.parametrize("precombine", [True, False])
-def test_dedup_within_watermark(spark, make_ticks, folder, precombine):
+def test_dedup_within_watermark(spark, make_ticks, folder):
     ticks = make_ticks(random_ticks(300, 5, 2))
-    out = run(sd.within_watermark(tick_files(spark, ticks, folder()), "1 day", precombine=precombine), spark, folder)
+    out = run(sd.within_watermark(tick_files(spark, ticks, folder()), "1 day"), spark, folder)
     key = ["ticker", "exchange", "ts"]
     assert out.count() == ticks.select(*key).distinct().count()
     assert out.select(*key).exceptAll(dedup.distinct_keys(ticks)).isEmpty()
@@ -131,7 +130,7 @@ def test_replay_after_a_failure_half_way(spark, folder, written):
     class Crash(Exception):
         pass
 
-    def crash(df, n):
+    def crash(df, n, stream):
         raise Crash
 
     failing = Ingest("Binance", job.base, 60, candle_sink=crash)
@@ -152,7 +151,7 @@ def test_replay_after_a_failure_half_way(spark, folder, written):
 def test_batches_run_with_adaptive_execution(spark, wire, folder):
     seen = []
 
-    def sink(df, n):
+    def sink(df, n, stream):
         seen.append((df.sparkSession.conf.get("spark.sql.adaptive.enabled"), df.count()))
 
     job = Ingest("Binance", folder("ingest"), 60, candle_sink=sink)
@@ -161,4 +160,39 @@ def test_batches_run_with_adaptive_execution(spark, wire, folder):
     # Staging of committed work does not pile up.
     from ticklake import files
 
-    assert not files.exists(spark, f"{job.staging}/incoming")
+    for folder_ in files.partition_folders(spark, job.staging, "stream").values():
+        assert not files.exists(spark, f"{folder_}/incoming")
+
+
+def test_first_arrivals_lose_nothing_that_is_late(spark, make_ticks, folder):
+    ticks = make_ticks([("X", 1, 1, 50_000, "B"), ("X", 2, 1, 50_000, "B"), ("X", 3, 1, 5, "B"), ("X", 4, 1, 5, "B")])
+    src, path, cp = folder(), folder(), folder()
+    for _ in range(2):  # the second run finds nothing new
+        stream = tick_files(spark, ticks, src) if not _ else spark.readStream.schema(ticks.schema).parquet(src)
+        sd.first_arrivals(stream, path, cp).awaitTermination()
+    out = sd.read_first_arrivals(spark, path, ticks.schema)
+    assert sorted((r.trade_id, int(r.price)) for r in out.collect()) == [(0, 1), (2, 3)]
+    # a new stream over the same files adds nothing either
+    sd.first_arrivals(spark.readStream.schema(ticks.schema).parquet(src), path, folder()).awaitTermination()
+    assert sd.read_first_arrivals(spark, path, ticks.schema).count() == 2
+
+
+def test_second_feed_and_new_checkpoint(spark, wire, folder):
+    base = folder("ingest")
+    first = [trade(T=MINUTE + i * 10_000, t=i, s="BTC") for i in range(4)] + ["bad one"]
+    second = [trade(T=MINUTE + i * 10_000, t=i, s="ETH") for i in range(4)] + ["bad two"]
+    for values in (first, second, second):
+        job = Ingest("Binance", base, 60)
+        job.start(message_stream(spark, wire(values)), folder("cp")).awaitTermination()
+    assert sorted(r.ticker for r in read_ticks(spark, job.tick_path).collect()) == ["BTC"] * 4 + ["ETH"] * 4
+    assert {(r.ticker, r.ticks) for r in sc.read_merged(spark, job.candle_path).collect()} == {("BTC", 4), ("ETH", 4)}
+    dead = spark.read.parquet(job.dead_path)
+    assert sorted(r.value for r in dead.collect()) == ["bad one", "bad two", "bad two"]
+    assert dead.select("stream").distinct().count() == 3
+
+
+def test_open_candles_after_the_watermark(make_ticks):
+    ticks = make_ticks([("X", 1 + i, 1, 60 * i, "B") for i in range(8)])
+    closed = candles.ohlcv(ticks, 60).where("false")
+    rest = sc.open_candles(ticks, closed, 60, BASE + timedelta(minutes=5, seconds=30))
+    assert {r.start_time for r in rest.collect()} == {BASE + timedelta(minutes=i) for i in (5, 6, 7)}

@@ -161,13 +161,29 @@ def test_fallback_only_on_failure(spark, make_ticks, folder, rows):
 
     c, seen, errors = ohlcv(make_ticks(rows), 60), [], []
     path = folder("fallback")
-    candle_sink.with_fallback(lambda df, n: seen.append(df.count()), path)(c, 1)
+    candle_sink.with_fallback(lambda df, n, stream: seen.append(df.count()), path)(c, 1)
     assert seen == [4] and not files.exists(spark, path)
 
-    def down(df, n):
+    def down(df, n, stream):
         raise ConnectionError("no broker")
 
     sink = candle_sink.with_fallback(down, path, errors.append)
     sink(c, 1)
     sink(c, 1)
-    assert len(errors) == 2 and spark.read.parquet(path).count() == 4
+    from ticklake.sources.tables import read_candles
+
+    stored = read_candles(spark, path)
+    assert len(errors) == 2 and stored.count() == 4 and stored.select("id").distinct().count() == 4
+    sink(c, 2)
+    assert stored.sparkSession.read.schema(stored.schema).parquet(path).count() == 8
+
+
+def test_repeated_edits_are_refused(spark, make_ticks, folder, rows):
+    from ticklake.sinks import ticks as t
+
+    path = folder("edits")
+    t.bulk_append(spark, make_ticks(rows), path)
+    keys = make_ticks(rows).select("ticker", "exchange", "ts").limit(1)
+    edits = keys.union(keys).selectExpr("*", "true as normalized")
+    with pytest.raises(ValueError):
+        t.update_rows(spark, path, edits, ["normalized"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -40,6 +41,12 @@ def partition_folders(spark: SparkSession, path: str, column: str = "dt") -> dic
     return found
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that owns a checkpoint; Spark writes it there before the first batch."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(text)["id"]
+
+
 def parse_day(value: str) -> date | None:
     try:
         return date.fromisoformat(value)

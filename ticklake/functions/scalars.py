@@ -12,8 +12,8 @@ MAX_DECIMAL = "79228162514264337593543950335"
 # Fixed value: seconds from 0001-01-01 to 1970-01-01. Candle buckets count from year 1.
 YEAR_ONE_SECONDS = -62135596800
 
-# Label pattern of the metric text format.
-LABEL_PATTERN = '([a-zA-Z_][a-zA-Z0-9_]*)="([^"]*)"'
+# Label of the metric text format: a name, and a quoted value in which a backslash escapes.
+LABEL_PATTERN = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 # sign, integer digits with thousands commas, eight decimals, the rest of them, trailing sign
 _NUMBER = r"^\s*([+-]?)((?:[0-9][0-9,]*)?)(?:\.([0-9]{0,8})[0-9]*)?\s*([+-]?)\s*$"
@@ -42,7 +42,7 @@ def parse_decimal(text: Column, default: Column | None = None) -> Column:
     # A text that matches is rewritten as sign and digits; one that does not stays as it is.
     # Two signs give digits that do not cast.
     tidy = F.regexp_replace(text, _NUMBER, "=$1$4$2.$3")
-    digits = F.when(tidy != text, F.replace(F.substring(tidy, 2, 200), F.lit(","), F.lit("")))
+    digits = F.when(tidy != text, F.replace(F.substring(tidy, 2, 2147483647), F.lit(","), F.lit("")))
     number = digits.try_cast("decimal(38,8)")
     lenient = F.when(F.abs(number) <= F.lit(MAX_DECIMAL).cast("decimal(38,8)"), number)
     return F.coalesce(
@@ -103,8 +103,15 @@ def uuid4() -> Column:
 
 
 def stable_hash(text: Column) -> Column:
-    """h = 17, then h * 31 + char for each char, in 32-bit wrap-around arithmetic, sign bit off."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("bigint"))
+    """h = 17, then h * 31 + unit for each UTF-16 unit, in 32-bit wrap-around arithmetic, sign bit off."""
+
+    def units(c: Column) -> Column:
+        point = F.ascii(c).cast("bigint")
+        high = F.lit(0xD800) + F.shiftright(point - 0x10000, 10)
+        low = F.lit(0xDC00) + (point - 0x10000).bitwiseAND(F.lit(0x3FF).cast("bigint"))
+        return F.when(point > 0xFFFF, F.array(high, low)).otherwise(F.array(point))
+
+    codes = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), units))
     wrapped = F.aggregate(
         codes,
         F.lit(17).cast("bigint"),
@@ -154,7 +161,7 @@ def partition_name(table: str, day: Column) -> Column:
 
 def partition_day(table: str, name: Column) -> Column:
     """Date in a partition name; null when the suffix is not a valid date."""
-    suffix = F.when(name.startswith(table + "_"), F.substring(name, len(table) + 2, 100))
+    suffix = F.when(name.startswith(table + "_"), F.substring(name, len(table) + 2, 2147483647))
     strict = F.when(suffix.rlike(r"^\d{4}_\d{2}_\d{2}$"), suffix)
     return F.try_to_timestamp(strict, F.lit("yyyy_MM_dd")).cast("date")
 
@@ -181,10 +188,24 @@ def normalise_value_text(text: Column) -> Column:
     )
 
 
+def _label_value(text: Column) -> Column:
+    """The value behind its escapes: backslash, quote and line feed."""
+    halves = F.split(text, r"\\\\", -1)
+    plain = F.transform(halves, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')))
+    return F.array_join(plain, "\\")
+
+
 def label_map(labels: Column) -> Column:
+    """Labels as a map; of a label that is given twice the last value counts."""
     p = F.lit(LABEL_PATTERN)
+    names, values = (F.regexp_extract_all(labels, p, F.lit(i)) for i in (1, 2))
+    places = F.when(F.size(names) > 0, F.sequence(F.lit(1), F.size(names))).otherwise(F.array().cast("array<int>"))
+    last = F.filter(
+        places, lambda i: F.array_position(F.slice(names, i + 1, F.size(names)), F.element_at(names, i)) == 0
+    )
     return F.map_from_arrays(
-        F.regexp_extract_all(labels, p, F.lit(1)), F.regexp_extract_all(labels, p, F.lit(2))
+        F.transform(last, lambda i: F.element_at(names, i)),
+        F.transform(last, lambda i: _label_value(F.element_at(values, i))),
     )
 
 

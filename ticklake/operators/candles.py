@@ -27,16 +27,17 @@ def ohlcv(ticks: DataFrame, interval_s: int, order: str = "arrival", seq: str =
     """One candle per (ticker, exchange, bucket).
 
     A single aggregation with map-side combine, so a hot ticker or bucket shrinks to one
-    row per task before the shuffle. Works on batch and on streaming input.
+    row per task before the shuffle. Works on batch and on streaming input. Ticks without an
+    arrival number decide open and close, by event time, where a bucket has no others.
     """
-    rank = _order(order, seq, "ts")
+    rank, clock = _order(order, seq, "ts"), F.unix_micros(F.col("ts").cast("timestamp"))
     return (
         ticks.groupBy(bucket_window(F.col("ts"), interval_s).alias("w"), "ticker", "exchange")
         .agg(
-            F.min_by("price", rank).alias("open"),
+            F.coalesce(F.min_by("price", rank), F.min_by("price", clock)).alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", rank).alias("close"),
+            F.coalesce(F.max_by("price", rank), F.max_by("price", clock)).alias("close"),
             F.sum("volume").alias("volume"),
             F.count("*").alias("ticks"),
             F.min(seq).alias("first_seq"),
@@ -61,10 +62,10 @@ def ohlcv(ticks: DataFrame, interval_s: int, order: str = "arrival", seq: str =
 
 
 _MERGED = (
-    lambda: F.min_by("open", "first_seq").alias("open"),
+    lambda: F.coalesce(F.min_by("open", "first_seq"), F.min_by("open", "start_time")).alias("open"),
     lambda: F.max("high").alias("high"),
     lambda: F.min("low").alias("low"),
-    lambda: F.max_by("close", "last_seq").alias("close"),
+    lambda: F.coalesce(F.max_by("close", "last_seq"), F.max_by("close", "start_time")).alias("close"),
     lambda: F.sum("volume").alias("volume"),
     lambda: F.sum("ticks").alias("ticks"),
     lambda: F.min("first_seq").alias("first_seq"),

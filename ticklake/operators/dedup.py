@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
 
@@ -14,19 +14,26 @@ _FIXED_WIDTH = (NumericType, DecimalType, TimestampType, TimestampNTZType, DateT
 
 
 def first_arrival(df: DataFrame, key: Sequence[str] = TICK_KEY, seq: str = "trade_id") -> DataFrame:
-    """Keep the row with the smallest arrival number per key.
+    """Keep the row with the smallest arrival number per key; without any number, one of the rows.
+
+    Rows whose number is null only count where their key has no other; a hash of the row then decides.
 
     An aggregation, not a row_number window: copies collapse on the map side, so one key
     with very many copies never meets in one task. Fixed-width columns stay in hash
     aggregation; anything else travels as one struct.
     """
     rest = [c for c in df.columns if c not in key and c != seq]
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+
+    def chosen(value) -> Column:
+        return F.when(F.min(seq).isNotNull(), F.min_by(value, F.col(seq))).otherwise(F.min_by(value, tie))
+
     if all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in rest):
-        out = df.groupBy(*key).agg(F.min(seq).alias(seq), *[F.min_by(c, seq).alias(c) for c in rest])
+        out = df.groupBy(*key).agg(F.min(seq).alias(seq), *[chosen(F.col(c)).alias(c) for c in rest])
     else:
         out = (
             df.groupBy(*key)
-            .agg(F.min(seq).alias(seq), F.min_by(F.struct(*rest), seq).alias("_rest"))
+            .agg(F.min(seq).alias(seq), chosen(F.struct(*rest)).alias("_rest"))
             .select(*key, seq, "_rest.*")
         )
     return out.select(*df.columns)
@@ -36,10 +43,12 @@ def mark_repeats(df: DataFrame, key: Sequence[str] = TICK_KEY, seq: str = "trade
     """All rows, with ``repeat`` true on every arrival after the first of its key.
 
     The first arrivals are joined back on (key, seq), a key no two rows share, so copies of
-    one tick spread over many tasks.
+    one tick spread over many tasks. Null key parts match null. Copies without any arrival number
+    cannot be told apart and are no repeats.
     """
-    firsts = df.groupBy(*key).agg(F.min(seq).alias(seq)).select(*key, seq, F.lit(False).alias("repeat"))
-    return df.join(firsts, [*key, seq], "left").select(
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*key, seq])]).alias("_k")
+    firsts = df.groupBy(*key).agg(F.min(seq).alias(seq)).select(place, F.lit(False).alias("repeat"))
+    return df.select("*", place).join(firsts, "_k", "left").select(
         *df.columns, F.coalesce("repeat", F.lit(True)).alias("repeat")
     )
 

@@ -82,5 +82,6 @@ def fifo_dedup(
                 keep.append(memory.admit(k))
             yield pdf[keep]
 
-    ordered = marked.repartition(shards, "shard").sortWithinPartitions("shard", seq)
+    # The shard number is the partition, so no two shards share a task while others are idle.
+    ordered = marked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", seq)
     return ordered.mapInPandas(run, schema)

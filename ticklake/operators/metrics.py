@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticklake.functions import fill_percent
-from ticklake.operators import ordered, rates
-from ticklake.session import cut
+from ticklake.functions import fill_percent, label_map
+from ticklake.operators import ordered
 
 # Metrics of the runtime rather than of the pipeline.
 RUNTIME_METRICS = "^process_runtime|^target_info"
@@ -65,13 +64,14 @@ def drain_time(totals: DataFrame) -> DataFrame:
 def channel_shares(batches: DataFrame, slot: str = "channel", amount: str = "batch_size") -> DataFrame:
     """Load per channel, its share in percent, and the ratio to an even split."""
     per = batches.groupBy(slot).agg(F.sum(amount).alias("total"))
-    whole = per.agg(F.sum("total").alias("t"), F.count("*").alias("n"))
-    # Two aggregate values of a one-row frame.
+    # One row per channel, so the window over all of them is small.
+    every = Window.partitionBy()
+    whole, n = F.sum("total").over(every), F.count("*").over(every)
     return per.select(
         slot,
         "total",
-        (F.col("total") * 100.0 / whole.select("t").scalar()).alias("pct"),
-        (F.col("total") * 1.0 * whole.select("n").scalar() / whole.select("t").scalar()).alias("imbalance"),
+        F.try_divide(F.col("total") * F.lit(100.0), whole).alias("pct"),
+        F.try_divide(F.col("total") * F.lit(1.0) * n, whole).alias("imbalance"),
     )
 
 
@@ -165,6 +165,8 @@ def observe(
 ) -> DataFrame:
     """Histogram of a column: rows (labels, le, cumulative, count, sum), ``+Inf`` as infinity.
 
+    A null value is no observation.
+
     ``total`` names a decimal column to sum instead, for a sum that does not depend on order.
 
     Rows are counted per label set and bucket first. The running count then sees at most
@@ -175,7 +177,7 @@ def observe(
     place = F.lit(len(edges) - 1)
     for i in reversed(range(len(bounds))):
         place = F.when(F.col(value) <= edges[i], F.lit(i)).otherwise(place)
-    slots = df.groupBy(*labels, place.alias("_i")).agg(
+    slots = df.where(F.col(value).isNotNull()).groupBy(*labels, place.alias("_i")).agg(
         F.count("*").alias("_n"), F.sum(total or value).alias("_s")
     )
     per_label = slots.groupBy(*labels).agg(
@@ -218,7 +220,9 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> D
         F.coalesce(F.lag("cumulative").over(by), F.lit(0)).alias("_below"),
         (F.lit(float(q)) * F.col("count")).alias("_rank"),
     )
-    hit = steps.where((F.col("cumulative") >= F.col("_rank")) & (F.col("_below") < F.col("_rank")))
+    # The lowest quantile is the lower end of the first bucket that holds anything.
+    lowest = (F.col("_rank") == 0) & (F.col("_below") == 0) & (F.col("cumulative") > 0)
+    hit = steps.where(((F.col("cumulative") >= F.col("_rank")) & (F.col("_below") < F.col("_rank"))) | lowest)
     inside = F.col("_lo") + (F.col("le") - F.col("_lo")) * (F.col("_rank") - F.col("_below")) / (
         F.col("cumulative") - F.col("_below")
     )
@@ -227,8 +231,24 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float) -> D
     )
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Discrete quantiles per group: the smallest value that at least that part of the rows reaches.
+
+    Rows are counted per value, and the quantiles read off the running count, so a hot group is one
+    row per task and value; groups of very many different values are worked through in chunks of
+    their value's range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    running = ordered.running_sum(counts, keys, value, {"_until": F.col("_n")}, ordered.spread_chunk(counts, value))
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(1)
+    whole = counts.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(place.alias("_k"), "_all")
+    joined = running.withColumn("_k", place).join(whole, "_k")
+    reached = {n: F.min(F.when(F.col("_until") >= F.ceil(F.col("_all") * F.lit(q)), F.col(value))) for n, q in wanted.items()}
+    return joined.groupBy(*keys).agg(*[e.alias(n) for n, e in reached.items()])
+
+
 def insert_efficiency(batches: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Inserted per received, and write time: mean and worst batch."""
+    """Inserted per received, and write time of the slowest batch."""
     return batches.groupBy(*labels).agg(
         F.count("*").alias("batches"),
         F.sum("batch_size").alias("received"),
@@ -240,7 +260,8 @@ def insert_efficiency(batches: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 # --- alerts -------------------------------------------------------------------------------
 
-# Alert rules as (name, severity, metric, comparison, threshold, minutes held).
+# Alert rules as (name, severity, metric, comparison, threshold, minutes held), and the
+# label that the samples must carry, if any.
 ALERT_RULES = [
     ("MarketDataChannelBacklogHigh", "warning", "processor_channel_backlog", ">", 50000, 2),
     ("MarketDataChannelBacklogCritical", "critical", "processor_channel_backlog", ">", 100000, 2),
@@ -248,7 +269,7 @@ ALERT_RULES = [
     ("MarketDataAllWebSocketsDown", "critical", "ws_active_connections", "==", 0, 3),
     ("MarketDataWebSocketsDegraded", "warning", "ws_active_connections", "<", 3, 5),
     ("MarketDataExceptionsSpike", "warning", "rate:exceptions_total", ">", 10, 5),
-    ("MarketDataWorkerUnhealthy", "critical", "probe_success", "==", 0, 2),
+    ("MarketDataWorkerUnhealthy", "critical", "probe_success", "==", 0, 2, ("job", "blackbox-health")),
 ]
 
 
@@ -258,11 +279,12 @@ def counter_rate(
     """Growth per second of a counter over the trailing window, at each sample.
 
     Takes one sample per series and instant (``rates.one_per_instant`` makes it so).
-    Growth is summed between the samples inside the window; a counter that falls was reset
-    and grew by its new value. Null where the window holds a single sample.
+    Growth is summed between the samples inside the window and divided by the whole window, also
+    where the series is younger; a counter that falls was reset and grew by its new value. Null
+    where the window holds a single sample.
     """
     slot_s = max(3600, window_s)
-    stepped = ordered.previous(cut(samples), keys, "ts", {"_prev": value}, ordered.time_chunk("ts", slot_s))
+    stepped = ordered.previous(samples, keys, "ts", {"_prev": value}, ordered.time_chunk("ts", slot_s))
     grown = stepped.withColumn(
         "_grow",
         F.when(F.col("_prev").isNull(), F.lit(0)).when(F.col(value) < F.col("_prev"), F.col(value)).otherwise(
@@ -286,60 +308,84 @@ def counter_rate(
 
 
 def held_for(
-    samples: DataFrame, keys: Sequence[str], condition: Column, seconds: int, slot_s: int = 3600
+    samples: DataFrame,
+    keys: Sequence[str],
+    condition: Column,
+    seconds: int,
+    slot_s: int = 3600,
+    max_gap_s: float | None = None,
 ) -> DataFrame:
     """Mark the samples at which the condition has held without a break for ``seconds``.
 
     Takes one sample per series and instant (``rates.one_per_instant`` makes it so).
-    ``since`` is the first sample of the unbroken run; ``firing`` is true once it is old enough.
+    ``since`` is the first sample of the unbroken run; ``firing`` is true once it is old enough. With
+    ``max_gap_s`` a run does not reach across a longer time without samples.
     """
     chunk = ordered.time_chunk("ts", slot_s)
-    state = cut(samples.withColumn("active", F.coalesce(condition, F.lit(False))))
-    before = cut(ordered.previous(state, keys, "ts", {"_was": "active"}, chunk))
-    starts = F.when(F.col("active") & ~F.coalesce(F.col("_was"), F.lit(False)), F.col("ts"))
-    run = ordered.running_max(before, keys, ["ts"], {"_start": starts}, chunk)
-    since = F.when(F.col("active"), F.col("_start"))
-    old = (F.unix_micros("ts") - F.unix_micros("_start")) >= F.lit(seconds * 1_000_000)
-    return run.select(
-        *samples.columns, "active", since.alias("since"), (F.col("active") & old).alias("firing")
-    )
+    state = samples.withColumn("active", F.coalesce(condition, F.lit(False)))
+    run = ordered.run_starts(state, keys, "ts", "active", "since", chunk, max_gap_s)
+    old = (F.unix_micros("ts") - F.unix_micros("since")) >= F.lit(seconds * 1_000_000)
+    return run.withColumn("firing", F.coalesce(F.col("active") & old, F.lit(False)))
 
 
 def breaches(value: Column, comparison: str, threshold: float) -> Column:
+    """Whether a value breaks a limit; NaN breaks none."""
     limit = F.lit(threshold)
-    return {">": value > limit, "<": value < limit, "==": value == limit}[comparison]
+    hit = {">": value > limit, "<": value < limit, "==": value == limit}[comparison]
+    return hit & ~F.isnan(value.cast("double"))
+
+
+def _selected(samples: DataFrame, label: tuple[str, str] | None) -> Column:
+    """Whether samples carry a label, given as a column of its name or inside ``labels`` text."""
+    if label is None:
+        return F.lit(True)
+    name, value = label
+    if name in samples.columns:
+        return F.coalesce(F.col(name) == value, F.lit(False))
+    if "labels" in samples.columns:
+        return F.coalesce(F.try_element_at(label_map(F.col("labels")), F.lit(name)) == value, F.lit(False))
+    return F.lit(False)
 
 
 def evaluate_rules(
-    samples: DataFrame, keys: Sequence[str], rules=ALERT_RULES, window_s: int = 300
+    samples: DataFrame, keys: Sequence[str], rules=ALERT_RULES, window_s: int = 300, max_gap_s: float | None = None
 ) -> DataFrame:
     """All alert rules over samples (metric, keys, ts, value): one row per sample and rule that fires.
 
     Rules share one pass: each sample is matched with the rules of its metric, then the
-    unbroken runs are followed per (rule, series).
+    unbroken runs are followed per (rule, series). A rule with a label looks only at samples that
+    carry it: in a column of the label's name, or in a ``labels`` column. Samples with neither column
+    never meet such a rule.
     """
-    samples = cut(samples)
-    kinds = {m for _, _, m, *_ in rules}
+    rules = [(*r, None)[:7] for r in rules]
+    chosen = {label for *_, label in rules if label}
+    marks = {label: f"_has_{i}" for i, label in enumerate(sorted(chosen))}
+    samples = samples.select("*", *[_selected(samples, label).alias(c) for label, c in marks.items()])
+    kinds = {r[2] for r in rules}
     plain = samples.where(F.col("metric").isin([m for m in kinds if not m.startswith("rate:")]))
     counters = samples.where(F.col("metric").isin([m[5:] for m in kinds if m.startswith("rate:")]))
+    held = [*keys, *marks.values()]
     rated = counter_rate(counters, ["metric", *keys], window_s).select(
-        F.concat(F.lit("rate:"), "metric").alias("metric"), *keys, "ts", F.col("rate").alias("value")
+        F.concat(F.lit("rate:"), "metric").alias("metric"), *held, "ts", F.col("rate").alias("value")
     )
-    readings = plain.select("metric", *keys, "ts", F.col("value").cast("double").alias("value")).unionByName(rated)
+    readings = plain.select("metric", *held, "ts", F.col("value").cast("double").alias("value")).unionByName(rated)
 
     matched = F.lit(None)
     entry = "struct<alertname:string,severity:string,hold_s:int,hit:boolean>"
     for metric in sorted(kinds):
         mine = [
-            F.struct(F.lit(n), F.lit(s), F.lit(m * 60), breaches(F.col("value"), op, t)).cast(entry)
-            for n, s, k, op, t, m in rules
+            F.when(
+                F.col(marks[label]) if label else F.lit(True),
+                F.struct(F.lit(n), F.lit(s), F.lit(m * 60), breaches(F.col("value"), op, t)).cast(entry),
+            )
+            for n, s, k, op, t, m, label in rules
             if k == metric
         ]
         matched = F.when(F.col("metric") == metric, F.array(*mine)).otherwise(matched)
     per_rule = readings.select("metric", *keys, "ts", "value", F.explode(matched).alias("r")).select(
         "metric", *keys, "ts", "value", "r.*"
-    )
-    followed = held_for(per_rule, ["alertname", *keys], F.col("hit"), 0)
+    ).where("alertname is not null")
+    followed = held_for(per_rule, ["alertname", *keys], F.col("hit"), 0, max_gap_s=max_gap_s)
     age = F.unix_micros("ts") - F.unix_micros("since")
     return followed.where(F.col("active") & (age >= F.col("hold_s") * 1_000_000)).select(
         "alertname", "severity", *keys, "ts", "value", "since"
@@ -400,8 +446,7 @@ def client_rows(counts: DataFrame, log: DataFrame, at: int, seconds: int = 10) -
     ``counts`` holds messages per (exchange, ticker, sec); the rate is the sliding mean that
     ends at second ``at``.
     """
-    width = min(seconds, rates.MAX_WINDOW_S)
-    recent = (F.col("sec") > at - width) & (F.col("sec") <= at)
+    recent = (F.col("sec") > at - seconds) & (F.col("sec") <= at)
     state = log.groupBy("exchange").agg(F.max_by("status", "seq").alias("status"))
     per_client = counts.groupBy("exchange", F.col("ticker").alias("symbol")).agg(
         F.coalesce(F.avg(F.when(recent, F.col("n"))), F.lit(0.0)).alias("rate"),

@@ -8,8 +8,8 @@ series) may hold a third of all rows. So the ordered axis is cut into chunks:
 * *sliding* operators copy the rows of the last ``width`` units of a slot into the next one,
   so every frame is complete inside its slot.
 
-Prefix operators read their input twice, once for the rows and once for the totals; callers
-whose input is more than a scan write it out first (``session.cut``).
+Prefix operators read their input twice, once for the rows and once for the totals, and write
+nothing; a caller whose input costs much more than a scan may write it out first (``session.cut``).
 
 Both cut by an expression over the row itself, which gives the same chunks on every retry.
 Callers choose chunks that bound the rows in them: ``seq div n`` over a unique number holds
@@ -36,76 +36,134 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.call_function("div", F.unix_micros(F.col(ts)), F.lit(seconds * 1_000_000))
 
 
-def _carry_join(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Same keys as the local window, so one shuffle of df serves join and window.
-    return df.join(carry, [*keys, "_chunk"])
+def spread_chunk(df: DataFrame, seq: str, parts: int = 1024) -> Column:
+    """Chunk number of any arrival number: the span of the numbers in ``parts`` equal pieces.
 
+    However sparse the numbers are, there are no more chunks than that.
+    """
+    ends = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    return F.floor((F.col(seq) - lo).cast("double") * parts / (hi - lo + 1)).cast("bigint")
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], chunk: Column
-) -> DataFrame:
-    """Add one running total per entry of ``values`` (name -> summed expression)."""
-    return _running(df, keys, order, values, chunk, F.sum, lambda a, b: a + b, F.lit(0))
 
+def _place(keys: Sequence[str], chunk: Column) -> Column:
+    """Group and chunk as one struct: never null itself, and null members are equal to each other."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk"))
 
-def running_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], chunk: Column
-) -> DataFrame:
-    """Add one running maximum per entry; null until the first non-null value."""
-    return _running(df, keys, order, values, chunk, F.max, F.greatest, None)
 
+def _chunks(keys: Sequence[str]):
+    """The chunks of a group in order, as a window over one row per chunk."""
+    return Window.partitionBy(*[F.col("_k")[f"k{i}"] for i in range(len(keys))]).orderBy(F.col("_k")["chunk"])
 
-def _running(df, keys, order, values, chunk, agg, combine, empty):
-    src = df.select("*", chunk.alias("_chunk"), *[e.alias(f"_v_{n}") for n, e in values.items()])
-    totals = src.groupBy(*keys, "_chunk").agg(*[agg(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+def prefix(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    chunk: Column,
+    sums: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
+    maxima_before: dict[str, Column] | None = None,
+    lags: dict[str, str] | None = None,
+) -> DataFrame:
+    """Running values and previous rows per group, in one pass over the rows.
+
+    Adds a running total per entry of ``sums``, a running maximum per entry of ``maxima`` (of
+    ``maxima_before``: over the rows before), and the value of the row before per entry of ``lags``
+    (name -> column; ``order`` is then unique per group). Null keys form groups like any other.
+    """
+    sums, maxima, earlier, lags = sums or {}, maxima or {}, maxima_before or {}, lags or {}
+    every = {**sums, **maxima, **earlier}
+    src = df.select("*", _place(keys, chunk).alias("_k"), *[e.alias(f"_v_{n}") for n, e in every.items()])
+    last = [F.max_by(F.struct(*[F.col(c).alias(n) for n, c in lags.items()]), order).alias("_last")] if lags else []
+    totals = src.groupBy("_k").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in (*maxima, *earlier)],
+        *last,
+    )
+    chunks = _chunks(keys)
+    past = chunks.rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, "_chunk", *[agg(f"_t_{n}").over(before).alias(f"_c_{n}") for n in values]
+        "_k",
+        *[F.sum(f"_t_{n}").over(past).alias(f"_c_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(past).alias(f"_c_{n}") for n in (*maxima, *earlier)],
+        *([F.lag("_last").over(chunks).alias("_last")] if lags else []),
     )
-    local = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Same key as the local windows, so one shuffle of the rows serves join and windows.
+    out = src.join(carry, "_k")
+    rows = Window.partitionBy("_k").orderBy(order)
+    until, before = (rows.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    first = F.row_number().over(rows) == 1
+    zero = F.lit(0)
+    return out.select(
+        *df.columns,
+        *[(F.coalesce(F.sum(f"_v_{n}").over(until), zero) + F.coalesce(f"_c_{n}", zero)).alias(n) for n in sums],
+        *[F.greatest(F.max(f"_v_{n}").over(until), F.col(f"_c_{n}")).alias(n) for n in maxima],
+        *[F.greatest(F.max(f"_v_{n}").over(before), F.col(f"_c_{n}")).alias(n) for n in earlier],
+        *[F.when(first, F.col("_last")[n]).otherwise(F.lag(c).over(rows)).alias(n) for n, c in lags.items()],
     )
-    out = _carry_join(src, carry, keys)
-    columns = []
-    for n in values:
-        here, past = agg(f"_v_{n}").over(local), F.col(f"_c_{n}")
-        if empty is not None:
-            here, past = F.coalesce(here, empty), F.coalesce(past, empty)
-        columns.append(combine(here, past).alias(n))
-    return out.select(*df.columns, *columns)
-
-
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: Column
-) -> DataFrame:
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], chunk: Column) -> DataFrame:
+    """Add one running total per entry of ``values`` (name -> summed expression)."""
+    return prefix(df, keys, order, chunk, sums=values)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], chunk: Column) -> DataFrame:
+    """Add one running maximum per entry; null until the first non-null value."""
+    return prefix(df, keys, order, chunk, maxima=values)
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str, chunk: Column) -> DataFrame:
     """Add a 1-based row number per group."""
     return running_sum(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk)
 
 
-def previous(
-    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], chunk: Column
-) -> DataFrame:
+def previous(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], chunk: Column) -> DataFrame:
     """Add the value of the row before, per group (name -> source column). ``order`` is unique per group."""
-    src = df.select("*", chunk.alias("_chunk"))
-    last = src.groupBy(*keys, "_chunk").agg(
-        *[F.max_by(c, order).alias(f"_l_{n}") for n, c in values.items()]
+    return prefix(df, keys, order, chunk, lags=values)
+
+
+def run_starts(
+    df: DataFrame, keys: Sequence[str], ts: str, active: str, name: str, chunk: Column, max_gap_s: float | None = None
+) -> DataFrame:
+    """Add ``name``: where the unbroken run of ``active`` rows that a row belongs to began (null outside).
+
+    With ``max_gap_s`` a longer time between two rows breaks a run.
+    """
+
+    def begins(was: Column, before: Column, now: Column) -> Column:
+        broken = ~F.coalesce(was, F.lit(False))
+        if max_gap_s is not None:
+            gap = F.unix_micros(now.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
+            broken = broken | (gap > F.lit(int(max_gap_s * 1_000_000)))
+        return broken
+
+    rows = Window.partitionBy("_k").orderBy(ts)
+    src = df.select("*", _place(keys, chunk).alias("_k")).select(
+        "*", F.lag(active).over(rows).alias("_was"), F.lag(ts).over(rows).alias("_at"), F.row_number().over(rows).alias("_rn")
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = last.select(
-        *keys, "_chunk", *[F.lag(f"_l_{n}").over(by_chunk).alias(f"_c_{n}") for n in values]
+    inner = F.when(F.col(active) & (F.col("_rn") > 1) & begins(F.col("_was"), F.col("_at"), F.col(ts)), F.col(ts))
+    src = src.withColumn("_inner", inner)
+    end = F.struct(F.col(active).alias("on"), F.col(ts).alias("at"))
+    ends = src.groupBy("_k").agg(
+        F.min_by(end, ts).alias("_first"), F.max_by(end, ts).alias("_end"), F.max("_inner").alias("_latest")
     )
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    out = _carry_join(src, carry, keys)
-    first_here = F.row_number().over(local) == 1
-    return out.select(
-        *df.columns,
-        *[
-            F.when(first_here, F.col(f"_c_{n}")).otherwise(F.lag(c).over(local)).alias(n)
-            for n, c in values.items()
-        ],
+    chunks = _chunks(keys)
+    past = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.withColumn("_prior", F.lag("_end").over(chunks))
+    opening = F.when(
+        F.col("_first.on") & begins(F.col("_prior.on"), F.col("_prior.at"), F.col("_first.at")), F.col("_first.at")
+    )
+    known = known.withColumn("_opening", opening)
+    carry = known.select(
+        "_k", "_opening", F.max(F.coalesce("_latest", "_opening")).over(past).alias("_carried")
     )
+    start = F.when(F.col("_rn") == 1, F.col("_opening")).otherwise(F.col("_inner"))
+    out = src.join(carry, "_k").withColumn("_start", start)
+    until = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    began = F.coalesce(F.max("_start").over(until), F.col("_carried"))
+    return out.select(*df.columns, F.when(F.col(active), began).alias(name))
 
 
 def sliding(

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklake.operators import ordered
-from ticklake.session import cut
-
-MAX_WINDOW_S = 60
 
 
 def per_second(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,16 +19,15 @@ def per_second(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sliding_rate(counts: DataFrame, keys: Sequence[str], seconds: int = 10, axis: str = "sec") -> DataFrame:
     """Mean messages per second over the last ``seconds``, divided by the non-empty ones only.
 
-    At most 60 seconds count; a window of zero or less is a rate of 0.
+    A window of zero or less is a rate of 0.
     """
     if seconds <= 0:
         return counts.withColumn("rate", F.lit(0.0))
-    width = min(seconds, MAX_WINDOW_S)
     total = ordered.sliding(
         counts,
         keys,
         axis,
-        width,
+        seconds,
         {"_sum": lambda w: F.sum("n").over(w), "_seconds": lambda w: F.count("n").over(w)},
     )
     return total.withColumn("rate", F.col("_sum") / F.col("_seconds")).drop("_sum", "_seconds")
@@ -55,7 +51,7 @@ def deltas(
 ) -> DataFrame:
     """Difference to the sample before, with seconds between them; null on the first sample."""
     out = ordered.previous(
-        cut(samples), keys, "ts", {"_v": value, "_t": "ts"}, ordered.time_chunk("ts", slot_s)
+        samples, keys, "ts", {"_v": value, "_t": "ts"}, ordered.time_chunk("ts", slot_s)
     )
     return out.select(
         *samples.columns,
@@ -77,8 +73,9 @@ def health_deltas(health: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Drops count from the highest estimate seen so far, so a fall and recovery adds nothing.
     """
     slot = ordered.time_chunk("ts", 3600)
-    peak = ordered.running_max(cut(health), keys, ["ts"], {"_peak": F.col("dropped")}, slot)
-    top = ordered.previous(cut(peak), keys, "ts", {"_b": "backlog", "_before": "_peak"}, slot)
+    top = ordered.prefix(
+        health, keys, "ts", slot, maxima_before={"_before": F.col("dropped")}, lags={"_b": "backlog"}
+    )
     zero = F.lit(0)
     backlog = F.col("backlog") - F.coalesce("_b", zero)
     drops = F.greatest(F.col("dropped") - F.greatest(F.coalesce("_before", zero), zero), zero)
@@ -92,7 +89,7 @@ def health_deltas(health: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def progress_marks(batches: DataFrame, every: int = 20_000, seq: str = "batch_id") -> DataFrame:
     """Batches after which the running total has just passed a multiple of ``every``."""
     total = ordered.running_sum(
-        batches, [], [seq], {"total": F.col("inserted")}, ordered.seq_chunk(seq)
+        batches, [], seq, {"total": F.col("inserted")}, ordered.spread_chunk(batches, seq)
     )
     return total.where(F.col("total") % every < F.col("inserted"))
 
@@ -101,7 +98,7 @@ def every_nth(batches: DataFrame, n: int, seq: str = "batch_id") -> DataFrame:
     """Every n-th batch in arrival order; n of 1 or less keeps all."""
     if n <= 1:
         return batches
-    numbered = ordered.row_numbers(batches, [], [seq], "_rn", ordered.seq_chunk(seq))
+    numbered = ordered.row_numbers(batches, [], seq, "_rn", ordered.spread_chunk(batches, seq))
     return numbered.where(F.col("_rn") % n == 0).drop("_rn")
 
 
@@ -109,5 +106,5 @@ def active_connections(log: DataFrame, seq: str = "seq") -> DataFrame:
     """Open connections per exchange after each event."""
     step = F.when(F.col("status") == "Connected", 1).when(F.col("status") == "Disconnected", -1).otherwise(0)
     return ordered.running_sum(
-        log, ["exchange"], [seq], {"active": step.cast("bigint")}, ordered.seq_chunk(seq)
+        log, ["exchange"], seq, {"active": step.cast("bigint")}, ordered.spread_chunk(log, seq)
     )

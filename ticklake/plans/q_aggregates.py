@@ -63,6 +63,20 @@ _LINES = """with tk as (
          l_shipdate as ts from lineitem)"""
 
 
+# Ticks without any trade id: open and close follow the clock, and none is lost.
+@query(
+    "agg01_without_trade_ids",
+    v.TK
+    + """, cd as (select ticker, exchange, time_bucket(interval '1 hour', ts) as start_time, count(*) as ticks,
+        min_by(price, ts) as open, max_by(price, ts) as close, min(ts) as lo, max(ts) as hi from tk group by all)
+    select cd.ticker, cd.exchange, start_time, ticks, cast(open as double) as open, cast(close as double) as close
+    from cd""",
+)
+def agg01_without_ids(spark, d):
+    bare = v.ticks(spark, d).withColumn("trade_id", F.lit(None).cast("bigint"))
+    return candles.ohlcv(bare, 3600).select("ticker", "exchange", "start_time", "ticks", "open", "close")
+
+
 @query(
     "agg01_ohlcv_lineitem",
     _LINES
@@ -233,11 +247,8 @@ def met10_quantile(spark, d):
       quantile_disc(cast(l_quantity as integer), 0.95) as p95 from lineitem group by 1""",
 )
 def met10_raw(spark, d):
-    # At most 10,000 distinct values are kept exactly; quantities are whole numbers up to 50.
-    x = F.col("l_quantity").cast("int")
-    return v.table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.percentile_approx(x, 0.5, 10000).alias("median"), F.percentile_approx(x, 0.95, 10000).alias("p95")
-    )
+    rows = v.table(spark, d, "lineitem").withColumn("x", F.col("l_quantity").cast("int"))
+    return metrics.exact_quantiles(rows, ["l_returnflag"], "x", {"median": 0.5, "p95": 0.95})
 
 
 @query(

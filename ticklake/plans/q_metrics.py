@@ -66,6 +66,50 @@ def met04(spark, d):
     return held.select("metric", "exchange", "ts", "active", "since", F.coalesce("firing", F.lit(False)).alias("firing"))
 
 
+# The second exchange's name is missing: its series must not vanish.
+_UNNAMED = v.GAUGE + """, un as (select metric, nullif(exchange, 'Kraken') as exchange, ts, value from ga)"""
+
+
+def _unnamed(spark, d):
+    return v.gauges(spark, d).withColumn("exchange", F.nullif("exchange", F.lit("Kraken")))
+
+
+@query(
+    "met02_unnamed_series",
+    _UNNAMED + _RATE.format(src="un") + "select metric, exchange, ts, cast(value as double) as value, rate from rt",
+)
+def met02_unnamed(spark, d):
+    return metrics.counter_rate(_unnamed(spark, d), ["metric", "exchange"], 21600).select(
+        "metric", "exchange", "ts", "value", "rate"
+    )
+
+
+@query(
+    "met04_gaps_and_unnamed",
+    _UNNAMED
+    + """, ac as (select *, value > 20 as active, lag(ts) over w as before, lag(value > 20) over w as was from un
+        window w as (partition by metric, exchange order by ts)),
+    isl as (select *, sum(case when active and was and ts - before <= interval 3 hour then 0 else 1 end)
+        over (partition by metric, exchange order by ts) as g from ac),
+    sn as (select *, case when active then min(ts) over (partition by metric, exchange, g) end as since from isl)
+    select metric, exchange, ts, active, since, coalesce(active and ts - since >= interval 2 hour, false) as firing
+    from sn""",
+)
+def met04_gaps(spark, d):
+    held = metrics.held_for(_unnamed(spark, d), ["metric", "exchange"], F.col("value") > 20, 7200, max_gap_s=10800)
+    return held.select("metric", "exchange", "ts", "active", "since", "firing")
+
+
+@query(
+    "met03_threshold_nan",
+    v.GAUGE + "select metric, exchange, ts from ga where value > 75 and exchange = 'Binance'",
+)
+def met03_nan(spark, d):
+    # NaN is above every number in Spark's order; it must not break a limit.
+    value = F.when(F.col("exchange") == "Binance", F.col("value").cast("double")).otherwise(F.lit(float("nan")))
+    return v.gauges(spark, d).where(metrics.breaches(value, ">", 75)).select("metric", "exchange", "ts")
+
+
 # Samples under the names the alert rules watch; values scaled so that rules fire.
 _NAMES = {
     "click": ("processor_channel_backlog", 2000),
@@ -84,7 +128,8 @@ def _watched(spark, d):
         number = F.col("value") * scale if scale else F.floor(F.col("value") / 25)
         name = F.when(here, target).otherwise(name)
         value = F.when(here, number.cast("decimal(30,2)")).otherwise(value)
-    return g.select(name.alias("metric"), "exchange", "ts", value.alias("value"))
+    job = F.concat(F.lit('job="'), F.when(F.col("exchange") == "Binance", "blackbox-health").otherwise("node"), F.lit('"'))
+    return g.select(name.alias("metric"), "exchange", "ts", value.alias("value"), job.alias("labels"))
 
 
 _WATCHED = (
@@ -106,7 +151,8 @@ _WATCHED = (
     rd as (select metric, exchange, ts, case when metric in ('ticks_dropped_silently_total', 'exceptions_total')
         then rate else cast(value as double) end as value from rt),
     al as (select alertname, severity, hold, exchange, ts, value, coalesce(case op when '>' then value > lim
-        when '<' then value < lim else value = lim end, false) as active from rd join rules using (metric)),
+        when '<' then value < lim else value = lim end, false) as active from rd join rules using (metric)
+      where alertname <> 'MarketDataWorkerUnhealthy' or exchange = 'Binance'),
     isl as (select *, sum(case when active then 0 else 1 end) over (partition by alertname, exchange order by ts) as g
       from al),
     sn as (select *, min(case when active then ts end) over (partition by alertname, exchange, g) as since from isl),

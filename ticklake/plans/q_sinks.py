@@ -126,10 +126,10 @@ def snk07(spark, d):
     )
 
 
-@query("snk08_publish_fallback", v.TK + CANDLE_SQL + _CANDLE_ROWS.replace(", cast(cast(start_time as date) as varchar) as dt", ""))
+@query("snk08_publish_fallback", v.TK + CANDLE_SQL + _CANDLE_ROWS)
 def snk08(spark, d):
     # The publisher fails after the first half of the work; the table must hold every candle once.
-    def broker_down(df, batch_id):
+    def broker_down(df, batch_id, stream):
         raise ConnectionError("no broker")
 
     path = scratch(spark, "snk08")
@@ -137,16 +137,14 @@ def snk08(spark, d):
     c = candles.ohlcv(v.ticks(spark, d), 3600)
     sink(c, 0)
     sink(c, 0)
-    return spark.read.parquet(path).select(
-        "ticker", "exchange", "interval", "open", "high", "low", "close", "volume", "start_time", "end_time"
-    )
+    return tables.read_candles(spark, path).drop("id", "created_at")
 
 
 @query("udf03_candle_sink", v.TK + CANDLE_SQL + "select ticker, count(*) as candles from cd group by 1")
 def udf03(spark, d):
     path = scratch(spark, "udf03")
 
-    def mine(df, batch_id):
+    def mine(df, batch_id, stream):
         df.groupBy("ticker").agg(F.count("*").alias("candles")).write.mode("overwrite").parquet(path)
 
     candle_sink.with_fallback(mine, scratch(spark, "unused"))(candles.ohlcv(v.ticks(spark, d), 3600), 0)

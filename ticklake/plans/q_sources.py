@@ -63,6 +63,18 @@ def src02_every(spark, d):
     return _typed(messages.kraken_fields(v.kraken_messages(spark, d), every=True))
 
 
+@query(
+    "src02_kraken_ticks",
+    v.TK
+    + """select trade_id * 1048576 + pos as trade_id, ticker, 'Kraken' as exchange, cast(price as double) as price,
+      cast(volume as double) as volume, timestamp '1970-01-01' as ts
+    from tk, (values (0), (1)) as s(pos) where ticker not in ('ERROR', 'SIGNUP')""",
+)
+def src02_ticks(spark, d):
+    # Every trade of a message is a tick of its own.
+    return messages.ticks(messages.parse(v.kraken_messages(spark, d), "Kraken"), "seq")
+
+
 @query(
     "src03_without_heartbeat",
     v.TK + "select trade_id as seq from tk where ticker <> 'ERROR'",

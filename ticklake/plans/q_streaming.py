@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from ticklake.operators import candles
 from ticklake.plans import views as v
+from ticklake.plans.q_functions import STABLE_HASH
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
 from ticklake.plans.q_windows import FIFO
 from ticklake.plans.registry import query
 from ticklake.session import scratch
 from ticklake.files import order_by_name
 from ticklake.sources import messages
-from ticklake.sources.tables import read_ticks
+from ticklake.sources.tables import read_candles, read_ticks
 from ticklake.streaming import candles as sc
 from ticklake.streaming import counters
 from ticklake.streaming import dedup as sd
@@ -106,16 +107,35 @@ def str04(spark, d):
     return out.unionByName(sc.open_candles(v.ticks(spark, d), out, 3600))
 
 
-@query("str05_stream_dedup", v.FIRST + "select ticker, exchange, ts, trade_id from fa")
+# Ticks arrive in an order that has nothing to do with their time: most are later than any delay.
+_SHUFFLED = 7919
+_ARRIVED = f"""trade_id * {_SHUFFLED} % 1000003"""
+
+
+@query(
+    "str05_stream_dedup",
+    v.AR
+    + f""", sf as (select *, {_ARRIVED} as arrival from ar)
+    select ticker, exchange, ts, min(arrival) as trade_id, cast(min_by(price, arrival) as double) as price,
+      cast(min_by(volume, arrival) as double) as volume from sf group by 1, 2, 3""",
+)
 def str05(spark, d):
-    keys = drain(sd.within_watermark(arrival_stream(spark, d, "str05-in"), "40 days"), spark, "str05")
-    # Which copy survives a shuffle is open; the key decides, the first arrival is looked up.
-    first = v.arrivals(spark, d).groupBy("ticker", "exchange", "ts").agg(F.min("trade_id").alias("first_id"))
-    return keys.join(first, ["ticker", "exchange", "ts"]).select(
-        "ticker", "exchange", "ts", F.col("first_id").alias("trade_id")
+    late = v.arrivals(spark, d).withColumn("trade_id", F.expr(_ARRIVED))
+    src, path = split_files(spark, late, "str05-in", "trade_id"), scratch(spark, "str05")
+    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sd.first_arrivals(stream, path, scratch(spark, "str05-cp")).awaitTermination()
+    return sd.read_first_arrivals(spark, path, late.schema).select(
+        "ticker", "exchange", "ts", "trade_id", "price", "volume"
     )
 
 
+@query("str05_within_watermark", v.FIRST + "select ticker, exchange, ts from fa")
+def str05_watermark(spark, d):
+    # Files come in order of time, so nothing is late and every key is kept once.
+    out = drain(sd.within_watermark(arrival_stream(spark, d, "str05w-in"), "40 days"), spark, "str05w")
+    return out.select("ticker", "exchange", "ts")
+
+
 def _rocksdb(spark):
     for key, value in sd.STATE_STORE.items():
         spark.conf.set(key, value)
@@ -171,8 +191,54 @@ def str07_candles(spark, d):
     )
 
 
+def _two_feeds(spark, d, label):
+    """Two feeds into one base, and the second one read anew by a new checkpoint."""
+    base = scratch(spark, label)
+    for half in (0, 1, 1):
+        part = v.messages(spark, d).where(F.col("seq") % 2 == half)
+        src = split_files(spark, part, f"{label}-in", "seq", 2)
+        job = Ingest("Binance", base, 3600)
+        job.start(message_stream(spark, src, files_per_trigger=1), scratch(spark, f"{label}-cp")).awaitTermination()
+    return job
+
+
+@query(
+    "str07_two_feeds_ticks",
+    _INGESTED
+    + """select seq as trade_id, ticker, cast(price as double) as price, cast(volume as double) as volume, ts
+    from good""",
+)
+def str07_feeds(spark, d):
+    job = _two_feeds(spark, d, "str07f")
+    return read_ticks(spark, job.tick_path).select("trade_id", "ticker", "price", "volume", "ts")
+
+
+@query(
+    "str07_two_feeds_candles",
+    _INGESTED
+    + """select ticker, time_bucket(interval '1 hour', ts) as start_time, cast(min_by(price, seq) as double) as open,
+      cast(max_by(price, seq) as double) as close, cast(sum(volume) as double) as volume, count(*) as ticks
+    from good group by 1, 2""",
+)
+def str07_feeds_candles(spark, d):
+    job = _two_feeds(spark, d, "str07g")
+    return sc.read_merged(spark, job.candle_path).select("ticker", "start_time", "open", "close", "volume", "ticks")
+
+
+# The second feed is read twice, by two streams: its dead letters are there once for each.
+@query(
+    "str09_two_feeds_dead",
+    _INGESTED + "select seq, reason, case seq % 2 when 0 then 1 else 2 end as streams from parsed where status = 'dead'",
+)
+def str09_feeds(spark, d):
+    dead = spark.read.parquet(_two_feeds(spark, d, "str09f").dead_path)
+    return dead.groupBy("seq", "reason").agg(F.count_distinct("stream").cast("int").alias("streams"))
+
+
 _TOPIC = v.TK + CANDLE_SQL + """select ticker, exchange, "interval", cast(open as double) as open,
-  cast(close as double) as close, cast(volume as double) as volume, start_time, end_time from cd"""
+  cast(high as double) as high, cast(low as double) as low, cast(close as double) as close,
+  cast(volume as double) as volume, start_time, end_time,
+  cast(cast(start_time as date) as varchar) as dt from cd"""
 
 
 @query("str08_consume_write_commit", _TOPIC)
@@ -186,9 +252,7 @@ def str08(spark, d):
     for _ in range(2):
         stream = spark.readStream.schema("key STRING, value STRING").parquet(topic)
         decode_candle_stream(stream, path, dead, cp).awaitTermination()
-    return spark.read.parquet(path).select(
-        "ticker", "exchange", "interval", "open", "close", "volume", "start_time", "end_time"
-    )
+    return read_candles(spark, path).drop("id", "created_at")
 
 
 @query("str09_dead_letters", _INGESTED + "select seq, reason from parsed where status = 'dead'")
@@ -236,13 +300,12 @@ def str11(spark, d):
 @query(
     "str12_shards",
     v.TK
-    + """select ticker, count(*) as n, 1 as shards from tk group by 1""",
+    + f"""select ticker, cast(({STABLE_HASH.format('ticker')}) % 4 as integer) as shard, count(*) as n
+    from tk group by 1, 2""",
 )
 def str12(spark, d):
     out = drain(counters.sharded(tick_stream(spark, d, "str12-in"), 4), spark, "str12")
-    return out.groupBy("ticker").agg(
-        F.count("*").alias("n"), F.count_distinct("shard").cast("int").alias("shards")
-    )
+    return out.groupBy("ticker", "shard").agg(F.count("*").alias("n"))
 
 
 @query(

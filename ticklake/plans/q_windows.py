@@ -19,6 +19,30 @@ def win01(spark, d):
     return dedup.first_arrival(v.arrivals(spark, d))
 
 
+# Half of the ticks carry no trade id: no key may lose its price, and none its volume.
+@query(
+    "win01_without_trade_ids",
+    v.AR
+    + """, un as (select *, case when trade_id % 2 = 0 then trade_id end as known from ar),
+    fa as (select ticker, exchange, ts, min(known) as trade_id, min_by(price, known) as price,
+        count(distinct price) as prices, max(price) as any_price from un group by all)
+    select ticker, exchange, ts, trade_id, true as priced,
+      case when trade_id is not null then cast(price as double) when prices = 1 then cast(any_price as double) end as price
+    from fa""",
+)
+def win01_without_ids(spark, d):
+    a = v.arrivals(spark, d)
+    known = a.withColumn("trade_id", F.when(F.col("trade_id") % 2 == 0, F.col("trade_id")))
+    out = dedup.first_arrival(known)
+    # Where no copy has an id, any copy may stay: its price is compared where all copies agree.
+    prices = a.groupBy("ticker", "exchange", "ts").agg(F.count_distinct("price").alias("prices"))
+    sure = F.col("trade_id").isNotNull() | (F.col("prices") == 1)
+    return out.join(prices, ["ticker", "exchange", "ts"]).select(
+        "ticker", "exchange", "ts", "trade_id", (F.col("price").isNotNull() & F.col("volume").isNotNull()).alias("priced"),
+        F.when(sure, F.col("price")).alias("price"),
+    )
+
+
 @query(
     "win01_mark_repeats",
     v.AR
@@ -41,6 +65,11 @@ def win02(spark, d):
     return rates.sliding_rate(rates.per_second(v.ticks(spark, d), ["exchange"]), ["exchange"], 60)
 
 
+@query("win02_sliding_rate_120s", v.TK + _RATE.format(unit=1, back=119))
+def win02_wide(spark, d):
+    return rates.sliding_rate(rates.per_second(v.ticks(spark, d), ["exchange"]), ["exchange"], 120)
+
+
 @query("win02_sliding_rate_hours", v.TK + _RATE.format(unit=3600, back=9))
 def win02_hours(spark, d):
     hour = F.floor(F.unix_seconds("ts") / 3600).cast("bigint").alias("sec")
@@ -139,6 +168,18 @@ def win06(spark, d):
     return rates.active_connections(v.status_log(spark, d)).select("seq", "exchange", "status", "active")
 
 
+@query(
+    "win06_unnamed_exchange",
+    v.LOG
+    + """, un as (select seq, nullif(exchange, 'Kraken') as exchange, status from lg)
+    select seq, exchange, status, cast(sum(case status when 'Connected' then 1 when 'Disconnected' then -1
+      else 0 end) over (partition by exchange order by seq) as bigint) as active from un""",
+)
+def win06_unnamed(spark, d):
+    log = v.status_log(spark, d).withColumn("exchange", F.nullif("exchange", F.lit("Kraken")))
+    return rates.active_connections(log).select("seq", "exchange", "status", "active")
+
+
 @query(
     "win07_latest_status",
     v.LOG
@@ -174,6 +215,13 @@ FIFO = (
 )
 
 
+@query("str06_fifo_batch_by_key", v.FIRST + "select trade_id, ticker, exchange, ts from fa")
+def str06_key(spark, d):
+    # By whole key: copies of a key meet in one of many shards, whatever its ticker.
+    out = fifo.fifo_dedup(v.arrivals(spark, d), size=1 << 20, shards=64, by="key")
+    return out.select("trade_id", "ticker", "exchange", "ts")
+
+
 @query("str06_fifo_batch", FIFO)
 def str06_batch(spark, d):
     out = fifo.fifo_dedup(v.arrivals(spark, d), size=3, shards=4, by="ticker")

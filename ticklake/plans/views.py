@@ -198,7 +198,7 @@ def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.running_sum(
         cut(batches(spark, sf_dir)),
         ["channel"],
-        ["ts"],
+        "ts",
         {"incoming": F.col("batch_size"), "received": F.col("batch_size") - F.col("cached")},
         ordered.time_chunk("ts", 86400),
     ).select("ts", "channel", "incoming", "received", F.col("inserted").alias("queued"))

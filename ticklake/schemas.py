@@ -77,6 +77,7 @@ PARTIAL_CANDLE = _struct(
     ("first_seq", LongType()),
     ("last_seq", LongType()),
     ("dt", DateType()),
+    ("stream", StringType()),
     ("batch_id", LongType()),
 )
 

@@ -71,8 +71,11 @@ def copy_table(spark: SparkSession, source: DataFrame, target: str) -> None:
     if files.has_data(spark, target):
         stored = spark.read.parquet(target)
         source = source.select(*stored.columns)
-    by = ["dt"] if "dt" in source.columns else []
-    source.write.mode("append").partitionBy(*by).parquet(target)
+    if "dt" not in source.columns:
+        source.write.mode("append").parquet(target)
+        return
+    # Spread by day, so that a day becomes few files and a hot day many tasks.
+    source.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(target)
 
 
 def maintain(

@@ -165,17 +165,19 @@ def _rewrite(spark: SparkSession, path: str, changed: DataFrame, days: list[date
     read; days that end up empty lose their folder.
     """
     aside = scratch(spark, "rewrite")
-    laid_out(changed).write.partitionBy("dt").parquet(aside)
-    kept = set(files.partition_folders(spark, aside))
-    if kept:
-        (
-            laid_out(spark.read.schema(changed.schema).parquet(aside).select(*changed.columns))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt")
-            .parquet(path)
-        )
-    files.delete(spark, aside)
+    try:
+        laid_out(changed).write.partitionBy("dt").parquet(aside)
+        kept = set(files.partition_folders(spark, aside))
+        if kept:
+            (
+                laid_out(spark.read.schema(changed.schema).parquet(aside).select(*changed.columns))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("dt")
+                .parquet(path)
+            )
+    finally:
+        files.delete(spark, aside)
     folders = files.partition_folders(spark, path)
     for day in days:
         name = day.isoformat()
@@ -194,8 +196,12 @@ def delete_rows(spark: SparkSession, path: str, keys: DataFrame, key: Sequence[s
 def update_rows(
     spark: SparkSession, path: str, edits: DataFrame, columns: Sequence[str], key: Sequence[str] = TICK_KEY
 ) -> None:
-    """Set ``columns`` of the rows with the keys in ``edits`` (one edit per key); only their days
-    are rewritten."""
+    """Set ``columns`` of the rows with the keys in ``edits``; only their days are rewritten.
+
+    Two edits of one key are an error, as neither is the right one.
+    """
+    if not edits.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two edits of one key")
     days = _days(edits.select(F.to_date("ts").alias("dt")))
     touched = read_days(spark, path, days)
     new = edits.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])

@@ -24,11 +24,13 @@ class Parser:
     ``read`` turns the text into a struct. ``fields`` picks from that struct: ``trade`` (is it
     one), ``trade_id``, ``ticker``, ``price`` and ``volume`` still as text, ``ts``, and
     ``unread`` (nothing was found, so the text may not be JSON). Two steps, so that the text
-    is read once however many fields look at it.
+    is read once however many fields look at it. A message with several trades names their array
+    as ``entries``; ``fields`` then gets the message and one entry, and each entry is a row.
     """
 
     read: Callable[[Column], Column]
-    fields: Callable[[Column], dict[str, Column]]
+    fields: Callable[..., dict[str, Column]]
+    entries: Callable[[Column], Column] | None = None
 
 
 def _object(text: Column) -> Column:
@@ -48,24 +50,27 @@ def _binance_fields(m: Column) -> dict[str, Column]:
     }
 
 
-def _kraken_fields(m: Column) -> dict[str, Column]:
-    first = F.try_element_at(m["data"], F.lit(1))
+def _kraken_fields(m: Column, entry: Column) -> dict[str, Column]:
     return {
         "unread": m["channel"].isNull(),
-        "trade": (m["channel"] == "trade") & (F.size(m["data"]) > 0),
-        "trade_id": first["trade_id"].try_cast("bigint"),
-        "ticker": first["symbol"],
-        "price": first["price"],
-        "volume": first["qty"],
-        "ts": F.try_to_timestamp(first["timestamp"]),
+        "trade": (m["channel"] == "trade") & entry.isNotNull(),
+        "trade_id": entry["trade_id"].try_cast("bigint"),
+        "ticker": entry["symbol"],
+        "price": entry["price"],
+        "volume": entry["qty"],
+        "ts": F.try_to_timestamp(entry["timestamp"]),
     }
 
 
-# Trades of the first exchange, and of the second (first entry of ``data``). Anything but a
+# Arrival numbers that one message with several trades takes: entry i of message n arrives as
+# n * ENTRY_SPAN + i. A message of the largest size holds fewer entries.
+ENTRY_SPAN = 1 << 20
+
+# Trades of the first exchange, and of the second (every entry of ``data``). Anything but a
 # trade with a symbol is ignored; text that is not JSON is dead.
 PARSERS: dict[str, Parser] = {
     "binance": Parser(lambda v: F.from_json(_object(v), TRADE_MESSAGE).cast(TRADE_FIELDS), _binance_fields),
-    "kraken": Parser(lambda v: F.from_json(_object(v), KRAKEN_MESSAGE), _kraken_fields),
+    "kraken": Parser(lambda v: F.from_json(_object(v), KRAKEN_MESSAGE), _kraken_fields, lambda m: m["data"]),
 }
 
 
@@ -79,9 +84,13 @@ def parse(
     value: str = "value",
     max_bytes: int = MAX_MESSAGE_BYTES,
     strict: bool = False,
+    first_only: bool = False,
 ) -> DataFrame:
     """Every message with its parse result in ``m``; longer ones than ``max_bytes`` are dead.
 
+    A message with several trades gives a row for each, numbered in ``m.entry`` (null for messages
+    that hold one trade by their form); ``first_only`` takes just the first.
+
     A price or volume that does not parse is 0 and a missing time is the epoch; ``strict``
     sends such ticks to the dead letters instead.
     """
@@ -89,13 +98,22 @@ def parse(
     big = F.octet_length(text) > max_bytes
     # An oversized text is never read.
     raw = with_once(messages, "_raw", parser.read(F.when(~big, text)))
-    fields = parser.fields(F.col("_raw"))
+    if parser.entries is None:
+        raw = raw.withColumn("_entry_no", F.lit(None).cast("bigint"))
+        fields = parser.fields(F.col("_raw"))
+    else:
+        entries = parser.entries(F.col("_raw"))
+        entries = F.slice(entries, 1, 1) if first_only else entries
+        raw = raw.select("*", F.posexplode_outer(entries).alias("_no", "_entry"))
+        raw = raw.withColumn("_entry_no", F.coalesce("_no", F.lit(0)).cast("bigint"))
+        fields = parser.fields(F.col("_raw"), F.col("_entry"))
     # Only a text in which nothing was found is checked for being JSON at all.
     malformed = F.when(~big & fields["unread"], F.try_parse_json(text).isNull())
     missing = F.lit(None).cast("decimal(38,8)")
     numbers = F.struct(*[parse_decimal(fields[n], missing).alias(n) for n in ("price", "volume")])
     picked = with_once(raw, "_n", numbers).select(
         *messages.columns,
+        "_entry_no",
         big.alias("_big"),
         F.coalesce(malformed, F.lit(False)).alias("_malformed"),
         F.coalesce(fields["trade"], F.lit(False)).alias("_trade"),
@@ -121,6 +139,7 @@ def parse(
             .when(c["ticker"].isNull(), "no_symbol")
             .when(partial, "incomplete")
             .alias("reason"),
+            F.col("_entry_no").alias("entry"),
             c["trade_id"].alias("trade_id"),
             c["ticker"].alias("ticker"),
             F.coalesce(truncate_price(c["price"]), zero).alias("price"),
@@ -131,8 +150,13 @@ def parse(
 
 
 def ticks(parsed: DataFrame, seq: str | None = None) -> DataFrame:
-    """The good rows as ticks. ``seq`` names the arrival number; without it the trade id serves."""
-    number = F.col(seq) if seq else F.col("m.trade_id")
+    """The good rows as ticks. ``seq`` names the arrival number; without it the trade id serves.
+
+    Trades of one message follow each other in arrival (``ENTRY_SPAN``).
+    """
+    several = F.col("m.entry").isNotNull()
+    arrival = F.when(several, F.col(seq) * ENTRY_SPAN + F.col("m.entry")).otherwise(F.col(seq)) if seq else None
+    number = F.col("m.trade_id") if seq is None else arrival
     return parsed.where(F.col("m.status") == TICK).select(
         number.alias("trade_id"), "m.ticker", "exchange", "m.price", "m.volume", "m.ts"
     )

@@ -16,21 +16,24 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_TICK).parquet(path)
 
 
-def read_days(spark: SparkSession, path: str, days: Iterable[date]) -> DataFrame:
-    """The tick table restricted to some days, without listing the files of the others.
+#: The candle table as it is stored, by day.
+CANDLE_TABLE = StructType(CANDLE.fields + [StructField("dt", DateType(), True)])
+
+
+def read_days(spark: SparkSession, path: str, days: Iterable[date], schema: StructType = RAW_TICK) -> DataFrame:
+    """A table (by default of ticks) restricted to some days, without listing the files of the others.
 
     A batch that touches one day of a table of thousands should not list them all.
     """
     folders = files.partition_folders(spark, path)
     wanted = [folders[d.isoformat()] for d in sorted(days) if d.isoformat() in folders]
     if not wanted:
-        return spark.createDataFrame([], RAW_TICK)
-    return spark.read.schema(RAW_TICK).option("basePath", path).parquet(*wanted)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*wanted)
 
 
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType(CANDLE.fields + [StructField("dt", DateType(), True)])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(CANDLE_TABLE).parquet(path)
 
 
 def read_connection_log(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ticklake import files
 from ticklake.operators.candles import CANDLE_KEY, merge_partials, ohlcv
 from ticklake.schemas import PARTIAL_CANDLE
 from ticklake.session import adaptive
@@ -24,9 +25,22 @@ def closed_candles(
     return ohlcv(ticks.withWatermark("ts", delay), interval_s, order)
 
 
-def open_candles(ticks: DataFrame, closed: DataFrame, interval_s: int) -> DataFrame:
-    """The final flush: candles of the stored ticks whose bucket was never emitted."""
+def open_candles(
+    ticks: DataFrame, closed: DataFrame, interval_s: int, watermark: datetime | None = None
+) -> DataFrame:
+    """The final flush: candles of the stored ticks whose bucket was never emitted.
+
+    With the stream's last ``watermark`` only buckets that end after it are looked at: all others
+    were emitted, or their ticks came too late. Days before it are then not read.
+    """
+    if watermark is not None:
+        since = watermark - timedelta(seconds=interval_s)
+        ticks = ticks.where(F.col("ts") > F.lit(since))
+        if "dt" in ticks.columns:
+            ticks = ticks.where(F.col("dt") >= F.lit(since.date()))
     whole = ohlcv(ticks, interval_s)
+    if watermark is not None:
+        whole = whole.where(F.col("end_time") > F.lit(watermark))
     return whole.join(closed.select(*CANDLE_KEY), CANDLE_KEY, "left_anti").select(*whole.columns)
 
 
@@ -41,7 +55,7 @@ def write_partials(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         with adaptive(batch.sparkSession):
-            write_batch(ohlcv(batch, interval_s), batch_id, path)
+            write_batch(ohlcv(batch, interval_s), batch_id, path, files.stream_id(batch.sparkSession, checkpoint))
 
     return (
         ticks.writeStream.foreachBatch(sink)

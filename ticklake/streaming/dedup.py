@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
+from ticklake import files
+from ticklake.operators.dedup import first_arrival
 from ticklake.operators.fifo import DEFAULT_SIZE, Memory, with_shard
 from ticklake.schemas import TICK_KEY
+from ticklake.session import adaptive
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -19,23 +24,60 @@ STATE_STORE = {
 }
 
 
-def within_watermark(
-    ticks: DataFrame, delay: str = "10 minutes", key: Sequence[str] = TICK_KEY, precombine: bool = True
-) -> DataFrame:
-    """First tick of each key; a key is remembered for ``delay`` of event time.
+def first_arrivals(
+    ticks: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: Sequence[str] = TICK_KEY,
+    seq: str = "trade_id",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The first tick of each key, however late it comes; nothing is lost or forgotten.
 
-    ``precombine`` drops the copies inside each Arrow batch before the shuffle, which streaming
-    deduplication does not do by itself: one key with very many copies then sends one row per
-    batch to its task.
+    The output table is the memory: a batch keeps its smallest arrival number per key and appends
+    the keys that no other batch has. Rows lie by day, stream and batch; only the days of a batch
+    are compared, and a replayed batch overwrites its own folders. ``read_first_arrivals`` reads them.
     """
-    if precombine:
-        columns = list(key)
 
-        def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                yield pdf.drop_duplicates(columns)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = files.stream_id(spark, checkpoint)
+        with adaptive(spark):
+            rows = first_arrival(batch, key, seq).withColumn("dt", F.to_date("ts"))
+            days = [r.dt for r in rows.select("dt").distinct().collect()]  # bounded by the calendar
+            if files.has_data(spark, path):
+                own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+                held = _stored(spark, path, batch.schema).where(F.col("dt").isin(days) & ~own)
+                match = [rows[c].eqNullSafe(held[c]) for c in key]
+                rows = rows.join(held, reduce(lambda a, b: a & b, match), "left_anti")
+            marked = rows.withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            marked.hint("rebalance", F.col("dt")).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("dt", "stream", "batch_id").parquet(path)
+
+    return (
+        ticks.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
 
-        ticks = ticks.mapInPandas(thin, ticks.schema)
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    where = [StructField("dt", DateType()), StructField("stream", StringType()), StructField("batch_id", LongType())]
+    return spark.read.schema(StructType(schema.fields + where)).parquet(path)
+
+
+def read_first_arrivals(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return _stored(spark, path, schema).select(*schema.names)
+
+
+def within_watermark(ticks: DataFrame, delay: str = "10 minutes", key: Sequence[str] = TICK_KEY) -> DataFrame:
+    """One tick of each key, without a table: for streams that may lose late ticks.
+
+    A key is remembered for ``delay`` of event time. Ticks later than that are dropped, unique or
+    not, and which copy stays is open; ``first_arrivals`` has neither limit.
+    """
     return ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(key))
 
 

@@ -10,20 +10,31 @@ from ticklake.operators.candles import ohlcv
 from ticklake.schemas import RAW_TICK, TICK
 from ticklake.session import adaptive
 from ticklake import files
-from ticklake.sinks.candles import Sink, write_batch
+from ticklake.sinks.candles import NO_STREAM, Sink, append_batch, write_batch
 from ticklake.sinks.ticks import append, insert_ignore, new_rows
 from ticklake.sources.candle_topic import decode
 from ticklake.sources.messages import dead_letters, parse, ticks
 
 
 def message_stream(
-    spark: SparkSession, path: str, schema: str = "seq BIGINT, value STRING", files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str = "seq BIGINT, value STRING",
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
+    form: str = "parquet",
 ) -> DataFrame:
-    """Messages from a folder of parquet files; the rate limit is what sizes a batch."""
+    """Messages from a folder of files; the rate limit is what sizes a batch.
+
+    ``bytes_per_trigger`` follows the size of the messages where files differ in size; the topic
+    source limits by rows (``candle_topic.subscribe``).
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.format(form).load(path)
 
 
 def trigger(seconds: int | None) -> dict:
@@ -35,8 +46,12 @@ class Ingest:
     """One stream, three tables: ticks (insert-if-absent), partial candles, dead letters.
 
     Every output of a batch is idempotent: the tick insert skips keys that are there, the other
-    two overwrite a folder per batch. The new ticks of a batch are staged once, so that a
+    two overwrite a folder per stream and batch. The new ticks of a batch are staged once, so that a
     replay after a failure half-way sees the same rows although the table has them by then.
+
+    Several feeds may share a base, one after the other or each with its own job: stage, candles
+    and dead letters lie by stream, whose id is that of its checkpoint. A new checkpoint is a new
+    stream; it reads its source anew, and the insert skips the ticks that are there.
     """
 
     def __init__(
@@ -55,21 +70,23 @@ class Ingest:
         self.candles_from, self.seq, self.strict = candles_from, seq, strict
         self.tick_path, self.candle_path = f"{self.base}/ticks", f"{self.base}/candles"
         self.dead_path, self.staging = f"{self.base}/dead", f"{self.base}/staging"
-        self.candle_sink = candle_sink or (lambda df, n: write_batch(df, n, self.candle_path))
+        self.candle_sink = candle_sink or (lambda df, n, stream: write_batch(df, n, self.candle_path, stream))
 
-    def batch(self, messages: DataFrame, batch_id: int) -> None:
+    def batch(self, messages: DataFrame, batch_id: int, stream: str = NO_STREAM) -> None:
         with adaptive(messages.sparkSession):
             parsed = parse(messages, self.exchange, strict=self.strict).persist(StorageLevel.DISK_ONLY)
             try:
-                self._write(parsed, batch_id)
+                self._write(parsed, batch_id, stream)
             finally:
                 parsed.unpersist()
 
-    def _write(self, parsed: DataFrame, batch_id: int) -> None:
+    def _write(self, parsed: DataFrame, batch_id: int, stream: str) -> None:
         spark = parsed.sparkSession
-        dead_letters(parsed).write.mode("overwrite").parquet(f"{self.dead_path}/batch_id={batch_id}")
+        dead = f"{self.dead_path}/stream={stream}/batch_id={batch_id}"
+        dead_letters(parsed).write.mode("overwrite").parquet(dead)
         found = ticks(parsed, self.seq)
-        stage, incoming = f"{self.staging}/batch_id={batch_id}", f"{self.staging}/incoming"
+        own = f"{self.staging}/stream={stream}"
+        stage, incoming = f"{own}/batch_id={batch_id}", f"{own}/incoming"
         replay = files.exists(spark, f"{stage}/_SUCCESS")
         if not replay:
             new_rows(spark, found, self.tick_path, incoming).write.mode("overwrite").parquet(stage)
@@ -81,13 +98,16 @@ class Ingest:
         else:
             append(staged, self.tick_path)
         source = staged if self.candles_from == "deduped" else found
-        self.candle_sink(ohlcv(source, self.interval_s), batch_id)
+        self.candle_sink(ohlcv(source, self.interval_s), batch_id, stream)
         # The batch before this one is committed by now; its stage is no longer needed.
-        files.delete(spark, f"{self.staging}/batch_id={batch_id - 1}")
+        files.delete(spark, f"{own}/batch_id={batch_id - 1}")
 
     def start(self, messages: DataFrame, checkpoint: str, every_s: int | None = None) -> StreamingQuery:
+        def run(batch: DataFrame, batch_id: int) -> None:
+            self.batch(batch, batch_id, files.stream_id(batch.sparkSession, checkpoint))
+
         return (
-            messages.writeStream.foreachBatch(self.batch)
+            messages.writeStream.foreachBatch(run)
             .option("checkpointLocation", checkpoint)
             .trigger(**trigger(every_s))
             .start()
@@ -95,11 +115,14 @@ class Ingest:
 
 
 def decode_candle_stream(messages: DataFrame, path: str, dead: str, checkpoint: str, every_s=None) -> StreamingQuery:
-    """Consume candle messages, write, then commit: each batch has its own folder in both tables."""
+    """Consume candle messages into the candle table, then commit; a replayed batch adds nothing."""
+
     def sink(batch: DataFrame, batch_id: int) -> None:
+        stream = files.stream_id(batch.sparkSession, checkpoint)
         good, bad = decode(batch)
-        write_batch(good, batch_id, path)
-        bad.select("value").write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}")
+        with adaptive(batch.sparkSession):
+            append_batch(good, batch_id, path, stream)
+        bad.select("value").write.mode("overwrite").parquet(f"{dead}/stream={stream}/batch_id={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(sink)
