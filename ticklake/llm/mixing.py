@@ -147,7 +147,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     planned = positions(plan(sizes(docs), **options), options.get("schedules", SCHEDULES))
     taken = cut(planned.select("doc_id", "source", "size", "copy", "position"), "taken")
     # Repeated rows share id, source and size and take the same copies, so each is matched once.
-    one = taken.groupBy("doc_id", "source", "size", "copy").agg(F.min("position").alias("position"))
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    found = join_same(sized, one, ["doc_id", "source", "size"])
-    return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").drop("size", "copy", "position")
+    one = taken.groupBy("doc_id", "source", F.col("size").alias("_size"), F.col("copy").alias("_copy")).agg(
+        F.min("position").alias("_position")
+    )
+    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    found = join_same(sized, one, ["doc_id", "source", "_size"])
+    ordered = found.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id")
+    return ordered.drop("_size", "_copy", "_position")
