@@ -9,9 +9,9 @@
    bucket gets further bits.
 3. *Owners.* The keys are written to the index by bucket, in key ranges, so that one task owns the
    keys of a range. Keys with a single entry are decided.
-4. *Chains.* Texts whose key occurs more than once are read again and grouped by (bucket, key,
-   text): Spark compares the bytes of the texts. Each distinct text is a link of its key's chain with
-   its smallest doc_id and size. Chains have one link unless two texts share a 64-bit hash.
+4. *Chains.* Texts whose key occurs more than once are read again and grouped by (key, text): Spark
+   compares the bytes of the texts. Each distinct text is a link of its key's chain in the key's
+   bucket, with its smallest doc_id and size. Chains have one link unless two texts share a 64-bit hash.
 5. *Answers.* Entries take the answer of their key; those of a longer chain by their text's digest
    link, which step 4 has told apart byte by byte.
 
@@ -36,6 +36,8 @@ from ticklake.session import cut
 #: Keys a bucket may hold before it splits, and the bits a directory grows by when it is too shallow.
 PAGE_KEYS, STEP_BITS = 100_000, 4
 MAX_BITS = 48
+#: Ids of copies up to which they are sent to all tasks (8 bytes each).
+SMALL_IDS = 500_000
 #: Pairs of id and digest up to which the copies that go are sent to all tasks (some 100 bytes each).
 SMALL_PAIRS = 50_000
 
@@ -97,18 +99,15 @@ def duplicates(docs: DataFrame, page_keys: int = PAGE_KEYS, key: Callable[[Colum
     several = index.where("n > 1").select("key", "depth", "bucket")
     members = cut(entries.join(several, "key").select("doc_id", "row", "key", "depth", "bucket", "text_sha256"), "members")
 
-    # Only texts of repeated keys are shuffled: the ids are joined first, the key is taken from the text again.
-    wanted = members.select("doc_id").distinct()
-    again = join_same(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi")
+    # Texts of repeated keys only: their ids go to all tasks while they are few, else the texts are
+    # shuffled to them. Equal texts are combined in each task before they meet.
+    wanted = cut(members.select("doc_id").distinct(), "wanted")
+    few = wanted.count() <= SMALL_IDS
+    again = join_same(docs.select("doc_id", "text"), F.broadcast(wanted) if few else wanted, ["doc_id"], "left_semi")
     texts = again.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("key", key(F.col("text")))
-    owned = texts.join(several, "key")
-    links = owned.groupBy("bucket", "depth", "key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = cut(
-        links.withColumn("text_sha256", F.sha2("text", 256)).drop("text").withColumn(
-            "chain", F.count("*").over(Window.partitionBy("key"))
-        ),
-        "chains",
-    )
+    equal = texts.groupBy("key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    links = equal.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(several, "key")
+    chains = cut(links.withColumn("chain", F.count("*").over(Window.partitionBy("key"))), "chains")
     alone = chains.where("chain = 1").select("key", "keep_id", "group_size")
     chained = chains.where("chain > 1").select("key", "text_sha256", "keep_id", "group_size")
     answers = single.unionByName(alone)
