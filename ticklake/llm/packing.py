@@ -12,8 +12,7 @@ place up in the plan.
    together than the partner (and no three fit). Equal pieces are fixed together.
 2. *Best fit* of the rest, longest first, into the fullest open sequence that takes the piece.
 
-Documents longer than the capacity are cut into pieces of full length, the first being the shorter;
-the longest of a document's ids are held one document at a time.
+Documents longer than the capacity are cut into pieces of full length, the first being the shorter.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed one by one; ties go by
 (doc_id, piece, digest), nulls first; an empty table gives no rows; further columns are ignored.

@@ -94,11 +94,11 @@ SELECT doc_id, size, source_size, target, size * times AS taken, times FROM take
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = cut(mixing.plan(mixing.sizes(table(spark, sf_dir, "documents"))), "plan")
     # Training order: documents by the position of their first copy, those not taken last.
-    first = mixing.positions(planned.withColumn("times", F.least("times", F.lit(1))))
-    columns = ["doc_id", "size", "source_size", "target", "taken", "times"]
-    rest = planned.where("times = 0").select(*columns, F.lit(2.0).alias("position"))
-    whole = first.withColumn("times", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.col("times")))
-    ordered = whole.select(*columns, "position").unionByName(rest)
+    once = planned.withColumn("all_times", F.col("times")).withColumn("times", F.least("times", F.lit(1)))
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    first = mixing.positions(once).select(*columns, F.col("all_times").alias("times"), "position")
+    rest = planned.where("times = 0").select(*columns, "times", F.lit(2.0).alias("position"))
+    ordered = first.unionByName(rest)
     return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").drop("position")
 
 
