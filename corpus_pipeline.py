@@ -16,26 +16,31 @@ from ticklake.session import configure, scratch
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or between two languages go."""
+    configure(spark)
     return langid.accepted(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    configure(spark)
     return exact_dedup.unique(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents."""
+    configure(spark)
     return ngram_join.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order."""
+    configure(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in a sequence."""
+    configure(spark)
     return packing.pack(docs, tokenizer(BYTE_TOKENIZER), keeps_space=True, end_id=2)
 
 

@@ -21,8 +21,10 @@ from tokenizers import Tokenizer
 
 from ticklake.llm.textblocks import mix64, span_hashes
 
-#: Slots of the word cache and how many may be filled; a full cache starts anew.
-SLOTS, FILLED = 1 << 21, 1_200_000
+#: Slots of the word cache and how many may be filled; a full cache starts anew (about 30 MB a worker).
+SLOTS, FILLED = 1 << 20, 700_000
+#: Parts of words kept besides.
+PIECES = 50_000
 #: Words that do not start a text may look like this one with another hash.
 _FIRST = np.uint64(0x632BE59BD9B4E019)
 #: Letters of one script, then marks: every splitter here cuts such a word in these two parts. The
@@ -71,8 +73,8 @@ class Encoder:
     def _clear(self) -> None:
         self.hashes = np.zeros(SLOTS, dtype=np.uint64)  # 0: empty
         self.heads = np.zeros(SLOTS, dtype=np.uint64)
-        self.start = np.zeros(SLOTS, dtype=np.int64)
-        self.length = np.zeros(SLOTS, dtype=np.int64)
+        self.start = np.zeros(SLOTS, dtype=np.int32)
+        self.length = np.zeros(SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = self.filled = 0
         self.pieces: dict[str, list[int]] = {}
@@ -83,8 +85,9 @@ class Encoder:
         if found is None:
             mapped = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
             found = [t.id for t in self.model.tokenize(mapped)]
-            if len(piece) < 5 or len(self.pieces) < 200_000:
-                self.pieces[piece] = found
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = found
         return found
 
     def encode_word(self, word: str, first: bool) -> list[int]:
@@ -172,7 +175,7 @@ class Encoder:
             slots = self._find(hashes, heads)
             if (slots < 0).any():  # two words of one hash in this block
                 return self._plainly(raw, texts)
-        lengths = self.length[slots]
+        lengths = self.length[slots].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.start[slots] - total[:-1], lengths) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, texts, side="left")]
