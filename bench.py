@@ -127,6 +127,18 @@ def main() -> None:
     seconds["ingest_stream"] = timed(stream, 1)
     rates["ingest_stream"] = round(n_loaded / seconds["ingest_stream"])
 
+    # The same load again, a file per micro-batch, against a table that holds all of it.
+    def stream_redelivered():
+        base = scratch(spark, "stream-full")
+        insert_ignore(spark, messages.ticks(messages.parse(loaded, "Binance"), "seq"), f"{base}/ticks")
+        start = time.perf_counter()
+        source = message_stream(spark, load_path, files_per_trigger=1)
+        Ingest("Binance", base, 60).start(source, scratch(spark, "stream-full-cp")).awaitTermination()
+        return round(time.perf_counter() - start, 3)
+
+    seconds["ingest_stream_batches"] = stream_redelivered()
+    rates["ingest_stream_batches"] = round(n_loaded / seconds["ingest_stream_batches"])
+
     lines = line_ticks(spark, sf_dir)
     n_lines = lines.count()
     seconds["candles_lineitem_1d"] = timed(lambda: run(candles.ohlcv(lines, 86400)))

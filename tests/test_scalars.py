@@ -59,10 +59,15 @@ def test_truncate(spark, text, expected):
         ("79228162514264337593543950335", "79228162514264337593543950335"),
         ("79228162514264337593543950336", "0"),
         ("9" * 60, "0"),
+        ("0" * 250 + "5", "5"),
+        ("0" * 250 + "5.25-", "-5.25"),
     ],
 )
 def test_parse_decimal(spark, text, expected):
     assert one(spark, s.parse_decimal(F.lit(text))) == Decimal(expected)
+    sqlf.register(spark)
+    row = spark.createDataFrame([(text,)], "t string").selectExpr("tick_parse_decimal(t) AS x").first()
+    assert row.x == Decimal(expected)
 
 
 def test_parse_decimal_default(spark):
@@ -104,14 +109,16 @@ def test_uuid7(spark):
 
 
 def wrapped_hash(text):
-    h = 17
-    for c in text:
-        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    units, h = text.encode("utf-16-le"), 17
+    for low, high in zip(units[::2], units[1::2]):
+        h = (h * 31 + low + 256 * high) & 0xFFFFFFFF
     return h & 0x7FFFFFFF
 
 
-@pytest.mark.parametrize("text", ["BTCUSDT", "ETHUSDT", "SOLUSDT", "", "a", "Z" * 40])
+@pytest.mark.parametrize("text", ["BTCUSDT", "ETHUSDT", "SOLUSDT", "", "a", "Z" * 40, "é\U0001f600x"])
 def test_stable_hash(spark, text):
+    sqlf.register(spark)
+    assert spark.createDataFrame([(text,)], "t string").selectExpr("tick_shard(t, 7) AS x").first().x == wrapped_hash(text) % 7
     assert one(spark, s.stable_hash(F.lit(text))) == wrapped_hash(text)
     assert one(spark, s.shard(F.lit(text), 4)) == wrapped_hash(text) % 4
 
@@ -134,6 +141,11 @@ def test_labels(spark):
     text = F.lit('exchange="binance",le="+Inf"')
     assert one(spark, s.label_map(text)) == {"exchange": "binance", "le": "+Inf"}
     assert one(spark, s.label_pairs(text)) == "exchange=binance; le=+Inf"
+    twice = F.lit('a="1", b="x\\"}\\\\n\\n", a="2"')
+    assert one(spark, s.label_map(twice)) == {"a": "2", "b": 'x"}\\n\n'}
+    assert one(spark, s.label_map(F.lit(""))) == {}
+    long = "v" * 200_000
+    assert one(spark, s.label_map(F.lit(f'a="{long}"'))) == {"a": long}
 
 
 def test_values(spark):

@@ -13,7 +13,7 @@ MAX_DECIMAL = "79228162514264337593543950335"
 YEAR_ONE_SECONDS = -62135596800
 
 # Label of the metric text format: a name, and a quoted value in which a backslash escapes.
-LABEL_PATTERN = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+LABEL_PATTERN = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 # sign, integer digits with thousands commas, eight decimals, the rest of them, trailing sign
 _NUMBER = r"^\s*([+-]?)((?:[0-9][0-9,]*)?)(?:\.([0-9]{0,8})[0-9]*)?\s*([+-]?)\s*$"
@@ -214,7 +214,7 @@ def label_pairs(labels: Column) -> Column:
     p = F.lit(LABEL_PATTERN)
     keys = F.regexp_extract_all(labels, p, F.lit(1))
     values = F.regexp_extract_all(labels, p, F.lit(2))
-    return F.array_join(F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit("="), v)), "; ")
+    return F.array_join(F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit("="), _label_value(v))), "; ")
 
 
 def fill_percent(count: Column, capacity: Column) -> Column:

@@ -59,13 +59,18 @@ def by_id(df: DataFrame, row_id, column: str = "id") -> DataFrame:
     return df.where(F.col(column) == F.lit(row_id)).limit(1)
 
 
+def _tie(df: DataFrame) -> list:
+    """What decides between rows of one instant, so that a limit cuts the same rows each time."""
+    return [F.col(c) for c in ("trade_id", "id") if c in df.columns]
+
+
 def unnormalized(df: DataFrame, limit: int = 1000) -> DataFrame:
     """Oldest ticks not yet normalized (top-k: each task keeps at most ``limit`` rows)."""
-    return df.where(~F.col("normalized")).orderBy("ts").limit(limit)
+    return df.where(~F.col("normalized")).orderBy("ts", *_tie(df)).limit(limit)
 
 
 def newest(df: DataFrame, ticker: str, limit: int = 1000) -> DataFrame:
-    return df.where(F.col("ticker") == ticker).orderBy(F.col("ts").desc()).limit(limit)
+    return df.where(F.col("ticker") == ticker).orderBy(F.col("ts").desc(), *_tie(df)).limit(limit)
 
 
 def exists(df: DataFrame, ticker: str, exchange: str, ts: datetime) -> bool:

@@ -55,6 +55,12 @@ def f01_digits(spark, d):
     )
 
 
+@query("f02_long_text", v.TK + "select trade_id, cast(price as double) as price from tk")
+def f02_long(spark, d):
+    text = F.concat(F.repeat(F.lit("0"), 300), F.col("price").cast("string"))
+    return v.ticks(spark, d).select("trade_id", s.parse_decimal(text).alias("price"))
+
+
 @query(
     "f02_parse_decimal",
     v.TK
@@ -187,6 +193,17 @@ def f07(spark, d):
     )
 
 
+# A character beyond the basic plane is two units of the hash.
+@query(
+    "f07_supplementary",
+    f"""select c_custkey, ((({STABLE_HASH.format('c_name')}) * 31 + 55357) * 31 + 56832) % 2147483648 as hash
+        from customer""",
+)
+def f07_supplementary(spark, d):
+    name = F.concat("c_name", F.lit("\U0001f600"))
+    return v.table(spark, d, "customer").select("c_custkey", s.stable_hash(name).alias("hash"))
+
+
 @query(
     "f08_exchange_tag",
     """with x as (select event_id, case user_id % 4 when 0 then 'Binance' when 1 then 'Kraken'
@@ -313,6 +330,16 @@ def f14(spark, d):
     )
 
 
+@query(
+    "f14_repeated_label",
+    v.TK + "select trade_id, 'a \"b\" {' || trade_id || '}' as id from tk",
+)
+def f14_repeated(spark, d):
+    # The last of two values counts; quotes inside a value are escaped.
+    text = F.concat(F.lit('id="x",id="a \\"b\\" {'), F.col("trade_id").cast("string"), F.lit('}"'))
+    return v.ticks(spark, d).select("trade_id", s.label_map(text)["id"].alias("id"))
+
+
 @query(
     "f15_fill_percent",
     """select l_orderkey, l_linenumber, l_partkey, l_extendedprice,
@@ -380,7 +407,7 @@ def f18(spark, d):
     + f"""select trade_id, cast(price as double) as price,
       case when k >= 60 and k % 60 = 0 then (k // 60)::varchar || 'm' else k::varchar || 's' end as label,
       cast(({STABLE_HASH.format('ticker')}) % 3 as integer) as shard,
-      cast(price as double) as parsed
+      cast(price as double) as parsed, -cast(price as double) as negative
     from (select *, cast(volume * 100 as integer) + 1 as k from tk)""",
 )
 def udf04(spark, d):
@@ -391,4 +418,5 @@ def udf04(spark, d):
         "tick_interval_label(CAST(volume * 100 AS INT) + 1) AS label",
         "tick_shard(ticker, 3) AS shard",
         "tick_parse_decimal(CAST(price AS STRING)) AS parsed",
+        "tick_parse_decimal(concat(repeat('0', 300), CAST(price AS STRING), '-')) AS negative",
     )

@@ -120,7 +120,7 @@ def agg04(spark, d):
     return reads.count_range(_by_day(spark, d), "CLICK", *v.DAY)
 
 
-@query("rq_topn_1000", v.TK + f"select {_COLS} from tk where ticker = 'CLICK' order by ts desc limit 1000")
+@query("rq_topn_1000", v.TK + f"select {_COLS} from tk where ticker = 'CLICK' order by ts desc, trade_id limit 1000")
 def srt03(spark, d):
     return reads.newest(_by_day(spark, d), "CLICK", 1000).select(*TICK_COLUMNS)
 

@@ -236,8 +236,11 @@ def udf01(spark, d):
             "ts": F.lit(None).cast("timestamp"),
         }
 
-    messages.register_parser("pipe", messages.Parser(lambda value: F.split(value, r"\|"), fields))
     text = v.ticks(spark, d).select(
         F.concat_ws("|", F.col("trade_id").cast("string"), "ticker", F.col("price").cast("string")).alias("value")
     )
-    return messages.ticks(messages.parse(text, "Pipe")).select("trade_id", "ticker", "exchange", "price")
+    messages.register_parser("pipe", messages.Parser(lambda value: F.split(value, r"\|"), fields))
+    try:
+        return messages.ticks(messages.parse(text, "Pipe")).select("trade_id", "ticker", "exchange", "price")
+    finally:
+        del messages.PARSERS["pipe"]

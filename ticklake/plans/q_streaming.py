@@ -1,5 +1,7 @@
 """Streams over the given events, run to their end and read back."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ticklake.operators import candles
@@ -136,23 +138,31 @@ def str05_watermark(spark, d):
     return out.select("ticker", "exchange", "ts")
 
 
+@contextmanager
 def _rocksdb(spark):
+    """The session's state store for the time of a stream."""
+    before = {key: spark.conf.get(key, None) for key in sd.STATE_STORE}
     for key, value in sd.STATE_STORE.items():
         spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @query("str06_fifo_stream", v.FIRST + "select trade_id, ticker, exchange, ts from fa")
 def str06(spark, d):
     # With a memory larger than the stream the filter keeps exactly the first arrivals.
-    _rocksdb(spark)
-    out = drain(sd.fifo(arrival_stream(spark, d, "str06-in"), size=1 << 30, shards=8), spark, "str06")
+    with _rocksdb(spark):
+        out = drain(sd.fifo(arrival_stream(spark, d, "str06-in"), size=1 << 30, shards=8), spark, "str06")
     return out.select("trade_id", "ticker", "exchange", "ts")
 
 
 @query("str06_fifo_stream_small", FIFO)
 def str06_small(spark, d):
-    _rocksdb(spark)
-    out = drain(sd.fifo(arrival_stream(spark, d, "str06s-in"), size=3, shards=4, by="ticker"), spark, "str06s")
+    with _rocksdb(spark):
+        out = drain(sd.fifo(arrival_stream(spark, d, "str06s-in"), size=3, shards=4, by="ticker"), spark, "str06s")
     return out.select("trade_id", "ticker", "exchange", "ts", "shard")
 
 

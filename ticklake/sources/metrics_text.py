@@ -9,8 +9,11 @@ from ticklake.functions import label_map, metric_value, normalise_value_text, wi
 from ticklake.operators.joins import lookup
 from ticklake.schemas import METRIC_CSV
 
-# Fixed value: a sample line is a name, optional {labels} and a value.
-_SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([+\-]?(?:[0-9.eE+\-]+|NaN|[iI]nf))\s*$"
+# A sample line of the text format: a name, labels in braces (quoted values may hold braces and escaped
+# quotes), a value and, perhaps, a time in milliseconds.
+_LABELS = r'\{((?:[^"{}]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)\}'
+_VALUE = r"[+\-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?|NaN|[iI]nf)"
+_SAMPLE = rf"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\s*{_LABELS})?\s+({_VALUE})(?:\s+-?[0-9]+)?\s*$"
 _HISTOGRAM_SUFFIX = "_(bucket|sum|count)$"
 # A character that no metric text contains, to carry the three parts of one match.
 _MARK = "\x01"
