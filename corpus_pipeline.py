@@ -13,6 +13,9 @@ from ticklake.llm.common import table
 from ticklake.llm.queries import BYTE_TOKENIZER, tokenizer
 from ticklake.session import configure, scratch
 
+#: Words of an n-gram and percent of Jaccard similarity from which two documents are near copies.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or between two languages go."""
@@ -27,9 +30,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents."""
+    """One document of each group of documents linked by five-word n-grams; op1's contract has its own numbers."""
     configure(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions, and the registered queries."""
 
+import re
+
 import corpus_pipeline
 import pytest
 
@@ -30,6 +32,31 @@ def test_run(spark, sf, documents):
     )
 
 
+def test_near_duplicates_link_five_words_from_four_fifths_on(spark, sf, documents, make_docs):
+    words = [f"w{i}" for i in range(100)]
+    two = ["x" if i in (30, 70) else w for i, w in enumerate(words)]  # 0.811 by five words, 0.848 by four
+    three = ["y" if i in (20, 50, 80) else w for i, w in enumerate(words)]  # 0.730 by five words
+    made = make_docs([(i, " ".join(w), "en", "a") for i, w in enumerate((words, two, three))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, sf).collect()) == [0, 2]
+
+    texts = sorted((r.doc_id, r.text) for r in corpus_pipeline.exact_duplicates(spark, documents, sf).collect())
+    split = re.compile(r"[^\x20\x09-\x0D]+").findall
+    sets = []
+    for _, text in texts:
+        held = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(held[i : i + 5]) for i in range(max(len(held) - 4, min(len(held), 1)))})
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]) > 0:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = [doc for k, (doc, _) in enumerate(texts) if root[k] == k]
+    unique = spark.createDataFrame([r for r in documents.collect() if (r.doc_id, r.text) in set(texts)], documents.schema)
+    unique = corpus_pipeline.exact_duplicates(spark, unique, sf)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, unique, sf).collect()) == want
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_odd_rows(spark, sf, odd_docs, no_docs, stage):
     assert stage[1](spark, no_docs, sf).count() == 0
