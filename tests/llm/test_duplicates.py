@@ -144,6 +144,44 @@ def test_join_chains_and_families(make_docs, monkeypatch, tile):
     check_join(make_docs(rows), similarity=70)
 
 
+def check_links(docs, similarity=85):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = [shingle_set(t) for _, t in rows]
+    first, counts, pairs = {}, defaultdict(int), set()
+    for (doc, _), s in zip(rows, sets):
+        first[s] = min((x for x in (first.get(s), doc) if x is not None), default=None)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if x and 100 * both >= similarity * (len(x) + len(sets[j]) - both):
+                counts[i] += 1
+                counts[j] += 1
+                if x != sets[j]:
+                    pairs.add(tuple(sorted((first[x], first[sets[j]]), key=lambda d: (d is not None, d or 0))))
+    want = sorted(((doc, len(sets[i]), counts[i]) for i, (doc, _) in enumerate(rows)), key=str)
+    got = ngram_join.join(docs, similarity=similarity).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=str) == want
+    found = [tuple(r) for r in ngram_join.links(docs, similarity=similarity).collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+    return len(pairs)
+
+
+@pytest.mark.parametrize(("tile", "block"), [(4, 16), (512, 4096)])
+def test_every_link_of_a_family(make_docs, monkeypatch, tile, block):
+    # 25 near copies, nearly all linked with each other, three of them twice, and a chain
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(["x" if k == 6 * i else w for k, w in enumerate(base)]), "en", "a") for i in range(25)]
+    rows += [(100 + i, rows[i][1].upper(), "en", "a") for i in range(3)] + [(None, "one two three", "en", "a")]
+    rows += [(200 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 100)), "en", "a") for i in range(12)]
+    assert check_links(make_docs(rows)) > 300
+
+
+def test_links_of_odd_rows(odd_docs):
+    check_links(odd_docs)
+
+
 def test_representatives(odd_docs):
     out = ngram_join.representatives(odd_docs)
     assert out.columns == odd_docs.columns

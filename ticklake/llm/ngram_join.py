@@ -17,8 +17,12 @@ The product is never formed whole:
    column block (64 blocks by hash) bound the overlap of a pair from above; pairs below what their
    sizes ask for are discarded, the others get their exact overlap.
 
-So every link between rows of different components is found, while pairs inside a component that is
-already connected are not made: the result is components, not links.
+So every link between rows of different components is found, and the components are exact.
+
+5. *Links.* All links lie inside components. A component's rows are dealt to tiles of bounded size, and
+   every pair of tiles meets once: the exact overlaps of all its pairs of rows are an incidence matrix
+   times the transpose of another, made from blocks of columns. ``join`` counts a document's links there,
+   rows weighted by the members of their class; ``links`` lists the pairs of classes.
 
 A common n-gram's list is never in one task: it is combined before it is shuffled, and its rows are
 dealt to tiles of ``TILE`` rows, joined by an equi-join that adaptive execution splits.
@@ -34,7 +38,7 @@ unless no member has one; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,8 @@ WORDS, SIMILARITY = 4, 85
 FIRST_BLOCK = 0.2
 #: Rows of a tile, central rows per overlap list, and column blocks of the overlap bound.
 TILE, HUBS, BINS = 512, 4, 64
+#: Columns that the rows of a tile of a component have in all, about, and columns of a block of its product.
+TILE_COLUMNS, BLOCK = 1 << 19, 4096
 #: Ids up to which the rows to read again are sent to all tasks (8 bytes each).
 SMALL_IDS = 500_000
 
@@ -303,10 +309,10 @@ def _sign(cls: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def join(
-    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
-) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id; ``similarity`` in percent."""
+def _linked(
+    docs: DataFrame, words: int, similarity: int, first_block: float
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with class, row and class of each set, shared columns of rows, component of linked rows)."""
     rows = cut(docs.select("doc_id", "text").mapInArrow(_rows(words), "doc_id long, n long, cls binary"), "rows")
     sets = _survivors(docs, rows, words, similarity, first_block)
 
@@ -348,23 +354,154 @@ def join(
     late = met.select("x", "y").mapInArrow(_tile_pairs(similarity), "a long, b long").distinct()
     second = cut(_verified(late, vectors, similarity), "links")
 
-    roots = components(first.unionByName(second)).withColumnRenamed("id", "uid")
+    roots = cut(components(first.unionByName(second)).withColumnRenamed("id", "uid"), "roots")
+    return rows, sets.select("uid", "cls"), vectors.select("uid", "n", "columns"), roots
+
+
+def _components(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, component_id) of all classes with n-grams."""
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    rooted = sets.select("uid", "cls").join(roots, "uid").join(classes, "cls")
+    rooted = sets.join(roots, "uid").join(classes, "cls")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = rooted.join(smallest, "root").select("cls", "component_id")
-    named = classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
-    whole = rows.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def _members(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The documents with what is named by class; those without n-grams are components of their own."""
+    whole = rows.where("n > 0").join(named, "cls").withColumnRenamed("n", "n_shingles").drop("cls")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return whole.unionByName(alone)
+    return whole.unionByName(alone, allowMissingColumns=True)
+
+
+def _overlaps(uid: np.ndarray, held: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Columns that each of the rows ``left`` shares with each of ``right``, by blocks of columns."""
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    row = np.repeat(np.arange(len(uid)), [len(x) for x in held])
+    _, code, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    row, code = row[count[code] > 1], code[count[code] > 1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], np.cumsum(np.diff(code[order], prepend=-1) > 0) - 1
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, BLOCK):
+        part = slice(*np.searchsorted(code, [low, low + BLOCK]))
+        here = np.zeros((len(uid), min(BLOCK, int(code[-1]) + 1 - low)), dtype=np.float32)
+        here[row[part], code[part] - low] = 1
+        total += np.rint(here[left] @ here[right].T).astype(np.int64)
+    return total
+
+
+def _met(similarity: int) -> Callable[[dict], tuple[np.ndarray, np.ndarray, list[dict]]]:
+    """Two tiles (or one with itself) -> places of the linked pairs among their rows, and the rows."""
+
+    def run(met: dict) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+        rows = met["rows"]
+        tile = np.array([r["tile"] for r in rows])
+        uid, n = np.array([r["uid"] for r in rows]), np.array([r["n"] for r in rows])
+        left, right = np.flatnonzero(tile == met["low"]), np.flatnonzero(tile == met["high"])
+        if not len(left) or not len(right):
+            return left[:0], right[:0], rows
+        both = _overlaps(uid, [np.frombuffer(r["columns"], "<u8") for r in rows], left, right)
+        linked = both >= _needed(n[left][:, None], n[right][None, :], similarity)
+        if met["low"] == met["high"]:
+            linked = np.triu(linked, 1)
+        i, j = np.nonzero(linked)
+        return left[i], right[j], rows
+
+    return run
+
 
+def _pairs(similarity: int):
+    """The linked pairs of rows."""
+    meet = _met(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for met in range(batch.num_rows):
+                i, j, rows = meet(batch.slice(met, 1).to_pylist()[0])
+                uid = np.array([r["uid"] for r in rows], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(uid[j])], ["a", "b"])
+
+    return run
+
+
+def _link_counts(similarity: int):
+    """Documents that each row's links lead to, in these tiles."""
+    meet = _met(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for met in range(batch.num_rows):
+                i, j, rows = meet(batch.slice(met, 1).to_pylist()[0])
+                size = np.array([r["members"] for r in rows], dtype=np.int64)
+                links = np.zeros(len(rows), dtype=np.int64)
+                np.add.at(links, i, size[j])
+                np.add.at(links, j, size[i])
+                uid = pa.array([r["uid"] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([uid, pa.array(links)], ["uid", "links"])
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
+    return run
+
+
+def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every pair of tiles of every component: (root, low, high, rows). No row with links is left out."""
+    members = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("members"))
+    family = sets.join(roots, "uid").join(members, "cls").select("uid", "root", "members")
+    family = vectors.join(family, "uid")
+    amount = F.greatest(F.count("*") / F.lit(TILE), F.sum(F.length("columns")) / F.lit(8 * TILE_COLUMNS))
+    tiles = family.groupBy("root").agg(F.ceil(amount).cast("long").alias("tiles"))
+    dealt = family.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return dealt.groupBy("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(
+        F.collect_list(F.struct("uid", "n", "members", "tile", "columns")).alias("rows")
+    )
+
+
+def join(
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, n_links; ``similarity`` in percent.
+
+    ``n_links`` is the number of other documents that a document links with, those of equal sets too.
+    """
+    rows, sets, vectors, roots = _linked(docs, words, similarity, first_block)
+    met = _meetings(rows, sets, vectors, roots)
+    counted = met.select("low", "high", "rows").mapInArrow(_link_counts(similarity), "uid long, links long")
+    counted = counted.groupBy("uid").agg(F.sum("links").alias("links"))
+    counted = sets.join(counted, "uid").select("cls", "links")
+    sizes = rows.where("n > 0").groupBy("cls").agg((F.count("*") - 1).alias("equal"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("equal")).alias("n_links")
+    named = _components(rows, sets, roots).join(sizes, "cls").join(counted, "cls", "left")
+    found = _members(rows, named.select("cls", "component_id", n_links))
+    return found.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
+def links(
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+) -> DataFrame:
+    """Every link between different sets: (a, b), the smallest ids of the two classes, a < b.
+
+    Documents of equal sets are one class; a class whose members have no id at all shows as null, first.
+    """
+    rows, sets, vectors, roots = _linked(docs, words, similarity, first_block)
+    met = _meetings(rows, sets, vectors, roots)
+    found = met.select("low", "high", "rows").mapInArrow(_pairs(similarity), "a long, b long")
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
+    first = sets.join(classes, "cls").select("uid", "first")
+    one, two = first.toDF("a", "x"), first.toDF("b", "y")
+    swap = F.col("y").isNull() | (F.col("y") < F.col("x"))
+    low, high = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    return found.join(one, "a").join(two, "b").select(low.alias("a"), high.alias("b"))
+
+
+def representatives(
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+) -> DataFrame:
     """The documents whose id is their component's, with all columns: one of each component.
 
     Repeated rows count once. Rows that share an id although their texts differ stand or fall together.
     """
-    found = cut(join(docs, **options), "joined")
+    rows, sets, _, roots = _linked(docs, words, similarity, first_block)
+    found = cut(_members(rows, _components(rows, sets, roots)), "joined")
     same_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = found.where(same_id).groupBy("doc_id").agg(F.count("*").alias("n"))
     go = join_same(found.where(~same_id).select("doc_id").distinct(), stay, ["doc_id"], "left_anti")
