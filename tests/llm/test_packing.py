@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from ticklake.llm import dac, packing
 from ticklake.llm.textblocks import blocks
@@ -38,6 +39,24 @@ def test_ids_are_the_library_s(path, keeps_space, documents):
     assert seen == len(texts) + 2
 
 
+@pytest.mark.parametrize(("path", "keeps_space"), [(WORDS, False), (BYTES, True)])
+def test_ids_are_those_of_an_unchanged_library(path, keeps_space):
+    library, tool = Tokenizer.from_file(path), Encoder(path, keeps_space)
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x  <|startoftext|>\n<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = [*special, "<|endof", "text|> ends", *odd_texts(), *special]
+    for limit in (40, 1 << 20):
+        seen = 0
+        for first, raw, starts in blocks(pa.array(texts), limit=limit):
+            ids, edges = tool.encode(raw, starts)
+            for i in range(len(starts) - 1):
+                want = library.encode(texts[first + i], add_special_tokens=False).ids
+                assert ids[edges[i] : edges[i + 1]].tolist() == want
+                seen += 1
+        assert seen == len(texts)
+    got = tool.encode(np.frombuffer(special[0].encode(), np.uint8), np.array([0, len(special[0])]))[0].tolist()
+    assert (50256 if keeps_space else 49407) in got
+
+
 def test_ids_when_the_cache_is_full(monkeypatch):
     from ticklake.llm import tokens
 

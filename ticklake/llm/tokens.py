@@ -5,8 +5,8 @@ ids of a text are the ids of its words one after the other. Words repeat: a look
 for a whole block of texts at once in numpy, is several times faster than encoding every text anew.
 Words not seen yet go to the library.
 
-The ids are those of the library's ``encode(text, add_special_tokens=False)`` with special strings
-read as ordinary text. Texts are cut at a single space whose next character is no white space: white
+The ids are those of the library's ``encode(text, add_special_tokens=False)``. A text that holds the
+string of an added token (``<|endoftext|>``) goes to the library whole. Other texts are cut at a single space whose next character is no white space: white
 space before that space stays with the word before it, where the tokenizer sees the same run of
 white space, followed by the end instead of the space.
 """
@@ -62,10 +62,13 @@ class Encoder:
     def __init__(self, path: str, keeps_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.library.no_padding()
         self.library.no_truncation()
         self.model = self.library.model
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added]
+        #: Tokens looked for in normalised text cannot be found in the bytes: then every text goes to the library.
+        self.all_whole = any(t.normalized for t in added)
         #: Whether a word's ids depend on the space in front of it (byte-level vocabularies).
         self.keeps_space = keeps_space
         self._clear()
@@ -143,8 +146,39 @@ class Encoder:
         self._add(hashes, heads, self.used + np.cumsum(lengths) - lengths, lengths)
         self.used += total
 
+    def _holds_added(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """The texts with the string of an added token."""
+        if self.all_whole:
+            return np.arange(len(texts) - 1)
+        low, high = int(texts[0]), int(texts[-1])
+        data, found = raw[low:high].tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(texts, low + at, side="right")) - 1
+                if low + at + len(token) <= texts[text + 1]:  # else it runs over the end of a text
+                    found.add(text)
+                at = data.find(token, at + 1)
+        return np.array(sorted(found), dtype=np.int64)
+
     def encode(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each text's ids start and the end) of a block as ``textblocks.blocks`` gives it."""
+        whole = self._holds_added(raw, texts)
+        if not len(whole):
+            return self._encode(raw, texts)
+        lengths = np.diff(texts)
+        other = np.ones(len(lengths), dtype=bool)
+        other[whole] = False
+        left = np.concatenate([[0], np.cumsum(np.where(other, lengths, 0))])
+        ids, edges = self._encode(raw[texts[0] : texts[-1]][np.repeat(other, lengths)], left)
+        lists = [self._plainly(raw, texts[i : i + 2])[0] for i in whole.tolist()]
+        sizes = np.diff(edges)
+        sizes[whole] = [len(x) for x in lists]
+        ids = np.insert(ids, np.repeat(edges[whole], sizes[whole]), np.concatenate(lists))
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         full = np.flatnonzero(texts[1:] > texts[:-1])
         first_at, last_at = texts[:-1][full], texts[1:][full]
         spaces = np.zeros(len(raw), dtype=bool)
