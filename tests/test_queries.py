@@ -32,3 +32,8 @@ def test_query(spark, con, sf, name):
         assert name in MAY_BE_EMPTY
     else:
         assert difference is None, difference
+
+
+def test_the_status_report_counts_all_ticks(spark, sf):
+    got = {r.exchange: r.ticks for r in queries()["join07_status_report_all"](spark, sf).collect()}
+    assert sum(got.values()) == spark.read.parquet(f"{sf}/events.parquet").count() and min(got.values()) > 0

@@ -177,3 +177,15 @@ _REPORT = v.LOG + """, st as (select exchange, max_by(status, seq) as status fro
 def join07(spark, d):
     t = v.ticks(spark, d).where((F.col("ticker") == "CLICK") & (F.col("exchange") == "Binance"))
     return counts.status_report(v.status_log(spark, d), t)
+
+
+@query(
+    "join07_status_report_all",
+    _REPORT
+    + """select exchange, status, coalesce(n, 0) as ticks from st left join (
+      select case when user_id % 2 = 0 then 'Binance' else 'Kraken' end as exchange, count(*) as n
+      from events group by 1) using (exchange)""",
+)
+def join07_all(spark, d):
+    """The whole report; join07_status_report is the case of an exchange without ticks."""
+    return counts.status_report(v.status_log(spark, d), v.ticks(spark, d))
