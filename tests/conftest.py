@@ -1,6 +1,6 @@
 import os
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from decimal import Decimal
 
 import pytest
@@ -9,8 +9,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
+from base import BASE  # noqa: E402
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-BASE = datetime(2024, 1, 1, 10, 0, 0)
 
 
 @pytest.fixture(scope="session")

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from conftest import BASE
+from base import BASE
 from pyspark.sql import functions as F
 
 from ticklake.operators import candles

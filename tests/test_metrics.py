@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import BASE
+from base import BASE
 from pyspark.sql import functions as F
 
 from ticklake.operators import counts, metrics, rates, runs

@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import BASE
+from base import BASE
 from test_dedup import stream as random_ticks
 from test_sources import trade
 
