@@ -203,6 +203,27 @@ def test_ngrams_are_the_same_in_any_block():
     assert whole[0] < whole[4] and whole[6] <= whole[0]
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_words_that_polynomial_hashes_mix_up(make_docs, swap):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = ["w" * 8 + word, "w" * 8 + word.translate(str.maketrans("ab", "ba"))]
+    two = two[::-1] if swap else two
+    for _, raw, starts in blocks(pa.array([f"{w} tail" for w in two])):
+        grams, edges = ngram_join.ngrams(raw, starts)
+        assert grams[edges[0]] != grams[edges[1]]
+    docs = make_docs([(i, " ".join([w] * 3 + ["x"] * i), "en", "a") for i, w in enumerate(two * 2)])
+    check_join(docs)
+
+
+@pytest.mark.parametrize("words,similarity", [(5, 80), (4, 85), (3, 50), (4, 100)])
+def test_the_first_block_follows_the_similarity(documents, words, similarity):
+    part = ngram_join.first_part(similarity)
+    assert 1.4 * (100 - similarity) / 100 <= part <= 1
+    rows = documents.select("doc_id", "text").mapInArrow(ngram_join._rows(words), "doc_id long, n long, cls binary").cache()
+    few = ngram_join._survivors(documents, rows, words, similarity, part).count()
+    assert few < 0.5 * rows.select("cls").distinct().count()
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 440)]

@@ -57,6 +57,43 @@ def test_ids_are_those_of_an_unchanged_library(path, keeps_space):
     assert (50256 if keeps_space else 49407) in got
 
 
+def twins(letters="ab", n=1024):
+    """Two different words of one start whose letters at even and odd places (Thue-Morse) are exchanged."""
+    word = "".join(letters[bin(i).count("1") % 2] for i in range(n))
+    return "w" * 8 + word, "w" * 8 + word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize(("path", "keeps_space"), [(WORDS, False), (BYTES, True)])
+@pytest.mark.parametrize("swap", [False, True])
+def test_words_that_polynomial_hashes_mix_up(path, keeps_space, swap):
+    one, two = reversed(twins()) if swap else twins()
+    texts = [f"x {one} {two} {one}", f"{two} {one}", "x" * 16 + " " + "x" * 17, "a\0b a a\0", "\0 x \0\0 x"]
+    library, tool = Tokenizer.from_file(path), Encoder(path, keeps_space)
+    for _ in range(2):
+        for first, raw, starts in blocks(pa.array(texts)):
+            ids, edges = tool.encode(raw, starts)
+            for i in range(len(starts) - 1):
+                want = library.encode(texts[first + i], add_special_tokens=False).ids
+                assert ids[edges[i] : edges[i + 1]].tolist() == want
+
+
+def test_words_whose_cache_number_is_the_same(monkeypatch):
+    # all words share one slot number: they are told apart by their bytes
+    monkeypatch.setattr(Encoder, "_mixed", staticmethod(lambda low, high, tag: low & np.uint64(3)))
+    tool, library = Encoder(BYTES, True), Tokenizer.from_file(BYTES)
+    text = " ".join(f"{a}{b}" for a in "aeimquy" for b in ("", "x", "xyz", "longer"))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert tool.encode(raw, np.array([0, len(raw)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bytes_that_are_no_utf8():
+    raw = np.frombuffer(b"good \xff\xfe word", np.uint8)
+    for path, keeps_space in ((WORDS, False), (BYTES, True)):
+        tool, library = Encoder(path, keeps_space), Tokenizer.from_file(path)
+        want = library.encode("good \ufffd\ufffd word", add_special_tokens=False).ids
+        assert tool.encode(raw, np.array([0, len(raw)]))[0].tolist() == want
+
+
 def test_ids_when_the_cache_is_full(monkeypatch):
     from ticklake.llm import tokens
 

@@ -13,7 +13,7 @@ pass over whole texts.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and not ambiguous. Documents
 with a null text or lang teach nothing; with no training document everything is ``und``; with one
-language everything with a letter is that language, score 1. A null doc_id counts as a training row
+language everything with a letter is that language, score 1. Bytes that are no UTF-8 are no letters. A null doc_id counts as a training row
 (its remainder is that of the empty text). Ties between languages go to the first by code point.
 Repeated rows are judged alike; further columns stay as they are.
 """
@@ -186,7 +186,7 @@ def _has_letter(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])
     out = sums[starts[1:]] > sums[starts[:-1]]
     for i in np.flatnonzero(~out):
-        out[i] = any(c.isalpha() for c in raw[starts[i] : starts[i + 1]].tobytes().decode())
+        out[i] = any(c.isalpha() for c in raw[starts[i] : starts[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
 
 

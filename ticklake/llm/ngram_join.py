@@ -5,9 +5,10 @@ overlap, an entry of the product of the matrix with its transpose, is large enou
 The product is never formed whole:
 
 1. *Rows.* Documents with the same set are one row (a class, known by a 128-bit sum over its set).
-2. *First column block.* A fifth of all columns, by hash. A row may miss at most ``n - ceil(s * n)`` of
+2. *First column block.* A part of all columns, by hash. A row may miss at most ``n - ceil(s * n)`` of
    its own columns in any row it links with, so a row with more columns in this block that no other
-   row has is discarded. Rows without near duplicates mostly end here.
+   row has is discarded. The part follows from the similarity (``FIRST_BLOCK`` times what a row may miss),
+   so that rows without near duplicates mostly end here; the bound is exact for any part.
 3. *All columns* of the rows that are left: how many rows share each; columns of a single row go, and
    with them rows that are left with too few.
 4. *Overlap lists.* With a row's columns in order of rarity, two linked rows share one of their first
@@ -27,8 +28,8 @@ So every link between rows of different components is found, and the components
 A common n-gram's list is never in one task: it is combined before it is shuffled, and its rows are
 dealt to tiles of ``TILE`` rows, joined by an equi-join that adaptive execution splits.
 
-n-grams are compared by 64-bit hashes of their words: two different n-grams of one pair of documents
-meet with probability 2^-64 each. Class sums have 128 bits.
+n-grams are compared by 64-bit hashes of their words (mixed lanes of eight bytes, chained word by word): two
+different n-grams meet with probability about 2^-64. Class sums have 128 bits.
 
 Edge cases: words are runs other than ASCII white space, A-Z lower-cased; a document of fewer words
 than n has one n-gram, its whole sequence; a null text or one without words has none and is a
@@ -51,8 +52,8 @@ from ticklake.llm.textblocks import LOWERED, blocks, mix64, span_hashes, words_o
 from ticklake.session import cut
 
 WORDS, SIMILARITY = 4, 85
-#: The first column block: hashes below this part of all.
-FIRST_BLOCK = 0.2
+#: Size of the first column block, as a multiple of the part of its columns that a row may miss in a link.
+FIRST_BLOCK = 1.5
 #: Rows of a tile, central rows per overlap list, and column blocks of the overlap bound.
 TILE, HUBS, BINS = 512, 4, 64
 #: Columns that the rows of a tile of a component have in all, about, and columns of a block of its product.
@@ -115,6 +116,11 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
 
 
+def first_part(similarity: int) -> float:
+    """The part of all columns that the first block takes for this similarity in percent."""
+    return min(1.0, max(0.02, FIRST_BLOCK * (100 - similarity) / 100))
+
+
 def _rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +134,7 @@ def _rows(words: int):
 
 
 def _first_block(words: int, part: float):
-    limit = _U(int(part * (1 << 63)) * 2)
+    limit = _U(min(int(part * (1 << 63)) * 2, (1 << 64) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,11 +316,12 @@ def _sign(cls: Column) -> Column:
 
 
 def _linked(
-    docs: DataFrame, words: int, similarity: int, first_block: float
+    docs: DataFrame, words: int, similarity: int, first_block: float | None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents with class, row and class of each set, shared columns of rows, component of linked rows)."""
     rows = cut(docs.select("doc_id", "text").mapInArrow(_rows(words), "doc_id long, n long, cls binary"), "rows")
-    sets = _survivors(docs, rows, words, similarity, first_block)
+    part = first_part(similarity) if first_block is None else first_block
+    sets = _survivors(docs, rows, words, similarity, part)
 
     held = sets.select("uid", F.explode("grams").alias("h"))
     counts = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -457,7 +464,7 @@ def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataF
 
 
 def join(
-    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float | None = None
 ) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, n_links; ``similarity`` in percent.
 
@@ -476,7 +483,7 @@ def join(
 
 
 def links(
-    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float | None = None
 ) -> DataFrame:
     """Every link between different sets: (a, b), the smallest ids of the two classes, a < b.
 
@@ -494,7 +501,7 @@ def links(
 
 
 def representatives(
-    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float = FIRST_BLOCK
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, first_block: float | None = None
 ) -> DataFrame:
     """The documents whose id is their component's, with all columns: one of each component.
 

@@ -14,8 +14,9 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LANE = _U(0x9E3779B97F4A7C15)
+#: The bytes that a lane of 0 to 8 bytes keeps.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
 
 #: 1 for bytes of words, 0 for ASCII white space; ASCII upper case mapped to lower case.
 IS_WORD = np.ones(256, dtype=bool)
@@ -24,27 +25,6 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=_U)
-    out[0] = 1
-    have = 1
-    while have < n:
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * _U(pow(base, have, 1 << 64))
-        have += more
-    return out
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    have = _tables.get(name)
-    if have is None or len(have) < n:
-        have = _tables[name] = _powers(base, max(n, 2 * BLOCK_BYTES))
-    return have[:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -69,13 +49,33 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
+def lanes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each start as one number, zeros behind the end of the span."""
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(raw) + 1,), strides=(1,))
+    keep = np.clip(lengths, 0, 8)
+    return eights[np.minimum(starts, len(raw))] & _KEEP[keep]
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; the same bytes give the same hash wherever they stand."""
-    n = len(raw)
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum((raw.astype(_U) + _U(1)) * _table("up", _BASE, n) if n else raw.astype(_U), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _table("down", _INVERSE, n + 1)[starts]
-    return mix64(value + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes; the same bytes give the same hash wherever they stand.
+
+    Lanes of eight bytes are mixed with their number in the span before they are added up, so that no pattern
+    of the bytes cancels out. Two different spans meet with probability about 2^-64 unless they were made by
+    inverting the mixer: whoever needs certainty compares bytes.
+    """
+    length = ends - starts
+    value = mix64(lanes(raw, starts, length) + _LANE)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8  # lanes after the first
+        edges = np.cumsum(more) - more
+        number = np.arange(int(more.sum())) - np.repeat(edges, more) + 1
+        at = np.repeat(starts[long], more) + 8 * number
+        part = lanes(raw, at, np.repeat(ends[long], more) - at)
+        mixed = mix64(mix64(part + _LANE) + (number + 1).astype(_U) * _LANE)
+        value[long] += np.add.reduceat(mixed, edges)
+    return mix64(value + length.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def words_of_texts(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

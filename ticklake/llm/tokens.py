@@ -3,12 +3,14 @@
 The public tokenizers used here cut a text at white space before they look at anything else, so the
 ids of a text are the ids of its words one after the other. Words repeat: a look-up per word, done
 for a whole block of texts at once in numpy, is several times faster than encoding every text anew.
-Words not seen yet go to the library.
+Words not seen yet go to the library. A cached word is found by all its bytes (two numbers of eight bytes
+and its length), never by a hash alone; words of more than 16 bytes are kept in a dictionary by their bytes.
 
 The ids are those of the library's ``encode(text, add_special_tokens=False)``. A text that holds the
-string of an added token (``<|endoftext|>``) goes to the library whole. Other texts are cut at a single space whose next character is no white space: white
-space before that space stays with the word before it, where the tokenizer sees the same run of
-white space, followed by the end instead of the space.
+string of an added token (``<|endoftext|>``) goes to the library whole. Other texts are cut at a single
+space whose next character is no white space: white space before that space stays with the word before
+it, where the tokenizer sees the same run of white space, followed by the end instead of the space.
+Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-from ticklake.llm.textblocks import mix64, span_hashes
+from ticklake.llm.textblocks import lanes, mix64
 
 #: Slots of the word cache and how many may be filled; a full cache starts anew (about 30 MB a worker).
 SLOTS, FILLED = 1 << 20, 700_000
-#: Parts of words kept besides.
-PIECES = 50_000
-#: Words that do not start a text may look like this one with another hash.
-_FIRST = np.uint64(0x632BE59BD9B4E019)
+#: Parts of words, and words of more than ``SHORT`` bytes, kept besides; ids and bytes that the latter may have in all.
+PIECES, LONG_IDS = 50_000, 2_000_000
+SHORT = 16
+_U = np.uint64
 #: Letters of one script, then marks: every splitter here cuts such a word in these two parts. The
 #: letters are single code points that no normal form changes, the marks cannot open a contraction.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#()\"-]*)")
@@ -47,15 +49,6 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 
-def _heads(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each span as one number: a second check beside the hash."""
-    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
-    eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(raw) + 1,), strides=(1,))
-    keep = np.minimum(lengths, 8).astype(np.uint64) * np.uint64(8)
-    mask = np.where(keep >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(keep, np.uint64(63))) - np.uint64(1))
-    return eights[starts] & mask
-
-
 class Encoder:
     """Encodes blocks of texts; keeps the words it has met."""
 
@@ -74,13 +67,16 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(SLOTS, dtype=np.uint64)  # 0: empty
-        self.heads = np.zeros(SLOTS, dtype=np.uint64)
+        self.low = np.zeros(SLOTS, dtype=np.uint64)  # bytes 0 to 7 of the word in a slot
+        self.high = np.zeros(SLOTS, dtype=np.uint64)  # bytes 8 to 15
+        self.tag = np.zeros(SLOTS, dtype=np.uint8)  # its length and place, 0: empty
         self.start = np.zeros(SLOTS, dtype=np.int32)
         self.length = np.zeros(SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = self.filled = 0
         self.pieces: dict[str, list[int]] = {}
+        self.long: dict[tuple[bytes, bool], np.ndarray] = {}
+        self.long_ids = 0
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token, straight from the merges."""
@@ -103,39 +99,45 @@ class Encoder:
         ids = self._piece(lead + letters if self.keeps_space else letters.lower())
         return ids + self._piece(marks) if marks else ids
 
-    def _find(self, hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _mixed(low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return mix64(low ^ mix64(high + tag))
+
+    def _home(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return (self._mixed(low, high, tag) & _U(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """Slot of each word, -1 if it is not there."""
-        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        open_ = np.arange(len(hashes))
+        at = self._home(low, high, tag)
+        out = np.full(len(low), -1, dtype=np.int64)
+        open_ = np.arange(len(low))
         while len(open_):
             slot = at[open_]
-            there = self.hashes[slot]
-            hit = (there == hashes[open_]) & (self.heads[slot] == heads[open_])
+            there = self.tag[slot]
+            hit = (self.low[slot] == low[open_]) & (self.high[slot] == high[open_]) & (there == tag[open_])
             out[open_[hit]] = slot[hit]
             open_ = open_[~hit & (there != 0)]
             at[open_] = (at[open_] + 1) & (SLOTS - 1)
         return out
 
-    def _add(self, hashes: np.ndarray, heads: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        open_ = np.arange(len(hashes))
+    def _add(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        at = self._home(low, high, tag)
+        open_ = np.arange(len(low))
         while len(open_):
-            free = self.hashes[at[open_]] == 0
+            free = self.tag[at[open_]] == 0
             tried = open_[free]
-            slot = at[tried]
-            self.hashes[slot] = hashes[tried]
-            self.heads[slot] = heads[tried]
-            self.start[slot] = starts[tried]  # of several that meet in a free slot the last wins all four
-            self.length[slot] = lengths[tried]
-            won = (self.hashes[slot] == hashes[tried]) & (self.heads[slot] == heads[tried])
-            open_ = np.concatenate([open_[~free], tried[~won]])
+            _, one = np.unique(at[tried], return_index=True)  # of several that meet in a free slot the first has it
+            owner = tried[one]
+            slot = at[owner]
+            self.low[slot], self.high[slot], self.tag[slot] = low[owner], high[owner], tag[owner]
+            self.start[slot], self.length[slot] = starts[owner], lengths[owner]
+            open_ = np.setdiff1d(open_, owner, assume_unique=True)
             at[open_] = (at[open_] + 1) & (SLOTS - 1)
-        self.filled += len(hashes)
+        self.filled += len(low)
 
-    def _learn(self, raw, starts, ends, firsts, hashes, heads) -> None:
+    def _learn(self, raw, starts, ends, firsts, low, high, tag) -> None:
         lists = [
-            self.encode_word(raw[a:b].tobytes().decode(), f)
+            self.encode_word(raw[a:b].tobytes().decode("utf-8", "replace"), f)
             for a, b, f in zip(starts.tolist(), ends.tolist(), firsts.tolist())
         ]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -143,9 +145,22 @@ class Encoder:
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype=np.uint32)])
         self.ids[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
-        self._add(hashes, heads, self.used + np.cumsum(lengths) - lengths, lengths)
+        self._add(low, high, tag, self.used + np.cumsum(lengths) - lengths, lengths)
         self.used += total
 
+    def _long_word(self, word: bytes, first: bool) -> np.ndarray:
+        """Ids of a word of more than ``SHORT`` bytes."""
+        key = (word, first and self.keeps_space)
+        found = self.long.get(key)
+        if found is None:
+            found = np.array(self.encode_word(word.decode("utf-8", "replace"), first), dtype=np.uint32)
+            self.long_ids += len(found) + len(word)
+            if self.long_ids > LONG_IDS:
+                self.long.clear()
+                self.long_ids = len(found) + len(word)
+            self.long[key] = found
+        return found
+
     def _holds_added(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """The texts with the string of an added token."""
         if self.all_whole:
@@ -189,34 +204,49 @@ class Encoder:
         order = np.argsort(starts, kind="stable")
         starts, firsts = starts[order], order < len(first_at)
         ends = np.sort(np.concatenate([cuts, last_at]), kind="stable")
-        hashes = span_hashes(raw, starts, ends)
-        if self.keeps_space:
-            hashes[firsts] = mix64(hashes[firsts] ^ _FIRST)
-        hashes[hashes == 0] = 1
-        heads = _heads(raw, starts, ends - starts)
-        slots = self._find(hashes, heads)
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            _, one = np.unique(hashes[missing], return_index=True)
-            if self.filled + len(one) > FILLED:
-                self._clear()
-                missing = np.arange(len(hashes))
-                _, one = np.unique(hashes, return_index=True)
-            if len(one) > FILLED:  # a text with more words than the cache: word by word
-                return self._plainly(raw, texts)
-            new = missing[one]
-            self._learn(raw, starts[new], ends[new], firsts[new], hashes[new], heads[new])
-            slots = self._find(hashes, heads)
-            if (slots < 0).any():  # two words of one hash in this block
-                return self._plainly(raw, texts)
-        lengths = self.length[slots].astype(np.int64)
+        size = ends - starts
+        many = np.flatnonzero(size > SHORT)
+        lists = [self._long_word(raw[starts[i] : ends[i]].tobytes(), bool(firsts[i])) for i in many.tolist()]
+        few = np.flatnonzero(size <= SHORT) if len(many) else np.arange(len(size))
+        start, length = self._short_words(raw, starts[few], ends[few], firsts[few])
+        if start is None:
+            return self._plainly(raw, texts)
+        lengths = np.zeros(len(size), dtype=np.int64)
+        lengths[few] = length
+        if lists:
+            lengths[many] = [len(x) for x in lists]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.start[slots] - total[:-1], lengths) + np.arange(total[-1])]
+        at = np.zeros(len(size), dtype=np.int64)
+        at[few] = start
+        if lists:  # their ids are read from behind the cache's own
+            own = lengths[many]
+            at[many] = self.used + np.cumsum(own) - own
+        held = np.concatenate([self.ids[: self.used], *lists]) if lists else self.ids
+        ids = held[np.repeat(at - total[:-1], lengths) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, texts, side="left")]
 
+    def _short_words(self, raw, starts, ends, firsts) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Where the ids of each word of up to ``SHORT`` bytes start, and how many they are; None if too many are new."""
+        size = ends - starts
+        low = lanes(raw, starts, size)
+        high = lanes(raw, starts + 8, size - 8)
+        tag = (size + 1 + (32 * firsts if self.keeps_space else 0)).astype(np.uint8)
+        slots = self._find(low, high, tag)
+        while (slots < 0).any():
+            missing = np.flatnonzero(slots < 0)
+            new = missing[np.unique(self._mixed(low[missing], high[missing], tag[missing]), return_index=True)[1]]
+            if self.filled + len(new) > FILLED:
+                self._clear()
+                new = np.unique(self._mixed(low, high, tag), return_index=True)[1]
+            if len(new) > FILLED:  # a text with more words than the cache: word by word
+                return None, None
+            self._learn(raw, starts[new], ends[new], firsts[new], low[new], high[new], tag[new])
+            slots = self._find(low, high, tag)  # words that share a number are learnt one a round
+        return self.start[slots].astype(np.int64), self.length[slots].astype(np.int64)
+
     def _plainly(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = [
-            np.array(self.library.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            np.array(self.library.encode(raw[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
             for a, b in zip(texts[:-1].tolist(), texts[1:].tolist())
         ]
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
