@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import chat, dac, exact_dedup, langid, mixing, mtree, ngram_join, packing, sharding, url_reputation
+from ticklake.llm import chat, dac, exact_dedup, langid, mixing, mtree, ngram_join, packing, quality, sharding, url_reputation
 from ticklake.llm.common import table
 from ticklake.session import configure, cut, scratch
 
@@ -238,3 +238,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(HARD).alias("text"),
     )
     return chat.digest(cut(chat.render(talks.unionByName(hard)), "formatted"))
+
+
+@query("op11_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
