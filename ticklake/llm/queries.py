@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklake.llm import chat, dac, exact_dedup, langid, mixing, mtree, ngram_join, packing, quality, sharding, url_reputation
+from ticklake.llm import (
+    chat,
+    dac,
+    exact_dedup,
+    langid,
+    mixing,
+    mtree,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    url_reputation,
+    whitening,
+)
 from ticklake.llm.common import table
 from ticklake.session import configure, cut, scratch
 
@@ -243,3 +256,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_quality")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_whiten")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
