@@ -12,6 +12,7 @@ from ticklake.llm import (
     dac,
     exact_dedup,
     langid,
+    merkle,
     mixing,
     mtree,
     ngram_join,
@@ -258,6 +259,103 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op12_sql(levels: int = 10) -> str:
+    """The tree as SQL, level by level; ``levels`` of 16 children reach 16 ** levels rows of a source."""
+    item = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    parts = [item.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = item.format("text")
+    lower = item.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    # crc32 of the decimal digits, bit by bit: a byte is taken in, then eight steps follow.
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+             lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT)"""
+    ctes = [
+        f"""leaves AS (
+  SELECT doc_id, source, sha256({" || ".join([*parts, text])}) AS leaf, sha256({" || ".join([*parts, lower])}) AS lowered,
+         coalesce({crc} % 5 = 0, false) AS tampered
+  FROM documents
+)""",
+        """doc_nodes0 AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n, leaf AS h, CASE WHEN tampered THEN lowered ELSE leaf END AS start
+  FROM leaves
+)""",
+        "s0 AS (SELECT source, pos, n, h FROM doc_nodes0)",
+    ]
+
+    def tree(name: str, group: str) -> list[str]:
+        out = []
+        for k in range(levels):
+            run = f"PARTITION BY {group}, pos // 16 ORDER BY pos ROWS BETWEEN"
+            out.append(
+                f"""{name}_flanks{k} AS (
+  SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k}
+), {name}{k + 1} AS (
+  SELECT {group}, pos // 16 AS pos, (max(n) + 15) // 16 AS n,
+         CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM {name}{k} GROUP BY {group}, pos // 16
+)"""
+            )
+        return out
+
+    ctes += tree("s", "source")
+    ctes.append(
+        f"""g0 AS (
+  SELECT 0 AS one, source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM s{levels}
+)"""
+    )
+    ctes += tree("g", "one")
+
+    def climb(before: str, name: str, position: str, group: str) -> str:
+        for k in range(levels):
+            on = f"f.pos = d.{position} // {16**k}" + (f" AND f.{group} IS NOT DISTINCT FROM d.{group}" if group == "source" else "")
+            after = f"{name}_up{k}"
+            ctes.append(
+                f"""{after} AS (
+  SELECT d.* REPLACE (d.proof || CASE WHEN f.n > 1 THEN f.l || f.r ELSE '' END AS proof,
+                      CASE WHEN f.n > 1 THEN sha256(f.l || d.folded || f.r) ELSE d.folded END AS folded)
+  FROM {before} d JOIN {name}_flanks{k} f ON {on}
+)"""
+            )
+            before = after
+        return before
+
+    ctes.append(
+        f"""started AS (
+  SELECT d.doc_id, d.source, d.leaf, d.pos, g.h AS subroot, g.pos AS place, t.h AS root, '' AS proof, d.start AS folded
+  FROM doc_nodes0 d JOIN g0 g ON g.source IS NOT DISTINCT FROM d.source, g{levels} t
+)"""
+    )
+    last = climb(climb("started", "s", "pos", "source"), "g", "place", "one")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}
+"""
+
+
+#: Columns of a document's leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query("op12_merkle", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf([*LEAF[:-1], F.translate("text", capitals, capitals.lower())])
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    leaves = docs.select("doc_id", "source", merkle.leaf(LEAF).alias("_leaf"), F.when(chosen, tampered).alias("tampered"))
+
+    def checks(entry, leaf, path):
+        folded = merkle.fold(F.coalesce(entry["tampered"], leaf), path)
+        return [merkle.proof_digest(path).alias("proof_sha256"), folded.alias("folded_root")]
+
+    found = merkle.proofs(leaves, "source", "doc_id", keep=["tampered"], each=checks)
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 @query("op13_whiten")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
