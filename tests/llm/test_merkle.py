@@ -37,6 +37,8 @@ def climb(nodes):
 
 def plain(rows):
     """Rows (doc_id, source, lang, n_chars, text) -> the result as a counter of tuples."""
+    if not rows:
+        return Counter()
     groups = defaultdict(list)
     for r in rows:
         groups[r[1]].append((r, sha(items(r))))
@@ -62,43 +64,39 @@ def plain(rows):
     return out
 
 
-def check(spark, tmp_path, rows, schema="doc_id long, source string, lang string, n_chars long, text string"):
-    df = spark.createDataFrame(rows, schema)
+def check(spark, rows, levels=merkle.LEVELS):
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     df = df.withColumn("leaf", F.lit("x")).withColumn("root", F.lit(1)).withColumn("pos", F.lit(2)).withColumn("path", F.lit("p"))
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries.QUERIES["op12_merkle"](spark, str(tmp_path)).collect()
+    got = queries.verified_proofs(df, levels).collect()
     assert Counter(map(tuple, got)) == plain(rows)
     return got
 
 
 @pytest.mark.parametrize("levels", [1, 2, 3])
-def test_groups_of_any_size(spark, tmp_path, monkeypatch, levels):
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle.proofs, "__defaults__", ((), levels, None))
-    monkeypatch.setattr(merkle.subroots, "__defaults__", (levels,))
+def test_groups_of_any_size(spark, levels):
     rows = []
     for size in (1, 2, 15, 16, 17, 255, 256, 257, 273, 700):
         rows += [(1000 * size + 7 * i, f"s{size}", "en", i, f"Text {i} of {size}") for i in range(size)]
-    out = check(spark, tmp_path, rows)
+    out = check(spark, rows, levels)
     assert {r.verified for r in out} == {True, False}
 
 
-def test_many_groups(spark, tmp_path):
+def test_many_groups(spark):
     rows = [(i, f"s{i % 290}", "en", i, f"row {i}") for i in range(700)]
-    out = check(spark, tmp_path, rows)
+    out = check(spark, rows)
     assert all(r.verified for r in out)  # no capitals, so nothing is changed by lower-casing
 
 
-def test_one_row_and_no_rows(spark, tmp_path):
-    got = check(spark, tmp_path / "one", [(3, None, None, None, None)])
+def test_one_row_and_no_rows(spark):
+    got = check(spark, [(3, None, None, None, None)])
     assert got[0].leaf == got[0].root == got[0].folded_root and got[0].proof_sha256 == sha("")
-    check(spark, tmp_path / "none", [])
+    check(spark, [])
 
 
-def test_odd_rows(spark, tmp_path, odd_rows):
+def test_odd_rows(spark, odd_rows):
     rows = [(d, s, la, None if t is None else len(t), t) for d, t, la, s in odd_rows]
     rows += [(None, "b", None, 3, "ÄÖ A"), (None, "b", None, 3, "ÄÖ A"), (None, None, "", 0, ""), (8, "é", "x", 1, "Z" * 100_000)]
-    check(spark, tmp_path, rows)
+    check(spark, rows)
 
 
 def test_paths_and_the_stored_form(spark):

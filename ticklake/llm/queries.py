@@ -339,9 +339,9 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS fol
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
-@query("op12_merkle", _op12_sql())
-def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*LEAF)
+def verified_proofs(documents: DataFrame, levels: int = merkle.LEVELS) -> DataFrame:
+    """Every document's leaf, proof and the root that its (for some ids lower-cased) text leads to."""
+    docs = documents.select(*LEAF)
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     tampered = merkle.leaf([*LEAF[:-1], F.translate("text", capitals, capitals.lower())])
     chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -351,11 +351,16 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         folded = merkle.fold(F.coalesce(entry["tampered"], leaf), path)
         return [merkle.proof_digest(path).alias("proof_sha256"), folded.alias("folded_root")]
 
-    found = merkle.proofs(leaves, "source", "doc_id", keep=["tampered"], each=checks)
+    found = merkle.proofs(leaves, "source", "doc_id", keep=["tampered"], levels=levels, each=checks)
     verified = (F.col("folded_root") == F.col("root")).alias("verified")
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
 
 
+@query("op12_merkle", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_proofs(table(spark, sf_dir, "documents"))
+
+
 @query("op13_whiten")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
