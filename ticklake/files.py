@@ -41,6 +41,57 @@ def partition_folders(spark: SparkSession, path: str, column: str = "dt") -> dic
     return found
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    fs, p = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    fs, p = _path(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme."""
+    fs, p = _path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; its folder is made if needed."""
+    fs, p = _path(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename to a name that must not be taken."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        jvm.java.net.URI(qualified(spark, dst)), spark._jsc.hadoopConfiguration()
+    )
+    paths = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.valueOf("NONE")
+    context.rename(*paths, options)
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """Id of the stream that owns a checkpoint; Spark writes it there before the first batch."""
     text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
