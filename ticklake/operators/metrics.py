@@ -335,7 +335,7 @@ def breaches(value: Column, comparison: str, threshold: float) -> Column:
     return hit & ~F.isnan(value.cast("double"))
 
 
-def _selected(samples: DataFrame, label: tuple[str, str] | None) -> Column:
+def carries(samples: DataFrame, label: tuple[str, str] | None) -> Column:
     """Whether samples carry a label, given as a column of its name or inside ``labels`` text."""
     if label is None:
         return F.lit(True)
@@ -360,7 +360,7 @@ def evaluate_rules(
     rules = [(*r, None)[:7] for r in rules]
     chosen = {label for *_, label in rules if label}
     marks = {label: f"_has_{i}" for i, label in enumerate(sorted(chosen))}
-    samples = samples.select("*", *[_selected(samples, label).alias(c) for label, c in marks.items()])
+    samples = samples.select("*", *[carries(samples, label).alias(c) for label, c in marks.items()])
     kinds = {r[2] for r in rules}
     plain = samples.where(F.col("metric").isin([m for m in kinds if not m.startswith("rate:")]))
     counters = samples.where(F.col("metric").isin([m[5:] for m in kinds if m.startswith("rate:")]))

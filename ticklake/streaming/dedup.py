@@ -13,7 +13,7 @@ from pyspark.sql.types import DateType, IntegerType, LongType, StringType, Struc
 
 from ticklake import files
 from ticklake.operators.dedup import first_arrival
-from ticklake.operators.fifo import DEFAULT_SIZE, Memory, with_shard
+from ticklake.operators.fifo import DEFAULT_SIZE, with_shard
 from ticklake.schemas import TICK_KEY
 from ticklake.session import adaptive
 
@@ -82,27 +82,62 @@ def within_watermark(ticks: DataFrame, delay: str = "10 minutes", key: Sequence[
 
 
 class FifoProcessor(StatefulProcessor):
-    """Keeps the remembered keys of a shard in state; loads and stores them once per batch."""
+    """The remembered keys of a shard as a ring in state: a batch writes only what it adds or drops.
+
+    ``slots`` holds the keys by their place in the ring, ``places`` the other way round, ``ends`` the first place
+    in use and the next free one. A batch looks its own keys up one by one, or reads the ring once if it brings more keys
+    than a quarter of it; so memory follows the batch, never the ring.
+    """
 
     def __init__(self, size: int, key: Sequence[str], seq: str):
         self.size, self.key, self.seq = size, list(key), seq
 
     def init(self, handle) -> None:
-        schema = StructType([StructField("k", StringType(), True)])
-        self.state = handle.getListState("keys", schema)
+        self.slots = handle.getMapState("slots", "place long", "k string")
+        self.places = handle.getMapState("places", "k string", "place long")
+        self.ends = handle.getValueState("ends", "head long, tail long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        memory = Memory(self.size, [row[0] for row in self.state.get()])
         frames = list(rows)  # one trigger's share of one shard; bounded by the source's rate limit
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(self.seq, kind="stable")
         first, *rest = (pdf[c].astype(str) for c in self.key)
-        names = first.str.cat(rest, sep="\x1f") if rest else first
-        keep = [memory.admit(k) for k in names]
-        self.state.put([(k,) for k in memory.keys])
+        names = (first.str.cat(rest, sep="\x1f") if rest else first).tolist()
+        head, tail = self.ends.get() or (0, 0)
+        start, known = tail, self._known(set(names), tail - head)
+        added: dict[int, str] = {}
+        gone: list[tuple[int, str]] = []
+        keep = []
+        for k in names:
+            keep.append(k not in known)
+            if k in known:
+                continue
+            if tail - head >= self.size:
+                for place in range(head, head + min(max(1, self.size // 10), tail - head)):
+                    old = added.pop(place) if place >= start else self.slots.getValue((place,))[0]
+                    if place < start:
+                        gone.append((place, old))
+                    known.discard(old)
+                    head = place + 1
+            added[tail] = k
+            known.add(k)
+            tail += 1
+        for place, k in gone:
+            self.slots.removeKey((place,))
+            self.places.removeKey((k,))
+        for place, k in added.items():
+            self.slots.updateValue((place,), (k,))
+            self.places.updateValue((k,), (place,))
+        self.ends.update((head, tail))
         yield pdf[keep]
 
+    def _known(self, names: set[str], held: int) -> set[str]:
+        """Those of the names that the ring holds."""
+        if len(names) * 4 < held:
+            return {k for k in names if self.places.containsKey((k,))}
+        return {k for (k,) in self.places.keys()} & names if held else set()
+
     def close(self) -> None:
         pass
 
