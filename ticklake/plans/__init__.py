@@ -12,6 +12,7 @@ def load():
         q_sinks,
         q_sources,
         q_streaming,
+        q_versions,
         q_windows,
         registry,
     )

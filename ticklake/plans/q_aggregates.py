@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ticklake.operators import candles, counts, metrics, runs
+from ticklake.operators import candles, counts, metrics, ordered, runs
 from ticklake.plans import views as v
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
 from ticklake.plans.registry import query
@@ -57,12 +57,6 @@ def agg01_raw(spark, d):
     return raw.join(clean, ["ticker", "exchange"])
 
 
-_LINES = """with tk as (
-  select l_orderkey * 8 + l_linenumber as trade_id, 'P' || l_partkey as ticker, l_returnflag as exchange,
-         cast(l_extendedprice as decimal(18,8)) as price, cast(l_quantity as decimal(18,8)) as volume,
-         l_shipdate as ts from lineitem)"""
-
-
 # Ticks without any trade id: open and close follow the clock, and none is lost.
 @query(
     "agg01_without_trade_ids",
@@ -77,22 +71,36 @@ def agg01_without_ids(spark, d):
     return candles.ohlcv(bare, 3600).select("ticker", "exchange", "start_time", "ticks", "open", "close")
 
 
+# Line items carry no unique number: they arrive by ship date, order and line, then price, quantity and part.
+_ARRIVAL = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey"]
+
+
 @query(
     "agg01_ohlcv_lineitem",
-    _LINES
-    + """select ticker, exchange, cast(max(price) as double) as high, cast(min(price) as double) as low,
-      cast(sum(volume) as double) as volume, time_bucket(interval '1 day', ts) as start_time, count(*) as ticks
-      from tk group by all""",
+    f"""with li as (select *, row_number() over (order by {", ".join(_ARRIVAL)}) as arrival from lineitem)
+    select 'P' || l_partkey as ticker, l_returnflag as exchange, cast(min_by(l_extendedprice, arrival) as double) as open,
+      cast(max(l_extendedprice) as double) as high, cast(min(l_extendedprice) as double) as low,
+      cast(max_by(l_extendedprice, arrival) as double) as close, cast(sum(l_quantity) as double) as volume,
+      time_bucket(interval '1 day', l_shipdate) as start_time, count(*) as ticks
+    from li group by all""",
 )
 def agg01_lineitem(spark, d):
-    # Line items carry no unique arrival number, so open and close are left out.
-    return candles.ohlcv(line_ticks(spark, d), 86400).select(
-        "ticker", "exchange", "high", "low", "volume", "start_time", "ticks"
+    day = ordered.time_chunk("_at", 86400)
+    lines = v.table(spark, d, "lineitem").withColumn("_at", F.col("l_shipdate").cast("timestamp"))
+    placed = ordered.row_numbers(lines, [], _ARRIVAL, "arrival", day)
+    ticks = line_columns(placed).withColumn("trade_id", F.col("arrival").cast("bigint")).drop("arrival")
+    return candles.ohlcv(ticks, 86400).select(
+        "ticker", "exchange", "open", "high", "low", "close", "volume", "start_time", "ticks"
     )
 
 
 def line_ticks(spark, d):
-    return v.table(spark, d, "lineitem").select(
+    return line_columns(v.table(spark, d, "lineitem"))
+
+
+def line_columns(lines):
+    return lines.select(
+        *[c for c in lines.columns if c == "arrival"],
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trade_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker"),
         F.col("l_returnflag").alias("exchange"),

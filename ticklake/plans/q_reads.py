@@ -141,12 +141,11 @@ def flt10(spark, d):
 @query(
     "flt11_metric_prefix",
     v.SCRAPE
-    + """select metric || '{' || labels || '} ' || value as line from sc
-    where kind = 'purchase' and value not in ('NaN', 'Inf') order by trade_id limit 1""",
+    + """select metric || '{' || labels || '} ' || case value when 'Inf' then '+Inf' else value end as line from sc
+    where kind = 'purchase' order by trade_id limit 1""",
 )
 def flt11(spark, d):
-    lines = v.scrape_lines(spark, d).where(~F.col("line").rlike("(NaN|Inf)$"))
-    return reads.first_by_prefix(lines, "purchase_total").select("line")
+    return reads.first_by_prefix(v.scrape_lines(spark, d), "purchase_total").select("line")
 
 
 @query("srt01_order_by_time", v.TK + f"select {_COLS} from tk order by ts")
@@ -154,9 +153,9 @@ def srt01(spark, d):
     return v.ticks(spark, d).orderBy("ts")
 
 
-@query("srt02_oldest", v.TK + f"select {_COLS} from tk order by ts limit 1000")
+@query("srt02_oldest", v.TK + f"select {_COLS} from tk order by ts, trade_id limit 1000")
 def srt02(spark, d):
-    return v.ticks(spark, d).orderBy("ts").limit(1000)
+    return reads.unnormalized(to_rows(v.ticks(spark, d)), 1000).select(*TICK_COLUMNS)
 
 
 @query(

@@ -106,8 +106,10 @@ def snk06(spark, d):
     return tables.read_candles(spark, path).drop("id", "created_at")
 
 
-_KEYS = v.TK + CANDLE_SQL + """select ticker || ':' || exchange as key, ticker, exchange, start_time,
-  'application/json' as content_type, cast(close as double) as close from cd"""
+_BODY = ("ticker", "interval", "open", "high", "low", "close", "volume", "startTime", "endTime", "exchange")
+_KEYS = v.TK + CANDLE_SQL + """select ticker || ':' || exchange as key, ticker, "interval", cast(open as double) as open,
+  cast(high as double) as high, cast(low as double) as low, cast(close as double) as close,
+  cast(volume as double) as volume, start_time, end_time, exchange, 'application/json' as content_type from cd"""
 
 
 @query("snk07_candle_messages", _KEYS)
@@ -115,15 +117,11 @@ def snk07(spark, d):
     from ticklake.sources.candle_topic import encode
 
     m = encode(candles.ohlcv(v.ticks(spark, d), 3600))
-    field = lambda k: F.get_json_object("value", f"$.{k}")
-    return m.select(
-        "key",
-        field("ticker").alias("ticker"),
-        field("exchange").alias("exchange"),
-        field("startTime").cast("timestamp").alias("start_time"),
-        F.decode(F.col("headers")[0]["value"], "UTF-8").alias("content_type"),
-        field("close").cast("double").alias("close"),
-    )
+    body = F.json_tuple("value", *_BODY).alias(*_BODY)
+    sent = m.select("key", F.decode(F.col("headers")[0]["value"], "UTF-8").alias("content_type"), body)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]
+    times = [F.col(c).cast("timestamp").alias(n) for c, n in (("startTime", "start_time"), ("endTime", "end_time"))]
+    return sent.select("key", "ticker", "interval", *numbers, *times, "exchange", "content_type")
 
 
 @query("snk08_publish_fallback", v.TK + CANDLE_SQL + _CANDLE_ROWS)

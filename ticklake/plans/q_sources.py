@@ -87,12 +87,16 @@ def src03(spark, d):
     "src04_field_extract",
     v.MSG
     + """select p.seq, case when status = 'tick' or reason = 'not_a_trade' then p.ticker else 'N/A' end as symbol,
+      case when status = 'dead' then 'N/A' when p.ticker = 'VIEW' then 'bad' else cast(tk.price as varchar) end as price,
+      case when status = 'dead' then 'N/A' else cast(p.volume as varchar) end as quantity,
       case when status = 'dead' then 'N/A' else cast(epoch_ms(p.ts) as varchar) end as trade_ms,
       case when status <> 'dead' and tk.exchange = 'Binance' then 'seller' else 'buyer' end as initiator
     from parsed p join tk on tk.trade_id = p.seq""",
 )
 def src04(spark, d):
-    return messages.trade_fields(v.messages(spark, d)).select("seq", "symbol", "trade_ms", "initiator")
+    return messages.trade_fields(v.messages(spark, d)).select(
+        "seq", "symbol", "price", "quantity", "trade_ms", "initiator"
+    )
 
 
 _CANDLES = """ select ticker, exchange, '60m' as "interval", cast(min_by(price, trade_id) as double) as open,
