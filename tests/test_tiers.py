@@ -58,6 +58,8 @@ def test_the_number_of_entries_is_bounded(spark, folder):
         tiers.compact(spark, path, fan=2)
         assert max(tiers.entries_per_day(versions.latest(spark, path)).values()) <= 4  # log2(10)
     assert rows(tiers.read(spark, path)) == rows(merge_partials(ohlcv(some_ticks(spark, 40), 3600)))
+    stored = [spark.read.parquet(f"{path}/{e.folder}").schema["volume"].dataType for e in versions.latest(spark, path).entries]
+    assert set(stored) == {tiers.PARTIAL["volume"].dataType}  # however often it was summed
 
 
 def test_replays_add_nothing_and_days_that_are_over_become_one(spark, folder):

@@ -141,9 +141,9 @@ def met03_stream(spark, d):
 
 # Every fiftieth signup resets the counter of its exchange.
 _RESETS = v.TK + """, rs as (
-    select distinct exchange, epoch_ms(ts) as since from tk where ticker = 'SIGNUP' and trade_id % 50 = 0),
+    select distinct exchange, epoch_ms(date_trunc('milliseconds', ts)) as since from tk where ticker = 'SIGNUP' and trade_id % 50 = 0),
   ep as (select tk.exchange, max(since) as since, trade_id from tk left join rs
-    on rs.exchange = tk.exchange and rs.since <= epoch_ms(tk.ts) group by tk.exchange, trade_id)
+    on rs.exchange = tk.exchange and rs.since <= epoch_ms(date_trunc('milliseconds', tk.ts)) group by tk.exchange, trade_id)
   select exchange, since, count(*) as n from ep group by 1, 2"""
 
 

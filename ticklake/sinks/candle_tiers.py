@@ -40,8 +40,7 @@ def add(candles: DataFrame, batch_id: int, path: str, stream: str = NO_STREAM) -
     spark = candles.sparkSession
     if versions.latest(spark, path).written(stream, batch_id):
         return
-    rows = candles.withColumn("dt", F.to_date("start_time")).select(*PARTIAL.names).hint("rebalance", F.col("dt"))
-    commit, days = versions.write(rows, path)
+    commit, days = versions.write(_stored(candles), path)
 
     def attempt(base: Version) -> Version:
         if base.written(stream, batch_id):
@@ -63,8 +62,8 @@ def compact(spark: SparkSession, path: str, fan: int = FAN, closed_before: date
         due, tier = _due(base, fan, closed_before)
         if not due:
             return done
-        merged = _merge(versions.frame(spark, path, due, PARTIAL))
-        commit, days = versions.write(merged.hint("rebalance", F.col("dt")), path)
+        merged = merge_partials(versions.frame(spark, path, due, PARTIAL))
+        commit, days = versions.write(_stored(merged), path)
         between()
         made = [Entry(commit, d, _tier(tier + 1), base.number) for d in days]
         done += versions.replaced(spark, path, base, made, due) is not None
@@ -87,8 +86,10 @@ def _due(version: Version, fan: int, closed_before: date | None) -> tuple[list[E
     return [], 0
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    return merge_partials(rows).withColumn("dt", F.to_date("start_time")).select(*PARTIAL.names)
+def _stored(candles: DataFrame) -> DataFrame:
+    """Candles as they lie in files; a sum of volumes has the type of a volume again."""
+    rows = candles.withColumn("dt", F.to_date("start_time"))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PARTIAL.fields]).hint("rebalance", F.col("dt"))
 
 
 def read(
