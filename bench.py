@@ -21,6 +21,7 @@ from ticklake.plans import load  # noqa: E402
 from ticklake.plans import views as v  # noqa: E402
 from ticklake.plans.q_aggregates import line_ticks  # noqa: E402
 from ticklake.session import clean_scratch, configure, local_session, scratch  # noqa: E402
+from ticklake.sinks import versioned  # noqa: E402
 from ticklake.sinks.ticks import insert_ignore  # noqa: E402
 from ticklake.sources import messages  # noqa: E402
 from ticklake.sources.tables import read_ticks  # noqa: E402
@@ -127,13 +128,14 @@ def main() -> None:
     seconds["ingest_stream"] = timed(stream, 1)
     rates["ingest_stream"] = round(n_loaded / seconds["ingest_stream"])
 
-    # The same load again, a file per micro-batch, against a table that holds all of it.
+    # The same load again, a file per micro-batch, against a table that holds all of it; the table has versions.
     def stream_redelivered():
         base = scratch(spark, "stream-full")
-        insert_ignore(spark, messages.ticks(messages.parse(loaded, "Binance"), "seq"), f"{base}/ticks")
+        versioned.insert_new(spark, messages.ticks(messages.parse(loaded, "Binance"), "seq"), f"{base}/ticks")
         start = time.perf_counter()
         source = message_stream(spark, load_path, files_per_trigger=1)
-        Ingest("Binance", base, 60).start(source, scratch(spark, "stream-full-cp")).awaitTermination()
+        job = Ingest("Binance", base, 60, keep_versions=True)
+        job.start(source, scratch(spark, "stream-full-cp")).awaitTermination()
         return round(time.perf_counter() - start, 3)
 
     seconds["ingest_stream_batches"] = stream_redelivered()

@@ -198,3 +198,92 @@ def test_the_rename_of_shared_file_systems_refuses_a_taken_name(spark, folder):
     with pytest.raises(Py4JJavaError):
         files.rename_new(spark, f"{path}/b", f"{path}/c")
     assert files.read_text(spark, f"{path}/d") == "a" and files.read_text(spark, f"{path}/c") == "c"
+
+
+def scanned(df):
+    """(files, rows) that the scans of a plan read, after it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        plan = plan.executedPlan()
+    out = [0, 0]
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        while "QueryStage" in leaf.nodeName():
+            inner = leaf.plan().collectLeaves()
+            leaf = inner.apply(0)
+        held = leaf.metrics()
+        for place, name in enumerate(("numFiles", "numOutputRows")):
+            if held.contains(name):
+                out[place] += held.apply(name).value()
+    return tuple(out)
+
+
+def test_look_ups_skip_files_and_row_groups(spark, folder):
+    from ticklake.operators import joins, reads
+
+    path, n = folder(), 6000
+    for part in range(3):
+        rows = [(f"T{i % 40}", part * n + i, 1) for i in range(n)]
+        vt.insert_new(spark, ticks(spark, rows), path)
+    table = vt.read(spark, path)
+    assert scanned(table)[1] == 3 * n
+    one = table.where("ticker = 'T7'").orderBy("ts").first()
+    found = reads.by_id(table, one.id)
+    assert found.first().ts == one.ts
+    files_, rows_ = scanned(reads.by_id(table, one.id))
+    assert rows_ <= n  # the files of the other commits were received at another time
+    # folded into one set of files, the Bloom filter of the id tells an id that is not there
+    vt.fold(spark, path, most_files=1)
+    table = vt.read(spark, path)
+    absent = one.id[:-4] + ("0000" if one.id[-4:] != "0000" else "1111")
+    assert reads.by_id(table, one.id).first().ts == one.ts
+    assert scanned(reads.by_id(table, absent))[1] == 0 and scanned(reads.by_id(table, absent, received=None))[1] == 0
+    # a small batch of keys: pages of other tickers and times are skipped
+    few = keys(spark, [("T3", 3), ("T5", 2 * n + 5), ("none", 1)])
+    got = vt.find(spark, path, few)
+    assert sorted(r.ticker for r in got.collect()) == ["T3", "T5"]
+    part = joins.extent(few)
+    assert len(part.instants) == 3 and part.names and vt.find(spark, path, few.where("false")).count() == 0
+    assert vt.find(spark, path, keys(spark, [("T3", 40 * DAY), ("zzz", 5)])).count() == 0
+    assert scanned(joins.extent(keys(spark, [("zzz", 5)])).of(table))[1] == 0  # another ticker
+    assert scanned(joins.extent(keys(spark, [("T3", -5)])).of(table))[1] == 0  # another time
+
+
+def test_an_insert_compares_with_what_can_hold_its_keys(spark, folder):
+    path = folder()
+    for day in range(4):
+        vt.insert_new(spark, ticks(spark, [("A", day * DAY + i, i) for i in range(50)]), path)
+    again = vt.insert_new(spark, ticks(spark, [("A", 2 * DAY + i, 9) for i in range(60)]), path)
+    assert again.count() == 10 and vt.read(spark, path).count() == 210
+    many = ticks(spark, [(f"T{i}", DAY, i) for i in range(600)])
+    assert vt.insert_new(spark, many, path).count() == 600 and vt.insert_new(spark, many, path).count() == 0
+
+
+def test_ingest_with_versions(spark, folder):
+    from test_sources import trade
+
+    from ticklake.sinks import candle_tiers
+    from ticklake.streaming.ingest import Ingest
+
+    job = Ingest("Binance", folder(), 60, keep_versions=True)
+    values = [trade(T=1704103200000 + i * 10_000, t=i, s="BTC") for i in range(12)] + ["bad"]
+    rows = spark.createDataFrame(list(enumerate(values)), "seq bigint, value string")
+
+    class Crash(Exception):
+        pass
+
+    def crash(df, n, stream):
+        raise Crash
+
+    failing = Ingest("Binance", job.base, 60, candle_sink=crash, keep_versions=True)
+    with pytest.raises(Crash):
+        failing.batch(rows.where("seq < 6 or seq = 12"), 0)  # the ticks are in, the candles are not
+    for _ in range(2):
+        job.batch(rows.where("seq < 6 or seq = 12"), 0)
+    job.batch(rows, 1)
+    job.batch(rows, 2)
+    assert vt.read(spark, job.tick_path).count() == 12
+    assert [r.ticks for r in candle_tiers.read(spark, job.candle_path).orderBy("start_time").collect()] == [6, 6]
+    assert spark.read.parquet(job.dead_path).count() == 3  # one for each batch

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,48 @@ def lookup(
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+#: Values that are named one by one in a scan; a longer list would only slow the filter down.
+NAMED = 500
+
+
+@dataclass(frozen=True)
+class Extent:
+    """What part of a table can hold the keys of a batch: a range of time and, while they are few, single values."""
+
+    low: datetime | None
+    high: datetime | None
+    names: list | None = None
+    instants: list | None = None
+
+    def of(self, table: DataFrame, name: str = "ticker", ts: str = "ts") -> DataFrame:
+        """The table behind filters that reach its scan: files, row groups and pages elsewhere are not read."""
+        if self.low is None:
+            return table.where("false")
+        out = table.where(F.col(ts).between(F.lit(self.low), F.lit(self.high)))
+        if "dt" in table.columns:
+            # The session's days: Catalyst derives no partition filter from the time.
+            out = out.where(F.col("dt").between(F.to_date(F.lit(self.low)), F.to_date(F.lit(self.high))))
+        if self.names is not None:
+            out = out.where(F.col(name).isin(self.names))
+        return out if self.instants is None else out.where(F.col(ts).isin(self.instants))
+
+
+def extent(batch: DataFrame, name: str = "ticker", ts: str = "ts") -> Extent:
+    """Look at a batch once, and at a very small one twice. At most ``NAMED`` + 1 rows reach the driver."""
+    at = F.col(ts).cast("timestamp")
+    each = batch.where(at.isNotNull()).groupBy(name).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n"))
+    rows = each.limit(NAMED + 1).collect()
+    if not rows:
+        return Extent(None, None)
+    if len(rows) > NAMED:
+        low, high = batch.agg(F.min(at), F.max(at)).first()
+        return Extent(low, high)
+    instants = None
+    if sum(r["n"] for r in rows) <= NAMED:
+        instants = [r[0] for r in batch.select(at).distinct().collect()]
+    return Extent(min(r["low"] for r in rows), max(r["high"] for r in rows), [r[name] for r in rows], instants)
+
+
 def missing_keys(batch: DataFrame, table: DataFrame, key: Sequence[str] = TICK_KEY) -> DataFrame:
     """Rows of the batch whose key the table does not hold yet.
 

@@ -55,8 +55,27 @@ def find(df: DataFrame, predicate: Column | str) -> DataFrame:
     return df.where(predicate)
 
 
-def by_id(df: DataFrame, row_id, column: str = "id") -> DataFrame:
-    return df.where(F.col(column) == F.lit(row_id)).limit(1)
+def received_ms(row_id: str) -> int | None:
+    """The millisecond that a time-ordered id (version 7) was made in; None for other ids."""
+    digits = str(row_id).replace("-", "").lower()
+    whole = len(digits) == 32 and all(c in "0123456789abcdef" for c in digits)
+    return int(digits[:12], 16) if whole and digits[12] == "7" else None
+
+
+def by_id(df: DataFrame, row_id, column: str = "id", received: str | None = "received_at") -> DataFrame:
+    """The row with this id.
+
+    Ids of this library carry the time their row was received, so the look-up is also one of a millisecond of
+    ``received``: files and row groups of other times are skipped by their min and max, those of this time by
+    the Bloom filter of the id where folding has written one. For ids that come from elsewhere pass ``received=None``.
+    """
+    found = df.where(F.col(column) == F.lit(row_id))
+    ms = received_ms(row_id) if received in df.columns else None
+    if ms is not None:
+        kind = df.schema[received].dataType
+        low, high = (F.timestamp_millis(F.lit(m)).cast(kind) for m in (ms, ms + 1))
+        found = found.where((F.col(received) >= low) & (F.col(received) < high))
+    return found.limit(1)
 
 
 def _tie(df: DataFrame) -> list:

@@ -153,3 +153,32 @@ def str11_resets(spark, d):
     events = live.with_resets(ticks, ticks.where("ticker = 'SIGNUP' and trade_id % 50 = 0"), ["exchange"])
     out = updates(live.resettable_counts(events, ["exchange"]), spark, "str11r")
     return live.latest(out, ["exchange", "since"]).where("n > 0")
+
+
+def _folded(spark, d, label):
+    path = scratch(spark, label)
+    ticks = v.ticks(spark, d)
+    versioned.insert_new(spark, ticks.where("exchange = 'Binance'"), path)
+    versioned.insert_new(spark, ticks, path)
+    versioned.fold(spark, path, most_files=1)
+    return path
+
+
+# The key of a tick is unique but for ticks of one instant, of which the first stays.
+_FOUND = v.TK + """, ft as (select ticker, exchange, ts, min(trade_id) as trade_id, min_by(price, trade_id) as price
+  from tk group by all) select ticker, exchange, ts, trade_id, cast(price as double) as price from ft"""
+
+
+@query("flt05_by_id_folded", _FOUND + " where trade_id = 77")
+def flt05_folded(spark, d):
+    table = versioned.read(spark, _folded(spark, d, "flt05-f"))
+    (row_id,) = table.where("trade_id = 77").select("id").first()
+    found = reads.by_id(table, row_id)
+    return found.select("ticker", "exchange", "ts", "trade_id", "price")
+
+
+@query("join02_find_keys", _FOUND + " where trade_id % 7 = 0")
+def join02_find(spark, d):
+    path = _folded(spark, d, "join02-f")
+    keys = versioned.read(spark, path).where("trade_id % 7 = 0").select("ticker", "exchange", "ts")
+    return versioned.find(spark, path, keys).select("ticker", "exchange", "ts", "trade_id", "price")

@@ -14,6 +14,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Times with a min and max in the footers; the default (INT96) has none, and no filter on a time would skip anything.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Lists of keys reach the scan as they are, not as the range they span.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # Batches that go to Python stay small also where a row is a long text.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",

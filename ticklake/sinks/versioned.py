@@ -22,13 +22,15 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ticklake import files, versions
 from ticklake.functions import required
 from ticklake.operators.dedup import first_arrival
-from ticklake.operators.joins import missing_keys
+from ticklake.operators.joins import extent, missing_keys
 from ticklake.schemas import RAW_TICK, TICK_KEY
 from ticklake.sinks.ticks import laid_out, to_rows
 from ticklake.versions import EDITS, ROWS, Entry, Version
 
-#: Columns that an edit may set.
-EDITABLE = [c for c in RAW_TICK.names if c not in (*TICK_KEY, "dt")]
+#: Columns that an edit may set; the others are what a row is found by.
+EDITABLE = ["trade_id", "price", "volume", "normalized"]
+#: Bloom filters of the id in folded files. Small commits have none: there the time of receipt tells files apart.
+BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: An edit file: the key, whether the row goes, and for each column whether it is set and to what.
 EDIT = StructType(
     [
@@ -92,6 +94,15 @@ def _merged(rows: DataFrame, edits: DataFrame) -> DataFrame:
     return alive.select(*newest)
 
 
+def find(spark: SparkSession, path: str, keys: DataFrame, version: Version | None = None) -> DataFrame:
+    """The rows with some keys (ticker, exchange, ts): only files, row groups and pages that can hold one are read."""
+    version = versions.latest(spark, path) if version is None else version
+    keys = keys.select(*TICK_KEY).distinct()
+    part = extent(keys)
+    days = [d for d in version.days(ROWS) if part.low is not None and str(part.low.date()) <= d <= str(part.high.date())]
+    return part.of(read(spark, path, version, days)).join(keys, TICK_KEY, "left_semi").select(*RAW_TICK.names)
+
+
 def _entries(commit: str, days: Iterable[str], kind: str, version: int) -> list[Entry]:
     return [Entry(commit, d, kind, version) for d in days]
 
@@ -123,10 +134,13 @@ def insert_new(
     base = versions.latest(spark, path)
     if mark and base.written(*mark):
         return _brought(spark, path, base, mark)
-    batch = to_rows(first_arrival(ticks.where(required(*TICK_KEY))), received_at)
-    days = _names(r.dt for r in batch.select("dt").distinct().collect()) if base.entries else []  # bounded by the calendar
-    if base.of(ROWS, days):
-        batch = missing_keys(batch, read(spark, path, base, days))
+    whole = ticks.where(required(*TICK_KEY))
+    batch = to_rows(first_arrival(whole), received_at)
+    if base.of(ROWS):
+        part = extent(whole)
+        held = [d for d in base.days(ROWS) if part.low is not None and str(part.low.date()) <= d <= str(part.high.date())]
+        if held:
+            batch = missing_keys(batch, part.of(read(spark, path, base, held)))
     commit, days = versions.write(laid_out(batch), path)
     while True:
         between()
@@ -207,7 +221,7 @@ def fold(spark: SparkSession, path: str, most_files: int = 8, between=lambda: No
         days = sorted(base.days(EDITS) | {d for d, n in count.items() if n > most_files})
         if not days:
             return None
-        commit, kept = versions.write(laid_out(read(spark, path, base, days)), path)
+        commit, kept = versions.write(laid_out(read(spark, path, base, days)), path, BLOOM)
         old = [*base.of(ROWS, days), *base.of(EDITS, days)]
         between()
         made = versions.replaced(spark, path, base, _entries(commit, kept, ROWS, base.number), old)

@@ -10,6 +10,7 @@ from ticklake.operators.candles import ohlcv
 from ticklake.schemas import RAW_TICK, TICK
 from ticklake.session import adaptive
 from ticklake import files
+from ticklake.sinks import candle_tiers, versioned
 from ticklake.sinks.candles import NO_STREAM, Sink, append_batch, write_batch
 from ticklake.sinks.ticks import append, insert_ignore, new_rows
 from ticklake.sources.candle_topic import decode
@@ -52,6 +53,10 @@ class Ingest:
     Several feeds may share a base, one after the other or each with its own job: stage, candles
     and dead letters lie by stream, whose id is that of its checkpoint. A new checkpoint is a new
     stream; it reads its source anew, and the insert skips the ticks that are there.
+
+    With ``keep_versions`` the ticks go to a table with versions (``sinks.versioned``) and the candles to tiers
+    (``sinks.candle_tiers``): a batch is one commit, known by its mark, so nothing is staged, other writers may insert
+    at the same time, and only what can hold a key of the batch is compared.
     """
 
     def __init__(
@@ -63,6 +68,7 @@ class Ingest:
         seq: str | None = "seq",
         strict: bool = False,
         candle_sink: Sink | None = None,
+        keep_versions: bool = False,
     ):
         if candles_from not in ("deduped", "raw"):
             raise ValueError("candles_from must be 'deduped' or 'raw'")
@@ -70,7 +76,9 @@ class Ingest:
         self.candles_from, self.seq, self.strict = candles_from, seq, strict
         self.tick_path, self.candle_path = f"{self.base}/ticks", f"{self.base}/candles"
         self.dead_path, self.staging = f"{self.base}/dead", f"{self.base}/staging"
-        self.candle_sink = candle_sink or (lambda df, n, stream: write_batch(df, n, self.candle_path, stream))
+        self.keep_versions, self.custom_sink = keep_versions, candle_sink is not None
+        add = candle_tiers.add if keep_versions else write_batch
+        self.candle_sink = candle_sink or (lambda df, n, stream: add(df, n, self.candle_path, stream))
 
     def batch(self, messages: DataFrame, batch_id: int, stream: str = NO_STREAM) -> None:
         with adaptive(messages.sparkSession):
@@ -85,6 +93,13 @@ class Ingest:
         dead = f"{self.dead_path}/stream={stream}/batch_id={batch_id}"
         dead_letters(parsed).write.mode("overwrite").parquet(dead)
         found = ticks(parsed, self.seq)
+        if self.keep_versions:
+            inserted = versioned.insert_new(spark, found, self.tick_path, mark=(stream, batch_id))
+            source = inserted if self.candles_from == "deduped" else found
+            self.candle_sink(ohlcv(source, self.interval_s), batch_id, stream)
+            if not self.custom_sink:
+                candle_tiers.compact(spark, self.candle_path)
+            return
         own = f"{self.staging}/stream={stream}"
         stage, incoming = f"{own}/batch_id={batch_id}", f"{own}/incoming"
         replay = files.exists(spark, f"{stage}/_SUCCESS")
