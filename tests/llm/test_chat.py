@@ -71,3 +71,27 @@ def test_plain_text_stays_plain(spark):
 
 def test_empty(spark):
     assert chat.render(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
+def test_starts(spark, n):
+    lengths = [(7 * i) % 23 for i in range(n)]
+    df = spark.createDataFrame([(lengths,)], "v array<bigint>")
+    assert df.select(chat.starts(F.col("v")).alias("s")).first().s == [sum(lengths[:i]) for i in range(n)]
+
+
+def test_work_grows_with_the_turns(spark):
+    import time
+
+    def seconds(turns):
+        text = F.concat(F.lit("some words of turn <| "), F.col("id").cast("string"))
+        role = F.when(F.col("id") % 2 == 1, "assistant").otherwise("user")
+        df = spark.range(0, turns, 1, 4).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+        rendered = chat.render(df).cache()
+        start = time.perf_counter()
+        assert chat.digest(rendered).first().n_turns == turns
+        return time.perf_counter() - start
+
+    seconds(2000)
+    few, many = (min(seconds(n) for _ in range(2)) for n in (8000, 16000))
+    assert many < 3.2 * few + 0.5  # the square would be four times

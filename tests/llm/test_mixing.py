@@ -103,3 +103,23 @@ def test_positions_follow_the_schedule(documents):
         at_half = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]) if b[0] <= 0.5)
         if any(t == 0.5 for t, _ in schedule):
             assert abs(first_half / whole - at_half / mixing.area(schedule)) < 0.1
+
+
+def test_weights_are_the_integrals_of_the_schedules(make_docs):
+    docs = make_docs([(i, "w " * 50, "en", "abc"[i % 3]) for i in range(60)])
+    flat = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 2.0)), ((0.0, 2.0), (1.0, 0.0)))  # all of weight one
+    assert {r.target for r in mixing.plan(mixing.sizes(docs), schedules=flat).collect()} == {1500.0}
+    heavy = (((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)))  # two, one, one
+    got = {r.source: r.target for r in mixing.plan(mixing.sizes(docs), schedules=heavy, share=1.0).collect()}
+    assert got == {"a": 1500.0, "b": 750.0, "c": 750.0}
+
+
+def test_the_query_s_positions(spark, sf):
+    from ticklake.llm.queries import QUERIES
+
+    rows = QUERIES["op4_mix_sources"](spark, sf).collect()
+    seen = [r.first_position for r in rows if r.times]
+    assert seen == sorted(seen) and all(0 <= p <= 1 for p in seen)  # in training order
+    for r in rows:
+        assert (r.first_position is None) == (r.last_position is None) == (r.times == 0)
+        assert not r.times or (r.first_position < r.last_position if r.times == 2 else r.first_position == r.last_position)

@@ -75,22 +75,50 @@ def parse(rendered: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), turn)
 
 
-def _spans(turns: Column, escaped: Column) -> Column:
-    """array<struct<start, length>>: the code points of each trained text in the rendering."""
-    zero = F.struct(
-        F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")
-    )
+#: Turns whose lengths are added up at a time.
+STRIDE = 64
+
+
+def starts(lengths: Column) -> Column:
+    """What lies before each of some lengths: sums by strides, then inside them, so that work grows with their number."""
+
+    def before(values: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+    strides = F.sequence(F.lit(0), F.ceil(F.size(lengths) / F.lit(STRIDE)).cast("int") - 1)
+    parts = F.transform(strides, lambda k: F.slice(lengths, k * STRIDE + 1, STRIDE))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: (acc + x).cast("long")))
+    inside = F.zip_with(parts, before(totals), lambda p, base: F.transform(before(p), lambda x: (x + base).cast("long")))
+    return F.when(F.size(lengths) > 0, F.flatten(inside)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _with_starts(df: DataFrame, name: str, lengths: Column) -> DataFrame:
+    """Add ``name``: the starts of parts of these lengths; lengths and starts are each computed once a row."""
+    held = df.withColumn("_lengths", F.explode(F.array(lengths)))
+    return held.withColumn(name, F.explode(F.array(starts(F.col("_lengths"))))).drop("_lengths")
 
-    def step(acc: Column, t: Column) -> Column:
-        role = F.when(escaped, escape_role(t["role"])).otherwise(t["role"])
-        text = F.when(escaped, escape(t["text"])).otherwise(t["text"])
-        start = (acc["at"] + F.lit(len(START) + 1) + F.length(role)).cast("long")
-        span = F.struct(start.alias("start"), F.length(text).cast("long").alias("length"))
-        spans = F.when(t["role"] == TRAINED_ROLE, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        at = (start + F.length(text) + F.lit(len(END) + 1)).cast("long")
-        return F.struct(at.alias("at"), spans.alias("spans"))
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+def _shown(t: Column, escaped: Column) -> tuple[Column, Column]:
+    """Role and text of a turn as they stand in the rendering."""
+    role = F.when(escaped, escape_role(t["role"])).otherwise(t["role"])
+    return role, F.when(escaped, escape(t["text"])).otherwise(t["text"])
+
+
+def _spans(turns: Column, at: Column, escaped: Column) -> Column:
+    """array<struct<turn, start, length>>: the code points of each trained text in the rendering."""
+
+    def span(t: Column, i: Column) -> Column:
+        role, text = _shown(t, escaped)
+        start = F.element_at(at, i + 1) + F.lit(len(START) + 1) + F.length(role)
+        here = F.struct(i.alias("turn"), start.cast("long").alias("start"), F.length(text).cast("long").alias("length"))
+        return F.when(t["role"] == TRAINED_ROLE, here)
+
+    return F.filter(F.transform(turns, span), lambda s: s.isNotNull())
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -108,7 +136,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> conv_id, formatted, loss (array of spans in code points).
+    """(conv_id, turn, role, text) -> conv_id, formatted, loss (array of spans: turn, start and length in code points).
 
     Rounds of render, parse and compare: raw first, escaped where the raw one fails.
     """
@@ -124,20 +152,32 @@ def render(conversations: DataFrame) -> DataFrame:
         "formatted", F.when(F.col("_escaped"), _rendered(F.col("turns"), True)).otherwise(F.col("formatted"))
     )
     failed = F.raise_error(F.concat(F.lit("conversation does not round-trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    frame_size = len(START) + len(END) + 2
+
+    def length(t: Column) -> Column:
+        role, text = _shown(t, F.col("_escaped"))
+        return (F.length(role) + F.length(text) + F.lit(frame_size)).cast("long")
+
     accepted = F.when(~F.col("_escaped") | same(F.col("formatted")), F.col("formatted")).otherwise(failed.cast("string"))
-    return again.select("conv_id", accepted.alias("formatted"), _spans(F.col("turns"), F.col("_escaped")).alias("loss"))
+    placed = _with_starts(again, "_at", F.transform("turns", length))
+    spans = _spans(F.col("turns"), F.col("_at"), F.col("_escaped"))
+    return placed.select("conv_id", accepted.alias("formatted"), spans.alias("loss"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
     """Read rendered conversations back: counts and digests of the turns and of the trained text."""
     turns = F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    trained = F.transform(
-        F.col("loss"),
-        lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-    )
+    # A span lies in the piece of its turn: it is cut from there, not from the start of the whole rendering.
+    pieces = rendered.withColumn("_pieces", F.explode(F.array(F.split("formatted", r"<\|im_start\|>", -1))))
+    placed = _with_starts(pieces, "_at", F.transform("_pieces", lambda p: (F.length(p) + F.lit(len(START))).cast("long")))
+
+    def trained(s: Column) -> Column:
+        start = s["start"] - F.element_at(F.col("_at"), s["turn"] + 2) + 1
+        return unescape(F.substring(F.element_at(F.col("_pieces"), s["turn"] + 2), start.cast("int"), s["length"].cast("int")))
+
     return (
-        rendered.withColumn("turns", parse(F.col("formatted")))
-        .withColumn("_loss", F.array_join(trained, ""))
+        placed.withColumn("turns", parse(F.col("formatted")))
+        .withColumn("_loss", F.array_join(F.transform("loss", trained), ""))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

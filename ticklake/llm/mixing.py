@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Every source has a weight schedule over training time 0..1 (piecewise linear). Its integral is the
-source's share of the mix: shares of the wanted total, limited to ``most`` times what the source
+source's weight in the mix: weights share the wanted total, limited to ``most`` times what the source
 has, the excess shared again by weight. A source's documents stand in one fixed random order
 (by the MD5 of the id) and are gone through again from the start when they run out. The words
 before a document are its cumulative demand; inverting the source's integrated schedule there gives
@@ -32,23 +32,24 @@ from pyspark.sql import functions as F
 from ticklake.llm.common import WORD, join_same, numbered
 from ticklake.session import cut
 
-WEIGHTS = (5.0, 2.0, 1.0)
-#: (time, factor) points of the schedule of the sources of each weight: the heavy ones fade out over
-#: training, the light ones fade in. Factors are relative; only their shape matters for positions.
-SCHEDULES = (
-    ((0.0, 1.25), (0.5, 1.0), (1.0, 0.75)),
-    ((0.0, 1.0), (1.0, 1.0)),
+Schedule = Sequence[tuple[float, float]]
+
+#: (time, weight) points of the schedules that sources take in turn. Their integrals are 5, 2 and 1: the heavy one
+#: fades out over training, the light one fades in.
+SCHEDULES: tuple[Schedule, ...] = (
+    ((0.0, 6.25), (0.5, 5.0), (1.0, 3.75)),
+    ((0.0, 2.0), (1.0, 2.0)),
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
 SHARE, MOST = 1.5, 2.0
 
 
-def area(schedule: Sequence[tuple[float, float]]) -> float:
+def area(schedule: Schedule) -> float:
     """Integral of a piecewise linear schedule."""
     return sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
 
 
-def when_reached(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
+def when_reached(share: Column, schedule: Schedule) -> Column:
     """The time at which ``share`` (0 to 1) of the schedule's integral is used up."""
     whole, used = area(schedule), 0.0
     out = F.lit(schedule[-1][0])
@@ -67,23 +68,20 @@ def when_reached(share: Column, schedule: Sequence[tuple[float, float]]) -> Colu
 
 def targets(
     sources: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    schedules: Sequence[Schedule] = SCHEDULES,
     share: float = SHARE,
     most: float = MOST,
 ) -> DataFrame:
     """(source, source_size) -> source, source_size, kind, target.
 
-    A source's share is its weight times its schedule's integral over that schedule's own mean, that
-    is the weight itself: schedules move demand in time, not between sources. The level at which the
+    A source's weight is the integral of its schedule. The level at which the
     weights fill the wanted total, each source up to its limit, is the largest of the levels got by
     taking the k sources that are tightest for their weight as full.
     """
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    kinds = len(weights)
-    shares = [w * area(s) / area(s) for w, s in zip(weights, schedules)]
-    ranked = sources.withColumn("kind", F.pmod(number, F.lit(kinds)).cast("int"))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in shares]), F.col("kind") + 1))
+    ranked = sources.withColumn("kind", F.pmod(number, F.lit(len(schedules))).cast("int"))
+    weights = F.array(*[F.lit(float(area(s))) for s in schedules])
+    ranked = ranked.withColumn("weight", F.element_at(weights, F.col("kind") + 1))
     ranked = ranked.withColumn("limit", F.col("source_size") * F.lit(most))
     by_room = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     before = F.coalesce(F.sum("limit").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -104,8 +102,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def plan(
     sized: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    schedules: Sequence[Schedule] = SCHEDULES,
     share: float = SHARE,
     most: float = MOST,
 ) -> DataFrame:
@@ -118,7 +115,7 @@ def plan(
     chunk = F.substring("place", 1, 3)
     placed = numbered(written, ["source"], ["place", "doc_id", "size"], "before", F.col("size"), chunk)
     totals = written.groupBy("source").agg(F.sum("size").alias("source_size"))
-    joined = join_same(placed, targets(totals, weights, schedules, share, most), ["source"])
+    joined = join_same(placed, targets(totals, schedules, share, most), ["source"])
     middle = F.col("before") + F.col("size") / F.lit(2.0)
     times = sum(
         (F.when(middle + F.col("source_size") * F.lit(float(k)) < F.col("target"), 1).otherwise(0) for k in range(math.ceil(most))),
@@ -128,15 +125,20 @@ def plan(
     return out.withColumn("taken", F.col("size") * F.col("times"))
 
 
-def positions(planned: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
-    """One row per taken copy with its training position (0 to 1)."""
-    copies = planned.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    demand = F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / F.lit(2.0)
+def position(copy: Column, schedules: Sequence[Schedule] = SCHEDULES) -> Column:
+    """Training position (0 to 1) of a copy (from 0) of a planned document: where the middle of its words is reached."""
+    demand = copy * F.col("source_size") + F.col("before") + F.col("size") / F.lit(2.0)
     share = F.when(F.col("target") > 0, F.least(demand / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    position = F.lit(0.0)
+    out = F.lit(0.0)
     for kind, schedule in enumerate(schedules):
-        position = F.when(F.col("kind") == kind, when_reached(share, schedule)).otherwise(position)
-    return copies.withColumn("position", position)
+        out = F.when(F.col("kind") == kind, when_reached(share, schedule)).otherwise(out)
+    return out
+
+
+def positions(planned: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
+    """One row per taken copy with its training position."""
+    copies = planned.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return copies.withColumn("position", position(F.col("copy"), schedules))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -93,27 +93,57 @@ WITH sized AS (
             / sum(weight) OVER (tight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW tight AS (ORDER BY room / weight, source NULLS LAST)
 ), targets AS (
-  SELECT source, source_size, least(room, (SELECT max(level) FROM levels) * weight) AS target FROM levels
+  SELECT source, source_size, kind, least(room, (SELECT max(level) FROM levels) * weight) AS target FROM levels
 ), taken AS (
-  SELECT p.doc_id, p.size, t.source_size, t.target,
+  SELECT p.doc_id, p.size, p.before, t.source_size, t.target, t.kind,
          CASE WHEN before + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END
          + CASE WHEN before + size / 2.0::DOUBLE + source_size < target THEN 1 ELSE 0 END AS times
   FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+), used AS (
+  SELECT *, CASE WHEN target > 0 THEN least((before + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS u,
+         CASE WHEN target > 0 THEN least((greatest(times - 1, 0) * source_size + before + size / 2.0::DOUBLE) / target, 1.0::DOUBLE)
+              ELSE 0.0::DOUBLE END AS v
+  FROM taken
 )
-SELECT doc_id, size, source_size, target, size * times AS taken, times FROM taken
+"""
+
+
+def _inverse_sql(share: str, schedule: mixing.Schedule) -> str:
+    """The time at which a part of the schedule's integral is used up, piece by piece."""
+    whole, used, cases = mixing.area(schedule), 0.0, []
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        rest, slope = f"({share} * {whole}::DOUBLE - {used}::DOUBLE)", (w1 - w0) / (t1 - t0)
+        x = f"{rest} / {w0}::DOUBLE"
+        if slope:
+            root = f"sqrt(greatest({w0 * w0}::DOUBLE + {rest} * {2 * slope}::DOUBLE, 0.0::DOUBLE))"
+            x = f"({root} - {w0}::DOUBLE) / {slope}::DOUBLE"
+        used += (t1 - t0) * (w0 + w1) / 2
+        cases.append(f"WHEN {share} * {whole}::DOUBLE <= {used}::DOUBLE THEN {t0}::DOUBLE + {x}")
+    return f"CASE {' '.join(cases)} ELSE {schedule[-1][0]}::DOUBLE END"
+
+
+def _position_sql(share: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {_inverse_sql(share, s)}" for k, s in enumerate(mixing.SCHEDULES))
+    return f"CASE WHEN times > 0 THEN round(CASE kind {cases} END, 12) END"
+
+
+OP4_SQL += f"""SELECT doc_id, size, source_size, target, size * times AS taken, times,
+       {_position_sql('u')} AS first_position, {_position_sql('v')} AS last_position
+FROM used
 """
 
 
 @query("op4_mix_sources", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = cut(mixing.plan(mixing.sizes(table(spark, sf_dir, "documents"))), "plan")
+    taken = F.col("times") > 0
+    first = F.when(taken, mixing.position(F.lit(0)))
+    last = F.when(taken, mixing.position(F.greatest(F.col("times") - 1, F.lit(0))))
     # Training order: documents by the position of their first copy, those not taken last.
-    once = planned.withColumn("all_times", F.col("times")).withColumn("times", F.least("times", F.lit(1)))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    first = mixing.positions(once).select(*columns, F.col("all_times").alias("times"), "position")
-    rest = planned.where("times = 0").select(*columns, "times", F.lit(2.0).alias("position"))
-    ordered = first.unionByName(rest)
-    return ordered.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").drop("position")
+    ordered = planned.withColumn("first_position", first).repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id")
+    ordered = ordered.sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
+    columns = ["doc_id", "size", "source_size", "target", "taken", "times"]
+    return ordered.select(*columns, F.round("first_position", 12).alias("first_position"), F.round(last, 12).alias("last_position"))
 
 
 OP5_SQL = r"""
@@ -200,11 +230,11 @@ s AS (
 ), h AS (
   SELECT x.host, x.n, strength, (x.b + strength * d.mean) / (x.n + strength) AS mean
   FROM hosts x JOIN d ON d.domain = x.domain AND d.suffix = x.suffix, strengths WHERE level = 'h'
-), bounds AS (SELECT host, mean - 2.0::DOUBLE * sqrt(mean * (1.0::DOUBLE - mean) / (n + strength + 1.0::DOUBLE)) AS bound FROM h)
+), bounds AS (SELECT host, mean, mean - 2.0::DOUBLE * sqrt(mean * (1.0::DOUBLE - mean) / (n + strength + 1.0::DOUBLE)) AS bound FROM h)
 SELECT r.page_id, r.host, r.path, r.rule,
        CASE WHEN r.rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block'
             WHEN b.bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
-       CASE WHEN r.rule IS NULL THEN 'reputation' ELSE 'rule' END AS judged_by
+       CASE WHEN r.rule IS NULL THEN 'reputation' ELSE 'rule' END AS judged_by, b.mean, b.bound
 FROM ruled r JOIN bounds b ON b.host = r.host
 """
 

@@ -38,6 +38,7 @@ RULES = (
     ("block", "net/fr/"),
 )
 #: Lower bound of the bad rate above which a host is blocked, and how many deviations the bound is below the mean.
+#: One half: a host goes when most of its pages are bad, even if its labels flatter it by two deviations.
 THRESHOLD, DEVIATIONS = 0.5, 2.0
 #: Limits of a fitted prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 10000.0
@@ -126,8 +127,9 @@ def judge(
     deviations: float = DEVIATIONS,
     long_suffixes: Sequence[str] = (),
 ) -> DataFrame:
-    """Pages (page_id, url) -> page_id, host, path, rule, verdict, judged_by.
+    """Pages (page_id, url) -> page_id, host, path, rule, verdict, judged_by, mean, bound.
 
+    ``mean`` and ``bound`` are the posterior bad rate of the page's host and its lower bound, whatever judged it.
     ``outcomes`` is (url, bad): labelled pages, bad 1 or 0; rows whose bad is null are no outcome.
     """
     url = F.col("url")
@@ -150,6 +152,8 @@ def judge(
         F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), by_host).alias("verdict"),
         F.when(F.col("_rule").isNull(), F.lit("reputation")).otherwise(F.lit("rule")).alias("judged_by"),
+        "mean",
+        "bound",
     )
 
 
