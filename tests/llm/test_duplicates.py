@@ -51,6 +51,28 @@ def test_exact_splits_buckets_and_chains_collisions(odd_docs, documents):
     check_exact(odd_docs, page_keys=2, key=lambda text: F.length(text).cast("long"))
 
 
+def test_owners_decide(spark, documents, monkeypatch):
+    # the chains come out of the range partitions of the directory's places, without another exchange
+    plans, real = [], exact_dedup.cut
+
+    def watched(df, label="cut"):
+        if label == "chains":
+            plans.append((df._jdf.queryExecution().executedPlan().toString(), df.withColumn("p", F.spark_partition_id()).collect()))
+        return real(df, label)
+
+    monkeypatch.setattr(exact_dedup, "cut", watched)
+    exact_dedup.duplicates(documents, page_keys=8).count()
+    plan, rows = plans[0]
+    owners = plan[: plan.index("rangepartitioning(place")]
+    assert "hashpartitioning" not in owners and owners.count("Exchange") == 1
+    # an owner's keys are a range of the unsigned order that the directory's prefixes follow
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(r.p, []).append(r.key % (1 << 64))
+    spans = sorted((min(k), max(k)) for k in ranges.values())
+    assert len(rows) >= 10 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_exact_empty(no_docs):
     assert exact_dedup.duplicates(no_docs).count() == 0
     assert exact_dedup.unique(no_docs).count() == 0

@@ -7,15 +7,16 @@
    long as a bucket holds more keys than a page: an overfull bucket splits in two by one more bit,
    the others stay shared. A bucket ends up as (depth, prefix); a directory too shallow for a full
    bucket gets further bits.
-3. *Owners.* The keys are written to the index by bucket, in key ranges, so that one task owns the
-   keys of a range. Keys with a single entry are decided.
-4. *Chains.* Texts whose key occurs more than once are read again and grouped by (key, text): Spark
-   compares the bytes of the texts. Each distinct text is a link of its key's chain in the key's
-   bucket, with its smallest doc_id and size. Chains have one link unless two texts share a 64-bit hash.
-5. *Answers.* Entries take the answer of their key; those of a longer chain by their text's digest
-   link, which step 4 has told apart byte by byte.
-
-DataFrame functions only. A group with a third of all rows is combined per task in steps 2 and 4 and
+3. *Owners.* A bucket's place in the directory is its prefix at full depth; the index lies in that order. Keys with
+   a single entry are decided by it.
+4. *Chains.* Texts whose key occurs more than once are read again. Each task first combines its own equal texts,
+   then what is left goes to the owners: by a range partitioning of (place, key, digest), so that one task owns a
+   range of buckets, and a key with very many different texts is spread over owners by digest. An owner
+   sorts its entries by key, digest and text and runs along them: equal bytes become one link of the key's chain,
+   with the smallest doc_id and the number of documents. No further exchange follows: the owners' runs are the result.
+5. *Answers.* Entries take the answer of their key, or of their key's link with their digest.
+
+DataFrame functions only. A group with a third of all rows leaves each task of step 2 and 4 as one row, and is
 met again only by an equi-join on its key, which adaptive execution splits.
 
 Edge cases: null and empty texts are equal to each other (not to a single space); a null doc_id
@@ -27,14 +28,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklake.llm.common import SPACE, join_same
 from ticklake.session import cut
 
 #: Keys a bucket may hold before it splits, and the bits a directory grows by when it is too shallow.
-PAGE_KEYS, STEP_BITS = 100_000, 4
+PAGE_KEYS, STEP_BITS = 10_000, 4
 MAX_BITS = 48
 #: Ids of copies up to which they are sent to all tasks (8 bytes each).
 SMALL_IDS = 500_000
@@ -81,6 +82,19 @@ def directory(keys: DataFrame, page_keys: int = PAGE_KEYS) -> tuple[DataFrame, i
     return lowest.select("cell", F.col("b.depth").alias("depth"), F.col("b.prefix").alias("bucket")), bits
 
 
+def _chains(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """Texts (doc_id, text, key) of repeated keys -> key, text_sha256, keep_id, group_size: a row per link of a chain."""
+    here = texts.withColumn("task", F.spark_partition_id())
+    own = here.groupBy("key", "text", "task").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    dealt = own.withColumn("text_sha256", F.sha2("text", 256)).join(several, "key")
+    owned = dealt.repartitionByRange("place", "key", "text_sha256")
+    # Range partitions of (place, key, digest) hold whole groups of those and the text: the owners aggregate in place.
+    links = owned.groupBy("place", "key", "text_sha256", "text").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    )
+    return cut(links.select("key", "text_sha256", "keep_id", "group_size"), "chains")
+
+
 def duplicates(docs: DataFrame, page_keys: int = PAGE_KEYS, key: Callable[[Column], Column] = hash64) -> DataFrame:
     """Documents (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row per document."""
     text = normalised(F.col("text"))
@@ -91,27 +105,22 @@ def duplicates(docs: DataFrame, page_keys: int = PAGE_KEYS, key: Callable[[Colum
     keys = cut(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "keys")
     cells, bits = directory(keys, page_keys)
 
-    # The index: each owner task holds the keys of a range of buckets, in key order.
-    placed = keys.withColumn("cell", prefix(F.col("key"), bits)).join(cells, "cell").drop("cell")
-    index = cut(placed.repartitionByRange("depth", "bucket", "key").sortWithinPartitions("depth", "bucket", "key"), "index")
+    # The index: keys in the order of their buckets' places in the directory.
+    place = F.call_function("shiftleft", F.col("bucket"), (F.lit(bits) - F.col("depth")).cast("int"))
+    placed = keys.withColumn("cell", prefix(F.col("key"), bits)).join(cells, "cell").select("key", "n", "first", place.alias("place"))
+    index = cut(placed.repartitionByRange("place", "key").sortWithinPartitions("place", "key"), "index")
 
     single = index.where("n = 1").select("key", F.col("first").alias("keep_id"), F.col("n").alias("group_size"))
-    several = index.where("n > 1").select("key", "depth", "bucket")
-    members = cut(entries.join(several, "key").select("doc_id", "row", "key", "depth", "bucket", "text_sha256"), "members")
+    several = index.where("n > 1").select("key", "place")
+    wanted = cut(entries.join(several, "key").select("doc_id").distinct(), "wanted")
 
-    # Texts of repeated keys only: their ids go to all tasks while they are few, else the texts are
-    # shuffled to them. Equal texts are combined in each task before they meet.
-    wanted = cut(members.select("doc_id").distinct(), "wanted")
+    # Texts of repeated keys only: their ids go to all tasks while they are few, else the texts are shuffled to them.
     few = wanted.count() <= SMALL_IDS
     again = join_same(docs.select("doc_id", "text"), F.broadcast(wanted) if few else wanted, ["doc_id"], "left_semi")
     texts = again.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("key", key(F.col("text")))
-    equal = texts.groupBy("key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    links = equal.withColumn("text_sha256", F.sha2("text", 256)).drop("text").join(several, "key")
-    chains = cut(links.withColumn("chain", F.count("*").over(Window.partitionBy("key"))), "chains")
-    alone = chains.where("chain = 1").select("key", "keep_id", "group_size")
-    chained = chains.where("chain > 1").select("key", "text_sha256", "keep_id", "group_size")
-    answers = single.unionByName(alone)
-    found = entries.join(answers, "key").unionByName(entries.join(chained, ["key", "text_sha256"]), allowMissingColumns=True)
+    found = entries.join(single, "key").unionByName(
+        entries.join(_chains(texts, several), ["key", "text_sha256"]), allowMissingColumns=True
+    )
     # Among rows that share the kept id (repeated rows) exactly one stays. A row number occurs once,
     # so this join has no hot key.
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
