@@ -1,9 +1,11 @@
 """The versioned tick table, partial candles in tiers, and streams with keyed state that can be asked at any time."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ticklake import versions
-from ticklake.operators import dedup, reads
+from ticklake.operators import dedup, reads, sketches
 from ticklake.plans import views as v
 from ticklake.plans.q_metrics import _WATCHED, _watched
 from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
@@ -182,3 +184,30 @@ def join02_find(spark, d):
     path = _folded(spark, d, "join02-f")
     keys = versioned.read(spark, path).where("trade_id % 7 = 0").select("ticker", "exchange", "ts")
     return versioned.find(spark, path, keys).select("ticker", "exchange", "ts", "trade_id", "price")
+
+
+# Quantiles of two days out of stored sketches. Their values may differ from the exact ones by a part of the ranks,
+# so what is compared is the number of samples, which is exact, and that each rank is within twice the stated bound.
+@query(
+    "met10_sketched_quantiles",
+    v.GAUGE
+    + """, q as (select unnest([0.5, 0.95, 0.99])::double as q)
+    select metric, exchange, q, count(*) as n, true as within from ga, q
+    where ts >= timestamp '2024-01-09' and ts < timestamp '2024-01-11' group by all""",
+)
+def met10_sketched(spark, d):
+    path, keys = scratch(spark, "met10s"), ["metric", "exchange"]
+    gauges = v.gauges(spark, d)
+    sketches.write(sketches.sketched(gauges, keys), path)
+    start, end = datetime(2024, 1, 9), datetime(2024, 1, 11)
+    whole = sketches.merged(sketches.read(spark, path, gauges.select(*keys).schema, start, end), keys)
+    levels = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), sketches.quantile(F.col("sketch"), q).alias("x")) for q in (0.5, 0.95, 0.99)]))
+    asked = whole.select(*keys, "n", levels.alias("l")).select(*keys, "n", "l.q", "l.x")
+    raw = gauges.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    ranks = raw.join(asked, keys).groupBy(*keys, "q", "n").agg(
+        F.count_if(F.col("value").cast("double") < F.col("x")).alias("below"),
+        F.count_if(F.col("value").cast("double") <= F.col("x")).alias("upto"),
+    )
+    most = 2 * sketches.rank_error()
+    fits = (F.col("below") / F.col("n") - F.col("q") <= most) & (F.col("q") - F.col("upto") / F.col("n") <= most)
+    return ranks.select(*keys, "q", "n", fits.alias("within"))
