@@ -75,7 +75,8 @@ def test_bounds_hold_and_skip_work():
     x = np.floor(64 * np.concatenate([c + 0.02 * rng.normal(size=(200, 16)) for c in rng.normal(size=(10, 16))]))
     table = pa.table({
         "vec_id": np.arange(len(x)), "vec": pa.array([r.tobytes() for r in x], pa.binary()),
-        "g": pa.array([0] * len(x), pa.int32()), "page": pa.array([0] * len(x), pa.int32()),
+        "g": pa.array([0] * len(x), pa.int32()), "cell": pa.array([0] * len(x), pa.int64()),
+        "part": pa.array([0] * len(x), pa.int32()),
     })
     node = mtree._node(table).to_pylist()[0]
     starts, radii = np.frombuffer(node["leaves"], "<i4"), np.frombuffer(node["radii"], "<f8")
@@ -99,3 +100,47 @@ def test_bounds_hold_and_skip_work():
     scores[np.arange(50), np.arange(50)] = np.iinfo(np.int64).min
     want = np.sort(scores, axis=1)[:, ::-1][:, :5]
     assert (best == want).all() and multiplied < 0.5 * 50 * len(x)
+
+
+def test_pages_are_metric_nodes_that_queries_skip(spark, monkeypatch):
+    # clusters inside clusters: cells are split more than once, and most pages cannot hold a query's best rows
+    rng = np.random.default_rng(6)
+    x = np.concatenate([8 * c + 1.5 * np.repeat(rng.normal(size=(8, 10)), 25, axis=0) + 0.05 * rng.normal(size=(200, 10)) for c in rng.normal(size=(6, 10))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x[rng.permutation(len(x))])]
+    rows += [(5000 + i, rows[0][1]) for i in range(150)]  # equal vectors fill pages of their own
+    kept, real = {}, mtree.cut
+
+    def watched(df, label="cut"):
+        out = real(df, label)
+        kept.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(mtree, "cut", watched)
+    check(spark, rows, k=5, page=40, pivots=4)
+    nodes = kept["nodes"][0].collect()
+    assert len(nodes) > 30 and max(len(n["ids"]) // 8 for n in nodes) <= 60
+    assert len(kept["routed"]) >= 3 and max(n["cell"] for n in nodes) > 257**2  # two levels below the root
+    root_of = {}
+    for n in nodes:
+        held = np.frombuffer(n["vecs"], "<f8").reshape(-1, n["dim"])
+        centre = np.frombuffer(n["centre"], "<f8")
+        assert mtree.distances(held, centre).max() <= n["radius"] + 1e-9
+        root_of.setdefault(n["g"], []).append(n["parent"])
+    queries = kept["queries"][0].count()
+    visits = sum(w.count() for w in kept["wanted"])
+    assert visits < 0.5 * queries * len(nodes)
+
+
+def test_page_bounds_never_lose_a_row():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        root, q = np.floor(40 * rng.normal(size=6)), np.floor(40 * rng.normal(size=(9, 6)))
+        held = [np.floor(40 * rng.normal(size=6) + 6 * rng.normal(size=(12, 6))) for _ in range(7)]
+        pages = {
+            "centres": np.array([x[0] for x in held]), "radii": np.array([mtree.distances(x, x[0]).max() for x in held]),
+            "parents": np.array([mtree.distances(x[:1], root)[0] for x in held]),
+        }
+        best = np.array([[(x @ v).max() for x in held] for v in q])
+        least = np.sort(best, axis=1)[:, -3]
+        reach = mtree.page_bounds(q, root, pages, least)
+        assert reach[best >= least[:, None]].all()
