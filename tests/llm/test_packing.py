@@ -143,6 +143,22 @@ def test_files_of_codes(spark, odd_docs, odd_rows):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_any_token_is_read_by_its_number(spark, odd_docs, odd_rows, monkeypatch):
+    path = scratch(spark, "dac-test")
+    dac.write(odd_docs.repartition(3), path, WORDS, keeps_space=False, end_id=1, segment_tokens=50)
+    monkeypatch.setattr(dac, "SEGMENT_TOKENS", 64)  # segments and ranges of ids overlap in all ways
+    library = Tokenizer.from_file(WORDS)
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = [i for _, text, _, _ in ordered for i in [*library.encode(text or "", add_special_tokens=False).ids, 1]]
+    assert dac.segments(spark, path).count() > 3
+    rng = random.Random(4)
+    for asked in (list(range(120)), rng.sample(range(len(want)), 300) + [len(want) - 1], [0, 0, -1, len(want), 10**12]):
+        for named in (500, 1):
+            monkeypatch.setattr(dac, "NAMED", named)
+            got = dac.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+            assert sorted((r.position, r.id) for r in got) == sorted({(p, want[p]) for p in asked if 0 <= p < len(want)})
+
+
 def test_files_of_an_empty_table(spark, no_docs):
     path = scratch(spark, "dac-test")
     dac.write(no_docs, path, WORDS, keeps_space=False, end_id=1)

@@ -11,8 +11,11 @@ lengths, its start in the part, and the codes as one binary value (``encode`` de
 ``parts`` beside them holds each part's first id number. Spark's commit protocol makes a lost task's
 part appear once.
 
+``tokens_at`` reads ids by their number over all files: positions find their segment by an equi-join on ranges of
+ids, and each id is read from its segment's codes alone.
+
 Edge cases: a null or empty text is the end id alone; null doc_ids come first; rows with the same
-doc_id stand by text; an empty table gives a table without segments; further columns are ignored. A
+doc_id stand by text; an empty table gives a table without segments; further columns are ignored; positions outside the files give no row. A
 text of any length is one document in one segment.
 """
 
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ticklake.llm.textblocks import blocks
 from ticklake.llm.tokens import encoder
+from ticklake.session import cut
 
 SEGMENT_TOKENS = 1 << 18
 WIDTHS = (8, 8, 16)
@@ -205,3 +209,38 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32, read back from the codes."""
     return segments(spark, path).mapInArrow(_documents, READ).drop("part")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            codes = Codes(row["codes"])
+            places = sorted(row["positions"])
+            ids = [codes[p - row["base"]] for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
+
+
+#: Segments that are named one by one in the scan of the codes.
+NAMED = 500
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position) -> (position, id): the ids at some numbers, counted from 0 over all files. Repeats count once."""
+    held = segments(spark, path).select("part", "segment", "start", "n_tokens")
+    first = F.expr(f"start DIV {SEGMENT_TOKENS}")
+    last = F.expr(f"(start + n_tokens - 1) DIV {SEGMENT_TOKENS}")
+    ranges = held.withColumn("range", F.explode(F.sequence(first, last)))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position >= 0").distinct()
+    asked = asked.withColumn("range", F.expr(f"position DIV {SEGMENT_TOKENS}"))
+    inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens"))
+    found = asked.join(ranges, "range").where(inside)
+    # A segment's positions are different ids of it, so a list is never longer than the segment.
+    by_segment = found.groupBy("part", "segment", F.col("start").alias("base")).agg(F.collect_list("position").alias("positions"))
+    by_segment = cut(by_segment, "asked")
+    codes = spark.read.schema(SCHEMA).parquet(f"{path}/segments").select("part", "segment", "codes")
+    named = by_segment.select("part", "segment").limit(NAMED + 1).collect()
+    if len(named) <= NAMED:
+        # Filters that reach the scan: pages of other segments are not read.
+        codes = codes.where(F.col("part").isin([r["part"] for r in named]) & F.col("segment").isin([r["segment"] for r in named]))
+    met = by_segment.join(codes, ["part", "segment"]).select("base", "positions", "codes")
+    return met.mapInArrow(_tokens, "position long, id long")
