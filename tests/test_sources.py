@@ -165,3 +165,50 @@ def test_run_json_array(spark, folder):
 def test_registry_ignores_case(spark, name):
     assert m.parse(text(spark, "{}"), name).count() == 1
 
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of 2 kB, as large ones are in splits of many MB."""
+    keys = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, value in keys.items():
+        spark.conf.set(k, value)
+    yield
+    for k, value in before.items():
+        spark.conf.set(k, value)
+
+
+def test_a_large_scrape_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    lines = []
+    for i in range(2000):
+        if i % 50 == 0:
+            lines += [f"# HELP m{i // 50} about {i}", f"# TYPE m{i // 50} gauge", ""]
+        lines.append(f'm{i // 50}{{id="{i}"}} {i}.5')
+    (tmp_path / "one.prom").write_text("\r\n".join(lines) + "\r\n")
+    (tmp_path / "two.prom").write_text("m0 1\n# HELP m0 other\n")
+    read = mt.read_scrapes(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() > 10 or read.select(F.spark_partition_id()).distinct().count() > 4
+    got = {}
+    for r in read.collect():
+        got.setdefault(r.scrape.rsplit("/", 1)[1], []).append((r.line_no, r.line))
+    assert [x for _, x in sorted(got["one.prom"])] == lines and len({n for n, _ in got["one.prom"]}) == len(lines)
+    found = mt.samples(read).where("metric = 'm0'").collect()
+    assert {(r.scrape[-8:], r.description, r.type) for r in found} == {("one.prom", "about 0", "gauge"), ("two.prom", "other", "")}
+    # a directive reaches the samples of the splits behind it
+    assert {r.description for r in mt.samples(read).where("metric = 'm39'").collect()} == {"about 1950"}
+
+
+def test_a_large_quoted_csv_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    import csv
+
+    rows = [(f"t{i}", f"m{i}", 'a="x, y"\nb="z"' if i % 3 == 0 else "", "gauge", str(i), "\n\n" * (i % 5) + f'say "{i}"') for i in range(600)]
+    for name, part in (("one.csv", rows[:590]), ("two.csv", rows[590:]), ("none.csv", [])):
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+            out.writerow(["Timestamp", "Metric", "Labels", "Type", "Value", "Description"])
+            out.writerows(part)
+    got = mt.read_csv(spark, str(tmp_path))
+    want = spark.read.schema(got.schema).csv(str(tmp_path), header=True, quote='"', escape='"', multiLine=True)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == 600

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklake.functions import label_map, metric_value, normalise_value_text, with_once
+from ticklake.operators import ordered
 from ticklake.operators.joins import lookup
 from ticklake.schemas import METRIC_CSV
 
@@ -19,12 +20,25 @@ _HISTOGRAM_SUFFIX = "_(bucket|sum|count)$"
 _MARK = "\x01"
 
 
-def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
-    """Scrape files as (scrape, line_no, line); one file is one scrape."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("scrape"),
-        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, a file over as many tasks as it has splits.
+
+    ``line_no`` is the start of the line's split plus the line's number in it: it grows along the file and occurs once,
+    as a split starts behind all bytes, and so behind all lines, of those before it.
+    """
+    split = spark.read.text(path, lineSep="\n").select(
+        F.input_file_name().alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
     )
+    first = split.groupBy("file", "_start").agg(F.min("_row").alias("_first"))
+    return split.join(first, ["file", "_start"]).select("file", (F.col("_start") + F.col("_row") - F.col("_first")).alias("line_no"), "line")
+
+
+def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
+    """Scrape files as (scrape, line_no, line); one file is one scrape, read by as many tasks as it has splits."""
+    return _lines(spark, path).withColumnRenamed("file", "scrape")
 
 
 def _directives(lines: DataFrame) -> DataFrame:
@@ -104,8 +118,27 @@ def typed(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metric CSV files (header, UTF-8, quotes doubled); all columns stay text."""
-    return spark.read.schema(METRIC_CSV).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    """Metric CSV files (header, UTF-8, quotes doubled); all columns stay text.
+
+    A file is read by as many tasks as it has splits, also where quoted fields hold line breaks: a line begins a
+    record if the quotes before it are even, which running counts over pieces of the file tell. The lines of one record
+    meet, never those of a file. A quote that is never closed makes the rest of its file one record.
+    """
+    lines = _lines(spark, path).withColumn("_quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    chunk = ordered.seq_chunk("line_no")
+    counted = ordered.running_sum(lines, ["file"], "line_no", {"_upto": F.col("_quotes")}, chunk)
+    opens = (F.col("_upto") - F.col("_quotes")) % 2 == 0
+    # A record is named by its first line: the last line before or at this one that begins a record.
+    named = ordered.running_max(
+        counted.select("file", "line_no", "line", F.when(opens, F.col("line_no")).alias("_first")),
+        ["file"], "line_no", {"_record": F.col("_first")}, chunk,
+    )
+    whole = named.groupBy("file", "_record").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+    header = whole.groupBy("file").agg(F.min("_record").alias("_header"))
+    records = whole.join(header, "file").where(F.col("_record") > F.col("_header"))
+    text = records.select(F.array_join("_lines.line", "\n").alias("text")).where(F.trim("text") != "")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return text.select(F.from_csv("text", METRIC_CSV.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
