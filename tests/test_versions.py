@@ -179,6 +179,17 @@ def test_a_replayed_batch_is_known(spark, folder):
         vt.insert_new(spark, batch, path, mark=("s", 0))
 
 
+def test_a_flat_table_becomes_the_first_version(spark, folder):
+    from ticklake.sinks.ticks import to_rows
+
+    flat, path = folder(), folder()
+    to_rows(ticks(spark, [("A", 0, 1), ("B", DAY, 2), ("C", 2 * DAY, 3)])).drop("dt").write.parquet(flat)
+    assert vt.adopt(spark, spark.read.parquet(flat), path).number == 1 and vt.adopt(spark, spark.read.parquet(flat), path) is None
+    assert [r[:3] for r in held(spark, path)] == [("A", 0, 1), ("B", DAY, 2), ("C", 2 * DAY, 3)]
+    assert sorted(versions.latest(spark, path).days(versions.ROWS)) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert spark.read.parquet(flat).count() == 3  # the old table is untouched
+
+
 def test_a_commit_is_refused_if_the_number_is_taken(spark, folder):
     path = folder()
     base = versions.latest(spark, path)

@@ -14,6 +14,7 @@ from ticklake.plans.q_windows import _RATE
 from ticklake.plans.registry import query
 from ticklake.session import scratch
 from ticklake.sinks import candle_tiers, versioned
+from ticklake.sinks.ticks import to_rows
 from ticklake.streaming import alerts, live, postponed
 
 # Several rounds: all first arrivals, a price raised, a flag set, rows deleted, some of them inserted again, a price set.
@@ -211,3 +212,14 @@ def met10_sketched(spark, d):
     most = 2 * sketches.rank_error()
     fits = (F.col("below") / F.col("n") - F.col("q") <= most) & (F.col("q") - F.col("upto") / F.col("n") <= most)
     return ranks.select(*keys, "q", "n", fits.alias("within"))
+
+
+@query(
+    "mnt04_adopted_table",
+    v.TK + "select cast(cast(ts as date) as varchar) as dt, ticker, count(*) as rows from tk group by 1, 2",
+)
+def mnt04_adopted(spark, d):
+    flat, path = scratch(spark, "mnt04-flat"), scratch(spark, "mnt04-v")
+    to_rows(v.ticks(spark, d)).drop("dt").write.parquet(flat)
+    versioned.adopt(spark, spark.read.parquet(flat), path)
+    return versioned.read(spark, path).groupBy("dt", "ticker").agg(F.count("*").alias("rows"))

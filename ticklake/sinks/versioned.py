@@ -107,6 +107,22 @@ def _entries(commit: str, days: Iterable[str], kind: str, version: int) -> list[
     return [Entry(commit, d, kind, version) for d in days]
 
 
+def adopt(spark: SparkSession, flat: DataFrame, path: str) -> Version | None:
+    """Make an unpartitioned table (columns of the tick table, with or without ``dt``) the first version of one by day.
+
+    Its rows are written aside and appear with one commit: readers see the old table until then and the new one
+    from then on, and no moment without a table. None if the path has versions already, however often it is called.
+    """
+    if versions.latest(spark, path).number:
+        return None
+    rows = flat.withColumn("dt", F.to_date("ts")).select(*RAW_TICK.names)
+    commit, days = versions.write(laid_out(rows), path, BLOOM)
+    try:
+        return versions.commit(spark, path, Version(), _entries(commit, days, ROWS, 1))
+    except versions.Conflict:
+        return None
+
+
 def append(spark: SparkSession, rows: DataFrame, path: str) -> Version:
     """Add rows of the table without looking for conflicts."""
     commit, days = versions.write(laid_out(rows), path)
