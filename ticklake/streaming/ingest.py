@@ -95,6 +95,8 @@ class Ingest:
         found = ticks(parsed, self.seq)
         if self.keep_versions:
             inserted = versioned.insert_new(spark, found, self.tick_path, mark=(stream, batch_id))
+            if self.candles_from == "deduped" and not inserted.inputFiles():
+                return  # nothing new, so no candle changes
             source = inserted if self.candles_from == "deduped" else found
             self.candle_sink(ohlcv(source, self.interval_s), batch_id, stream)
             if not self.custom_sink:
