@@ -38,6 +38,20 @@ def message_stream(
     return reader.format(form).load(path)
 
 
+#: Parts into which a partition of messages is split at most, while the cluster has cores without one.
+SPREAD = 8
+
+
+def spread(messages: DataFrame) -> DataFrame:
+    """Messages on as many tasks as there are cores, if they come in fewer partitions.
+
+    Parsing is the dearest step of a batch, and a file of one row group, or one partition of a topic, is one task
+    however large it is. Moving the raw messages costs little beside that.
+    """
+    parts, cores = messages.rdd.getNumPartitions(), messages.sparkSession.sparkContext.defaultParallelism
+    return messages.repartition(min(cores, SPREAD * parts)) if 0 < parts < cores else messages
+
+
 def trigger(seconds: int | None) -> dict:
     """Batches every so many seconds, or everything there is and then stop."""
     return {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
@@ -82,7 +96,7 @@ class Ingest:
 
     def batch(self, messages: DataFrame, batch_id: int, stream: str = NO_STREAM) -> None:
         with adaptive(messages.sparkSession):
-            parsed = parse(messages, self.exchange, strict=self.strict).persist(StorageLevel.DISK_ONLY)
+            parsed = parse(spread(messages), self.exchange, strict=self.strict).persist(StorageLevel.DISK_ONLY)
             try:
                 self._write(parsed, batch_id, stream)
             finally:
