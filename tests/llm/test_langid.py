@@ -1,6 +1,9 @@
 """Error-correcting output codes: codewords, decoding, held-out accuracy, odd rows."""
 
+import itertools
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,64 @@ def test_documents(documents):
     assert langid.accepted(documents).count() >= 0.99 * len(truth)
 
 
+def plain_grams(text):
+    """Bucket of each byte trigram around a letter, in plain Python."""
+    raw = list((text or "").encode())
+    for i, b in enumerate(raw):
+        if 65 <= b <= 90 or (i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97):
+            raw[i] = b + 32
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+    codes = [a << 16 | b << 8 | c for a, b, c in zip(raw, raw[1:], raw[2:]) if b != 32]
+    return Counter(code * 2654435761 % 2**32 * langid.BUCKETS >> 32 for code in codes)
+
+
+def plain_predictions(rows):
+    """(doc_id, text, lang) -> [(lang, score, ambiguous)], learnt and decided in plain Python."""
+    counts = {}
+    for doc, text, lang in rows:
+        if not held_out(doc) and lang is not None and plain_grams(text):
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    langs = sorted(counts)
+    freq = {}
+    for x in langs:
+        total = sum(counts[x].values()) + 0.5 * langid.BUCKETS
+        freq[x] = [(counts[x][b] + 0.5) / total for b in range(langid.BUCKETS)]
+    bits = []
+    for signs in itertools.product((1, -1), repeat=len(langs)):
+        if signs[0] == 1 and -1 in signs:
+            sides = {s: [x for x, t in zip(langs, signs) if t == s] for s in (1, -1)}
+            mean = {s: [sum(freq[x][b] for x in side) / len(side) for b in range(langid.BUCKETS)] for s, side in sides.items()}
+            weight = [math.log(p / q) for p, q in zip(mean[1], mean[-1])]
+            own = [s * sum(f * w for f, w in zip(freq[x], weight)) for x, s in zip(langs, signs)]
+            bits.append((signs, weight, max(min(own), 1e-3)))
+    whole = sum(worth for _, _, worth in bits)
+    out = []
+    for _, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0, False))
+            continue
+        grams = plain_grams(text)
+        n = sum(grams.values())
+        loss = dict.fromkeys(langs, 0.0)
+        for signs, weight, worth in bits:
+            margin = sum(k * weight[b] for b, k in grams.items()) / max(n, 1) * math.sqrt(min(n, 400)) * 4
+            for x, s in zip(langs, signs):
+                loss[x] += worth / whole * (math.log1p(math.exp(-abs(s * margin))) + max(-s * margin, 0))
+        best, second = sorted(loss.values())[:2]
+        out.append((min(langs, key=loss.get), 1 / sum(math.exp(best - v) for v in loss.values()), second - best < 0.02))
+    return out
+
+
+def test_against_plain_python(documents, odd_docs):
+    for frame in (documents, odd_docs):
+        rows = [(r.doc_id, r.text, r.lang) for r in frame.select("doc_id", "text", "lang").collect()]
+        wanted = Counter()
+        for (doc, _, _), (lang, score, close) in zip(rows, plain_predictions(rows)):
+            wanted[doc, held_out(doc), lang, round(score, 3), close] += 1
+        got = langid.languages(frame).collect()
+        assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 3), r.ambiguous) for r in got) == wanted
+
+
 def test_odd_rows(odd_docs, odd_rows):
     got = langid.languages(odd_docs).collect()
     assert len(got) == len(odd_rows)
