@@ -200,6 +200,21 @@ def test_every_link_of_a_family(make_docs, monkeypatch, tile, block):
     assert check_links(make_docs(rows)) > 300
 
 
+def test_tiles_meet_only_where_sizes_allow_links(make_docs, monkeypatch):
+    # one component of ever longer texts: near ones link, the first and the last are far apart in size
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    rows = [(i, " ".join(f"w{j}" for j in range(60 + 4 * i)), "en", "a") for i in range(120)]
+    docs = make_docs(rows + rows[::10])
+    assert check_links(docs) > 500
+    assert {r.component_id for r in ngram_join.join(docs).collect()} == {0}
+    held = ngram_join._linked(docs, 4, 85, None)
+    met = ngram_join._meetings(*held, 85).select("low", "high", "rows.n", "rows.tile").collect()
+    assert len({(m.low, m.high) for m in met}) == len(met)
+    tiles = len({t for m in met for t in m.tile})
+    assert tiles >= 15 and len(met) < tiles * (tiles + 1) / 4
+    assert all(max(m.n) * 85 * 85 <= min(m.n) * 100.2**2 for m in met)
+
+
 def test_links_of_odd_rows(odd_docs):
     check_links(odd_docs)
 

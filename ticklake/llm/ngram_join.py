@@ -20,9 +20,10 @@ The product is never formed whole:
 
 So every link between rows of different components is found, and the components are exact.
 
-5. *Links.* All links lie inside components. A component's rows are dealt to tiles of bounded size, and
-   every pair of tiles meets once: the exact overlaps of all its pairs of rows are an incidence matrix
-   times the transpose of another, made from blocks of columns. ``join`` counts a document's links there,
+5. *Links.* All links lie inside components. The rows of a component that is more than one tile are dealt by size
+   into bands and there into tiles of bounded size. A tile meets those of its own band and of the two beside
+   it, once each; further apart the sizes allow no link, so nothing is sent. The exact overlaps of all pairs of rows
+   of two tiles are an incidence matrix times the transpose of another, made from blocks of columns. ``join`` counts a document's links there,
    rows weighted by the members of their class; ``links`` lists the pairs of classes.
 
 A common n-gram's list is never in one task: it is combined before it is shuffled, and its rows are
@@ -273,6 +274,11 @@ def _size_fits(n: Column, m: Column, similarity: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
 
+def _band(similarity: int) -> Column:
+    """Bands of sizes a little wider than the ratio that a link allows: it spans two neighbours at most."""
+    return F.floor(F.log("n") / F.log(F.lit(100.1 / similarity))).cast("long")
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) that link, by the bound first and then by exact overlap."""
 
@@ -347,12 +353,10 @@ def _linked(
     known = cut(known.select("uid", "n", "bins", F.coalesce("root", "uid").alias("comp")), "known")
     listed = lists.select("h", "uid").join(known, "uid")
     open_ = listed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x <> y")
-    # Bands a little wider than the ratio of sizes that a link allows: it spans two neighbours at most.
-    band = F.floor(F.log("n") / F.log(F.lit(100.1 / similarity))).cast("int")
     tile = F.pmod(F.xxhash64("uid"), F.ceil(F.col("rows") / F.lit(TILE)).cast("long"))
     tiles = (
         listed.join(open_.select("h", "rows"), "h")
-        .groupBy("h", band.alias("band"), tile.alias("tile"))
+        .groupBy("h", _band(similarity).alias("band"), tile.alias("tile"))
         .agg(*[F.collect_list(c).alias(c) for c in ("uid", "n", "comp", "bins")])
     )
     tiles = cut(tiles.select("h", "band", "tile", F.struct("uid", "n", "comp", "bins").alias("x")), "tiles")
@@ -449,15 +453,30 @@ def _link_counts(similarity: int):
     return run
 
 
-def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every pair of tiles of every component: (root, low, high, rows). No row with links is left out."""
+def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
+    """Every pair of tiles of a component whose sizes allow links: (root, low, high, rows). No link is left out."""
     members = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("members"))
     family = sets.join(roots, "uid").join(members, "cls").select("uid", "root", "members")
     family = vectors.join(family, "uid")
     amount = F.greatest(F.count("*") / F.lit(TILE), F.sum(F.length("columns")) / F.lit(8 * TILE_COLUMNS))
-    tiles = family.groupBy("root").agg(F.ceil(amount).cast("long").alias("tiles"))
-    dealt = family.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    whole = family.groupBy("root").agg((amount <= 1).alias("one"))
+    family = family.join(whole, "root").withColumn("band", F.when(F.col("one"), F.lit(0)).otherwise(_band(similarity)))
+    bands = cut(family.groupBy("root", "band").agg(F.ceil(amount).cast("long").alias("tiles")), "bands")
+    below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
+    above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
+    around = bands.join(below, ["root", "band"], "left").join(above, ["root", "band"], "left")
+
+    def number(band: Column, tile: Column) -> Column:
+        return F.shiftleft(band, 32) + tile
+
+    def of_band(away: int, tiles: Column) -> Column:
+        held = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda i: number(F.col("band") + away, i))
+        return F.when(tiles > 0, held).otherwise(F.array().cast("array<bigint>"))
+
+    met = F.concat(of_band(-1, F.col("below")), of_band(0, F.col("tiles")), of_band(1, F.col("above")))
+    dealt = family.join(around, ["root", "band"])
+    dealt = dealt.withColumn("tile", number(F.col("band"), F.pmod(F.xxhash64("uid"), F.col("tiles"))))
+    dealt = dealt.select("root", "uid", "n", "members", "tile", "columns", F.explode(met).alias("other"))
     return dealt.groupBy("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(
         F.collect_list(F.struct("uid", "n", "members", "tile", "columns")).alias("rows")
     )
@@ -471,7 +490,7 @@ def join(
     ``n_links`` is the number of other documents that a document links with, those of equal sets too.
     """
     rows, sets, vectors, roots = _linked(docs, words, similarity, first_block)
-    met = _meetings(rows, sets, vectors, roots)
+    met = _meetings(rows, sets, vectors, roots, similarity)
     counted = met.select("low", "high", "rows").mapInArrow(_link_counts(similarity), "uid long, links long")
     counted = counted.groupBy("uid").agg(F.sum("links").alias("links"))
     counted = sets.join(counted, "uid").select("cls", "links")
@@ -490,7 +509,7 @@ def links(
     Documents of equal sets are one class; a class whose members have no id at all shows as null, first.
     """
     rows, sets, vectors, roots = _linked(docs, words, similarity, first_block)
-    met = _meetings(rows, sets, vectors, roots)
+    met = _meetings(rows, sets, vectors, roots, similarity)
     found = met.select("low", "high", "rows").mapInArrow(_pairs(similarity), "a long, b long")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     first = sets.join(classes, "cls").select("uid", "first")
