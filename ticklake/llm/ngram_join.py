@@ -453,18 +453,28 @@ def _link_counts(similarity: int):
     return run
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint while it is small by count; beyond that Spark's own choice."""
+    return F.broadcast(few) if few.count() <= SMALL_IDS else few
+
+
 def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
     """Every pair of tiles of a component whose sizes allow links: (root, low, high, rows). No link is left out."""
     members = rows.where("n > 0").groupBy("cls").agg(F.count("*").alias("members"))
     family = sets.join(roots, "uid").join(members, "cls").select("uid", "root", "members")
-    family = vectors.join(family, "uid")
-    amount = F.greatest(F.count("*") / F.lit(TILE), F.sum(F.length("columns")) / F.lit(8 * TILE_COLUMNS))
-    whole = family.groupBy("root").agg((amount <= 1).alias("one"))
-    family = family.join(whole, "root").withColumn("band", F.when(F.col("one"), F.lit(0)).otherwise(_band(similarity)))
-    bands = cut(family.groupBy("root", "band").agg(F.ceil(amount).cast("long").alias("tiles")), "bands")
+    narrow = vectors.select("uid", "n", F.length("columns").alias("bytes"), _band(similarity).alias("band"))
+    family = cut(narrow.join(family, "uid"), "family")
+    amount = F.greatest(F.count("*") / F.lit(TILE), F.sum("bytes") / F.lit(8 * TILE_COLUMNS))
+    # Only components of several tiles are looked up again, so that no row is sent to its component's task.
+    large = _sent(cut(family.groupBy("root").agg(amount.alias("amount")).where("amount > 1").select("root"), "large"))
+    parts = family.join(large, "root", "left_semi").groupBy("root", "band")
+    bands = cut(parts.agg(F.ceil(amount).cast("long").alias("tiles")), "bands")
     below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
-    around = bands.join(below, ["root", "band"], "left").join(above, ["root", "band"], "left")
+    around = cut(bands.join(below, ["root", "band"], "left").join(above, ["root", "band"], "left"), "around")
+    family = family.join(_sent(around), ["root", "band"], "left")
+    family = family.withColumn("band", F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.col("band")))
+    family = family.withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
 
     def number(band: Column, tile: Column) -> Column:
         return F.shiftleft(band, 32) + tile
@@ -474,9 +484,9 @@ def _meetings(rows: DataFrame, sets: DataFrame, vectors: DataFrame, roots: DataF
         return F.when(tiles > 0, held).otherwise(F.array().cast("array<bigint>"))
 
     met = F.concat(of_band(-1, F.col("below")), of_band(0, F.col("tiles")), of_band(1, F.col("above")))
-    dealt = family.join(around, ["root", "band"])
-    dealt = dealt.withColumn("tile", number(F.col("band"), F.pmod(F.xxhash64("uid"), F.col("tiles"))))
-    dealt = dealt.select("root", "uid", "n", "members", "tile", "columns", F.explode(met).alias("other"))
+    tile = number(F.col("band"), F.pmod(F.xxhash64("uid"), F.col("tiles"))).alias("tile")
+    dealt = vectors.select("uid", "columns").join(family.select("uid", "root", "n", "members", tile, met.alias("met")), "uid")
+    dealt = dealt.withColumn("other", F.explode("met"))
     return dealt.groupBy("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(
         F.collect_list(F.struct("uid", "n", "members", "tile", "columns")).alias("rows")
     )
