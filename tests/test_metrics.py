@@ -32,6 +32,19 @@ def test_counter_rate_survives_resets(spark):
     assert out[900] is None
 
 
+def test_counter_rate_adds_no_frame_up_anew(spark):
+    # A frame that starts a number of units back is summed for each of its rows: the square of the samples in it.
+    df = series(spark, [(s, s * s % 17) for s in range(0, 3000, 7)])
+    rated = metrics.counter_rate(df, ["series"], 300)
+    assert "RangeFrame, -" not in rated._jdf.queryExecution().analyzed().toString()
+    points = [(s, s * s % 17) for s in range(0, 3000, 7)]
+    grow = [0] + [b - a if b >= a else b for (_, a), (_, b) in zip(points, points[1:])]
+    got = {(r.ts - BASE).seconds: r.rate for r in rated.collect()}
+    for i, (s, _) in enumerate(points):
+        frame = [g for (t, _), g in zip(points, grow) if s - 300 < t <= s]
+        assert got[s] == (pytest.approx(sum(frame[1:]) / 300) if len(frame) > 1 else None)
+
+
 def test_held_for_needs_an_unbroken_run(spark):
     points = [(0, 1), (60, 9), (120, 9), (180, 9), (240, 1), (300, 9), (360, 9), (7200, 9)]
     held = metrics.held_for(series(spark, points), ["series"], F.col("value") > 5, 120, slot_s=100)

@@ -75,3 +75,28 @@ def test_sliding(data, width, slot):
 def test_slot_shorter_than_frame_is_refused(data):
     with pytest.raises(ValueError):
         ordered.sliding(data[1], ["k"], "seq", 10, {}, slot=5)
+
+
+@pytest.mark.parametrize("width", [1, 5, 64, 1000])
+def test_sliding_sums(data, width):
+    rows, df = data
+    out = ordered.sliding_sums(df, ["k"], "seq", width, "v", "s", "f", "n")
+    got = {(r.k, r.seq): (r.v, r.s, r.f, r.n) for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, items in by_key(rows).items():
+        for i, v in items:
+            frame = [x for j, x in items if i - width < j <= i]
+            known = [x for x in frame if x is not None]
+            assert got[(k, i)] == (v, sum(known) if known else None, frame[0], len(frame))
+
+
+def test_sliding_sums_of_odd_rows(spark):
+    rows = [(None, -7, 1.0), (None, -3, float("nan")), (None, 2, 2.0), (None, 6, 4.0), (None, None, 9.0), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v double")
+    got = {(r.k, r.seq): r for r in ordered.sliding_sums(df, ["k"], "seq", 5, "v", "s", "f", "n").collect()}
+    assert set(got) == {(None, -7), (None, -3), (None, 2), (None, 6), ("a", 2)}
+    # NaN is in the frames that hold it, and in no later one.
+    assert got[(None, -3)].s != got[(None, -3)].s
+    assert (got[(None, 2)].s, got[(None, 2)].f, got[(None, 2)].n) == (2.0, 2.0, 1)
+    assert (got[(None, 6)].s, got[(None, 6)].f, got[(None, 6)].n) == (6.0, 2.0, 2)
+    assert (got[("a", 2)].s, got[("a", 2)].f, got[("a", 2)].n) == (None, None, 1)

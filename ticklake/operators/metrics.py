@@ -291,18 +291,7 @@ def counter_rate(
             F.col(value) - F.col("_prev")
         ),
     ).withColumn("_ms", F.unix_millis("ts"))
-    framed = ordered.sliding(
-        grown,
-        keys,
-        "_ms",
-        window_s * 1000,
-        {
-            "_sum": lambda w: F.sum("_grow").over(w),
-            "_first": lambda w: F.first("_grow").over(w),
-            "_n": lambda w: F.count("*").over(w),
-        },
-        slot=slot_s * 1000,
-    )
+    framed = ordered.sliding_sums(grown, keys, "_ms", window_s * 1000, "_grow", "_sum", "_first", "_n")
     rate = (F.col("_sum") - F.col("_first")).cast("double") / F.lit(float(window_s))
     return framed.select(*samples.columns, F.when(F.col("_n") > 1, rate).alias("rate"))
 

@@ -6,7 +6,10 @@ series) may hold a third of all rows. So the ordered axis is cut into chunks:
 * *prefix* operators (running sum, previous row) work inside a chunk and add what one small
   row per (group, chunk) carries over from the chunks before it;
 * *sliding* operators copy the rows of the last ``width`` units of a slot into the next one,
-  so every frame is complete inside its slot.
+  so every frame is complete inside its slot; a frame is added up anew for each row, so they are for
+  frames of few rows;
+* *sliding sums* cut the axis into blocks as long as the frame, so that a frame is the end of one block and the
+  start of the next: two running values, whatever the frame holds.
 
 Prefix operators read their input twice, once for the rows and once for the totals, and write
 nothing; a caller whose input costs much more than a scan may write it out first (``session.cut``).
@@ -189,3 +192,49 @@ def sliding(
     frame = Window.partitionBy(*keys, "_slot").orderBy(axis).rangeBetween(-(width - 1), 0)
     out = src.select("*", *[make(frame).alias(n) for n, make in aggregates.items()])
     return out.where(F.col("_slot") == own).drop("_slot")
+
+
+def sliding_sums(
+    df: DataFrame, keys: Sequence[str], axis: str, width: int, value: str, total: str, first: str, number: str
+) -> DataFrame:
+    """Sum and first entry of ``value`` and number of rows over ``axis`` in (x - width, x], per group.
+
+    The same as ``sliding`` with ``F.sum``, ``F.first`` and ``F.count("*")``, at a cost per row that does not depend on
+    the rows in a frame. ``axis`` is a whole number, unique per group; rows without it are left out.
+
+    With blocks of ``width`` a frame is what lies after x - width in the block before, and its own block up to x.
+    Nothing is subtracted, so sums of decimals are exact, and a NaN is in the frames that hold it only.
+    """
+    block = F.call_function("div", F.col(axis) - F.pmod(F.col(axis), F.lit(width)), F.lit(width))
+    names = df.columns
+    until = (Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy(*keys, "_block").orderBy(axis).rangeBetween(*until)
+    begun = df.where(F.col(axis).isNotNull()).select("*", block.alias("_block")).select(
+        "*",
+        F.sum(value).over(own).alias("_until"),
+        F.first(F.struct(F.col(value).alias("v"))).over(own).alias("_opens"),
+        F.count("*").over(own).alias("_rows"),
+    )
+    # Each row meets the block before as a question at x - width, which comes before a row of that very place.
+    asks = F.array(F.lit(False), F.lit(True))
+    met = begun.select("*", F.explode(asks).alias("_asks")).withColumns(
+        {
+            "_at": F.when(F.col("_asks"), F.col(axis) - F.lit(width)).otherwise(F.col(axis)),
+            "_block": F.when(F.col("_asks"), F.col("_block") - 1).otherwise(F.col("_block")),
+        }
+    )
+    later = Window.partitionBy(*keys, "_block").orderBy(F.col("_at").desc(), F.col("_asks").desc()).rangeBetween(*until)
+    row = ~F.col("_asks")
+    out = met.select(
+        "*",
+        F.sum(F.when(row, F.col(value))).over(later).alias("_after"),
+        F.last(F.when(row, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(later).alias("_starts"),
+        F.count_if(row).over(later).alias("_more"),
+    ).where("_asks")
+    both = F.coalesce(F.col("_after") + F.col("_until"), "_after", "_until")
+    return out.select(
+        *names,
+        both.alias(total),
+        F.coalesce("_starts", "_opens")["v"].alias(first),
+        (F.col("_rows") + F.col("_more")).alias(number),
+    )
