@@ -4,6 +4,8 @@ from datetime import timedelta
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from base import BASE
 from pyspark.sql import functions as F
@@ -238,3 +240,27 @@ def test_an_alert_fires_without_a_new_sample(spark, folder):
     got = [(int((r.ts - BASE).total_seconds()), r.event, r.value) for r in out.where("exchange = 'X'").orderBy("ts", "event").collect()]
     assert got == [(0, "pending", 50.0), (120, "firing", 50.0), (200, "sample", 60.0), (210, "resolved", 1.0)]
     assert out.where("exchange = 'Y'").isEmpty()
+
+
+class Counted(float):
+    """A number that counts its additions."""
+
+    added = 0
+
+    def __add__(self, other):
+        Counted.added += 1
+        return Counted(float(self) + float(other))
+
+
+def test_the_growth_of_a_window_is_not_added_up_anew():
+    n, width, Counted.added = 3000, 1000, 0
+    window = alerts.Growth(Counted(0))
+    for ts in range(n):
+        window.drop_until(ts - width)
+        window.add(ts, Counted(ts % 7))
+        if ts:
+            first = max(0, ts - width + 1)
+            assert len(window.entries) == ts - first + 1
+            assert window.after_first() == sum(t % 7 for t in range(first + 1, ts + 1))
+    assert Counted.added <= 4 * n
+    assert [ts for ts, _ in alerts.Growth(0.0, window.entries).entries] == list(range(n - width, n))

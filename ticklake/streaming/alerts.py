@@ -17,9 +17,8 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from decimal import Decimal
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +41,44 @@ def _breaks(value: Number | None, comparison: str, threshold: float) -> bool:
     return {">": value > threshold, "<": value < threshold, "==": value == threshold}[comparison]
 
 
+class Growth:
+    """The growth in a window, oldest first; its sum costs the same whatever it holds.
+
+    The older part carries sums from each entry to its end, the newer one is a running sum; so nothing is ever
+    subtracted. When the older part is used up, the newer one takes its place. The first entry is the growth up to
+    the first sample, which lies outside, and is left out of the sum.
+    """
+
+    def __init__(self, zero: Number, entries: Iterable[tuple[int, Number]] = ()):
+        self.zero, self.entries, self.sums, self.newer = zero, deque(), [], zero
+        for ts, grow in entries:
+            self.add(ts, grow)
+
+    def add(self, ts: int, grow: Number) -> None:
+        self.entries.append((ts, grow))
+        self.newer += grow
+
+    def drop_until(self, ts: int) -> None:
+        while self.entries and self.entries[0][0] <= ts:
+            self._turn()
+            self.entries.popleft()
+            self.sums.pop()
+
+    def _turn(self) -> None:
+        """Sums of all entries from each to the last, that of the oldest at the end."""
+        if not self.sums:
+            total = self.zero
+            for _, grow in reversed(self.entries):
+                total += grow
+                self.sums.append(total)
+            self.newer = self.zero
+
+    def after_first(self) -> Number:
+        self._turn()
+        older = self.sums[-2] if len(self.sums) > 1 else self.zero
+        return older + self.newer
+
+
 class AlertProcessor(StatefulProcessor):
     """All rules of one series of one metric."""
 
@@ -78,7 +115,8 @@ class AlertProcessor(StatefulProcessor):
         if not order or not mine:
             return
         counter = any(self.rules[i][2].startswith(RATE) for i in mine)
-        window = deque((ts, self._read(grow)) for ts, grow in self.grown.get()) if counter else deque()
+        stored = self.grown.get() if counter else ()
+        window = Growth(self.kind(0), ((ts, self._read(grow)) for ts, grow in stored))
         runs = {i: tuple(v) for (i,), v in self.runs.iterator()}
         before = dict(runs)
         out: list[tuple] = []
@@ -86,11 +124,10 @@ class AlertProcessor(StatefulProcessor):
             value, rate = new[ts], None
             if counter and value is not None:
                 step = self.kind(0) if value_before is None else value if value < value_before else value - value_before
-                while window and window[0][0] <= ts - self.window_s * 1000:
-                    window.popleft()
-                window.append((ts, step))
-                if len(window) > 1:
-                    rate = float(sum(g for _, g in islice(window, 1, None))) / self.window_s
+                window.drop_until(ts - self.window_s * 1000)
+                window.add(ts, step)
+                if len(window.entries) > 1:
+                    rate = float(window.after_first()) / self.window_s
             broken_off = self.max_gap_ms is not None and ts_before is not None and ts - ts_before > self.max_gap_ms
             for i in mine:
                 reading = rate if self.rules[i][2].startswith(RATE) else value
@@ -98,7 +135,7 @@ class AlertProcessor(StatefulProcessor):
             ts_before, value_before = ts, value_before if value is None else value
         self.last.update((ts_before, None if value_before is None else str(value_before)))
         if counter:
-            self.grown.put([(ts, str(grow)) for ts, grow in window])
+            self.grown.put([(ts, str(grow)) for ts, grow in window.entries])
         for i, run in runs.items():
             if before.get(i) == run:
                 continue
