@@ -264,3 +264,18 @@ def test_the_growth_of_a_window_is_not_added_up_anew():
             assert window.after_first() == sum(t % 7 for t in range(first + 1, ts + 1))
     assert Counted.added <= 4 * n
     assert [ts for ts, _ in alerts.Growth(0.0, window.entries).entries] == list(range(n - width, n))
+
+
+def test_a_batch_of_the_fifo_is_held_packed_and_judged_in_pieces(monkeypatch):
+    rows = [(i, "ab"[i % 2] if i % 5 else None, Decimal(i % 3)) for i in range(200)]
+    frame = pd.DataFrame(rows, columns=["trade_id", "ticker", "price"])
+    types = {"ticker": pa.large_string(), "price": pa.decimal128(18, 8)}
+    packed = dedup.Packed(iter([frame[:90], frame[90:]]), types)
+    assert packed.rows(np.arange(199, -1, -1)).values.tolist() == frame[::-1].values.tolist()
+    assert all(isinstance(a, pa.Array) for a in packed.held.values()) and list(packed.plain) == ["trade_id"]
+    monkeypatch.setattr(dedup, "PIECE", 16)
+    seen = []
+    job = dedup.FifoProcessor(3, ["ticker"], "trade_id", types)
+    monkeypatch.setattr(job, "_admitted", lambda pdf: seen.append(pdf) or pdf)
+    list(job.handleInputRows((0,), iter([frame[90:], frame[:90]]), None))
+    assert max(map(len, seen)) == 16 and pd.concat(seen)["trade_id"].tolist() == list(range(200))
