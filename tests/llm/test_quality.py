@@ -110,6 +110,20 @@ def test_a_bounded_number_of_labels_teaches(spark, documents, sf):
     assert sorted(twice.collect()) == sorted(few.collect())
 
 
+def test_every_label_teaches(spark):
+    # More labels than any bound that the fit had.
+    labels = spark.range(90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.labelled(labels).count() == sum(not held_out(i) for i in range(90_000))
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.5] * 40, [i * 0.37 % 1 for i in range(3000)]])
+def test_percentiles_equal_those_of_spark(spark, values):
+    levels = np.array([i / 1000 for i in range(1001)])
+    df = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(7)
+    want = df.select(F.percentile("s", F.array(*[F.lit(float(x)) for x in levels])).alias("q")).first()["q"]
+    assert quality.percentiles(df, levels).tolist() == want
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     schema = "doc_id long, quality int, score double, text string"
     some = [(0, 1), (8, 1), (9, 1), (11, 0), (12, 0), (-7, 0), (2, 0), (3, None), (None, 1), (5, 1), (5, 1), (6, 7), (99, 0)]

@@ -9,14 +9,13 @@ Features of a text (``features``): rates of pairs of neighbouring character clas
 of hashed character trigrams, all as square roots, and ratios of words and lines (repeats, capitals, marks
 at the end, lengths).
 
-Fitting: labels of at most about ``FIT_ROWS`` documents (those whose hash of the id is smallest; the bound is
-a parameter) are sent to all tasks, so texts are never shuffled. Their features are dealt to blocks of
-``BLOCK`` rows; in a block every row of the commoner label meets ``PARTNERS`` rows of the other, in turn, so
+Fitting: every labelled document that is not held out teaches (a bound is a parameter, for trials). Few labels are sent
+to all tasks, many meet the documents in a join. The features are dealt to blocks of ``BLOCK`` rows; in a block every row of the commoner label meets ``PARTNERS`` rows of the other, in turn, so
 pairs grow with the rows. Each Newton step is one job over the blocks: gradients and curvatures are added
 up by Spark, and the driver sees sums of a fixed number of features.
 
 Threshold: a quantile of the scores of the fit rows, the level being the one that tells the labels apart best
-(the middle one of equals). A document's score is sigmoid(s - threshold), so 0.5 is the threshold.
+(the middle one of equals); the quantiles are those of all fit rows, read off their order by ranges. A document's score is sigmoid(s - threshold), so 0.5 is the threshold.
 
 Edge cases: a null text counts as empty and is scored like any other. Labels other than 0 and 1, null labels
 and null ids teach nothing; an id labelled more than once has the rounded mean; documents that share an id teach one
@@ -33,15 +32,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklake.llm.langid import held_out
 from ticklake.llm.textblocks import LOWERED, blocks, mix64, span_hashes, words_of_texts
 from ticklake.session import cut
 
-#: Labelled documents that teach, about; rows of a block; partners of a row; penalty; Newton steps.
-FIT_ROWS, BLOCK, PARTNERS = 50_000, 512, 6
+#: Rows of a block; partners of a row; penalty; Newton steps.
+BLOCK, PARTNERS = 512, 6
 PENALTY, STEPS, SETTLED = 1e-3, 12, 1e-6
 #: Levels of quantiles tried as threshold.
 LEVELS = 1000
@@ -281,11 +280,39 @@ def best_level(good: np.ndarray, bad: np.ndarray) -> int:
     return int(best[len(best) // 2])
 
 
+def percentiles(scored: DataFrame, levels: np.ndarray) -> np.ndarray:
+    """The same as ``percentile`` of the column ``s``, which is never empty, without a task that holds all its values.
+
+    Rows are sorted by ranges; the counts of the ranges say which of them hold the places asked for.
+    """
+    ranges = cut(scored.select("s").repartitionByRange("s").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = {r["part"]: r["count"] for r in ranges.groupBy("part").count().collect()}  # one row per range
+    before, n = {}, 0
+    for part in sorted(counts):
+        before[part], n = n, n + counts[part]
+    at = (n - 1) * levels
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("part")]
+    place = (offset + F.row_number().over(Window.partitionBy("part").orderBy("s")) - 1).alias("place")
+    wanted = F.col("place").isin(np.unique([low, high]).tolist())
+    value = dict(map(tuple, ranges.select(place, "s").where(wanted).collect()))  # two rows per level
+    below, above = (np.array([value[i] for i in side.tolist()]) for side in (low, high))
+    between = (high - at) * below + (at - low) * above
+    return np.where((low == high) | (below == above), below, between)
+
+
+def _run_of(edges: np.ndarray):
+    @F.arrow_udf("int")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, s.to_numpy(zero_copy_only=False), side="right") - 1, pa.int32())
+
+    return run
+
+
 def _threshold(scored: DataFrame) -> tuple[float, float]:
     """(threshold, its level) from (good, s): a quantile, moved to the middle of the gap it lies in."""
-    levels = F.array(*[F.lit(i / LEVELS) for i in range(LEVELS + 1)])
-    edges = np.unique(scored.select(F.percentile("s", levels).alias("q")).first()["q"])
-    run = F.size(F.filter(F.lit(edges.tolist()), lambda q: q <= F.col("s"))) - 1
+    edges = np.unique(percentiles(scored, np.array([i / LEVELS for i in range(LEVELS + 1)])))
+    run = _run_of(edges)(F.col("s"))
     good, bad = np.zeros(len(edges), dtype=np.int64), np.zeros(len(edges), dtype=np.int64)
     for r in scored.groupBy(run.alias("run"), "good").count().collect():  # at most two per level
         (good if r["good"] == 1 else bad)[r["run"]] = r["count"]
@@ -299,21 +326,21 @@ def _threshold(scored: DataFrame) -> tuple[float, float]:
     return (low + high) / 2, below / n
 
 
-def labelled(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, good) of the labels that teach: not held out, about ``fit_rows`` of them at most."""
+def labelled(labels: DataFrame, fit_rows: int | None = None) -> DataFrame:
+    """(doc_id, good) of the labels that teach: all that are not held out, or about ``fit_rows`` of them at most."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("good"))
-    n = one.count()
-    if n <= fit_rows:
+    n = 0 if fit_rows is None else one.count()
+    if fit_rows is None or n <= fit_rows:
         return one
     part = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)) < F.lit(int(fit_rows / n * (1 << 40)))
     return one.where(part)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int | None = None) -> Model:
     """Learn from (doc_id, text) and (doc_id, quality)."""
-    known = cut(labelled(labels, fit_rows), "labels")  # bounded by fit_rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "good", "text")
+    known = cut(labelled(labels, fit_rows), "labels")
+    texts = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "good", "text")
     made = texts.mapInArrow(_featured, "doc_id long, good int, x binary")
     rows = cut(made.groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).select("doc_id", "r.good", "r.x"), "features")
     counts = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
@@ -345,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         weights = weights - np.linalg.solve(curvature, gradient)
     weights = weights / scale
 
-    scored = cut(rows.select("good", _strengths(weights)(F.col("x")).alias("s")), "strengths")  # bounded by fit_rows
+    scored = cut(rows.select("good", _strengths(weights)(F.col("x")).alias("s")), "strengths")
     threshold, level = _threshold(scored)
     return Model(weights, threshold, level=level)
 
@@ -360,7 +387,7 @@ def score(text: Column, model: Model) -> Column:
     return judge(text)
 
 
-def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, fit_rows: int | None = None) -> DataFrame:
     """Documents (doc_id, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted."""
     model = train(docs, labels, fit_rows)
     judged = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model).alias("score"))
