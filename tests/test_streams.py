@@ -2,11 +2,13 @@ from datetime import timedelta
 
 import pytest
 from base import BASE
+from pyspark.sql import functions as F
 from test_dedup import stream as random_ticks
 from test_sources import trade
 
 from ticklake.operators import candles, dedup, fifo
 from ticklake.files import order_by_name
+from ticklake.plans import q_streaming
 from ticklake.sources.tables import read_ticks
 from ticklake.streaming import candles as sc
 from ticklake.streaming import dedup as sd
@@ -196,3 +198,17 @@ def test_open_candles_after_the_watermark(make_ticks):
     closed = candles.ohlcv(ticks, 60).where("false")
     rest = sc.open_candles(ticks, closed, 60, BASE + timedelta(minutes=5, seconds=30))
     assert {r.start_time for r in rest.collect()} == {BASE + timedelta(minutes=i) for i in (5, 6, 7)}
+
+
+def test_a_large_batch_of_messages_is_several_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(q_streaming, "FILE_ROWS", 10)
+    messages = spark.range(240).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("value"))
+    got = []
+
+    def sink(batch, n):
+        got.append((sorted(r.seq for r in batch.collect()), batch.select(F.input_file_name()).distinct().count()))
+
+    stream = q_streaming.message_batches(spark, messages, "several-files", 4).writeStream.foreachBatch(sink)
+    stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(got) == 4 and all(files > 1 for _, files in got)
+    assert [seq for rows, _ in got for seq in rows] == list(range(240))

@@ -11,7 +11,7 @@ from ticklake.plans.q_reads import CANDLE_OUT, CANDLE_SQL
 from ticklake.plans.q_windows import FIFO
 from ticklake.plans.registry import query
 from ticklake.session import scratch
-from ticklake.files import order_by_name
+from ticklake.files import names, order_by_name
 from ticklake.sources import messages
 from ticklake.sources.tables import read_candles, read_ticks
 from ticklake.streaming import candles as sc
@@ -30,6 +30,22 @@ def split_files(spark, df, label, order, files=4):
     return path
 
 
+#: Messages of a file, about.
+FILE_ROWS = 250_000
+
+
+def message_batches(spark, messages, label, batches):
+    """Messages that come in so many batches, in order, each of as many files as its rows fill.
+
+    A file is sorted and written by one task, and read by one, so a batch of one file is no faster on more cores.
+    """
+    share = max(1, -(-messages.count() // (batches * FILE_ROWS)))
+    path = split_files(spark, messages, label, "seq", batches * share)
+    # Ranges are drawn from a sample, and an empty one gives no file.
+    share = max(1, -(-sum(n.endswith(".parquet") for n in names(spark, path)) // batches))
+    return message_stream(spark, path, files_per_trigger=share)
+
+
 def event_stream(spark, d, label):
     path = split_files(spark, v.table(spark, d, "events"), label, "event_id")
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
@@ -44,8 +60,7 @@ def arrival_stream(spark, d, label):
 
 
 def message_files(spark, d, label):
-    path = split_files(spark, v.messages(spark, d), label, "seq")
-    return message_stream(spark, path, files_per_trigger=1)
+    return message_batches(spark, v.messages(spark, d), label, 4)
 
 
 def drain(stream, spark, label, mode="append"):
@@ -208,9 +223,9 @@ def _two_feeds(spark, d, label):
     base = scratch(spark, label)
     for half in (0, 1, 1):
         part = v.messages(spark, d).where(F.col("seq") % 2 == half)
-        src = split_files(spark, part, f"{label}-in", "seq", 2)
+        src = message_batches(spark, part, f"{label}-in", 2)
         job = Ingest("Binance", base, 3600)
-        job.start(message_stream(spark, src, files_per_trigger=1), scratch(spark, f"{label}-cp")).awaitTermination()
+        job.start(src, scratch(spark, f"{label}-cp")).awaitTermination()
     return job
 
 
