@@ -116,6 +116,50 @@ def test_every_label_teaches(spark):
     assert quality.labelled(labels).count() == sum(not held_out(i) for i in range(90_000))
 
 
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_texts_are_not_shuffled(spark, documents, sf, monkeypatch, sent):
+    # With labels too many for a broadcast, texts went through the shuffle of the join.
+    plans = {}
+
+    def cut(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    write = quality.cut
+    monkeypatch.setattr(quality, "cut", cut)
+    monkeypatch.setattr(quality, "SENT", sent, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plans["features"].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    made = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    end = next((i for i in range(made + 1, len(lines)) if depth[i] <= depth[made]), len(lines))
+    assert any("Exchange hashpartitioning" in line for line in lines[:made])
+    assert not any("Exchange hashpartitioning" in line or "SortMergeJoin" in line for line in lines[made:end])
+
+
+def test_many_labels_teach_as_few_do(spark, monkeypatch):
+    texts = [("Good words, well put. " * (i % 5 + 1) if i % 2 else "BAD!! x|y|z " * (i % 7 + 1)) + str(i) for i in range(60)]
+    # Ids that come twice, with other texts and as copies, no id, no text, an id without label.
+    rows = [*enumerate(texts), *[(i, f"Another text {i}.") for i in range(20)], *list(enumerate(texts))[10:30], (None, "None."), (60, None), (61, "?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = [*[(i, i % 2) for i in range(60)], (3, 1), (4, 1), (7, None), (None, 1), (60, 0), (70, 1)]
+    known = quality.labelled(spark.createDataFrame(marks, "doc_id long, quality int"))
+    good = {r.doc_id: r.good for r in known.collect()}
+    want = {}
+    for (i, _), x in zip(rows, rows_of([t for _, t in rows])):
+        if i in good:
+            want[i] = min(want.get(i, x.tobytes()), x.tobytes())
+    for sent in (0, 10_000):
+        monkeypatch.setattr(quality, "SENT", sent)
+        got = quality.taught(docs, known).collect()
+        assert sorted((r.doc_id, r.good, bytes(r.x)) for r in got) == sorted((i, good[i], x) for i, x in want.items())
+
+
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.5] * 40, [i * 0.37 % 1 for i in range(3000)]])
 def test_percentiles_equal_those_of_spark(spark, values):
     levels = np.array([i / 1000 for i in range(1001)])

@@ -9,8 +9,9 @@ Features of a text (``features``): rates of pairs of neighbouring character clas
 of hashed character trigrams, all as square roots, and ratios of words and lines (repeats, capitals, marks
 at the end, lengths).
 
-Fitting: every labelled document that is not held out teaches (a bound is a parameter, for trials). Few labels are sent
-to all tasks, many meet the documents in a join. The features are dealt to blocks of ``BLOCK`` rows; in a block every row of the commoner label meets ``PARTNERS`` rows of the other, in turn, so
+Fitting: every labelled document that is not held out teaches (a bound is a parameter, for trials). Up to ``SENT`` labels are
+sent to all tasks, which leave out other documents; with more, the features of all documents that are not held out meet the
+labels in a join. Texts are not shuffled. The features are dealt to blocks of ``BLOCK`` rows; in a block every row of the commoner label meets ``PARTNERS`` rows of the other, in turn, so
 pairs grow with the rows. Each Newton step is one job over the blocks: gradients and curvatures are added
 up by Spark, and the driver sees sums of a fixed number of features.
 
@@ -44,6 +45,8 @@ BLOCK, PARTNERS = 512, 6
 PENALTY, STEPS, SETTLED = 1e-3, 12, 1e-6
 #: Levels of quantiles tried as threshold.
 LEVELS = 1000
+#: Labels that are sent to all tasks, at most.
+SENT = 10_000
 
 GRAMS = 128
 MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -179,11 +182,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, raw, starts in blocks(batch.column(2)):
+        for first, raw, starts in blocks(batch.column(1)):
             n = len(starts) - 1
             rows = features(raw, starts).astype("<f4")
-            ids, good = batch.column(0).slice(first, n), batch.column(1).slice(first, n)
-            yield pa.RecordBatch.from_arrays([ids, good, pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "good", "x"])
+            ids = batch.column(0).slice(first, n)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "x"])
 
 
 def pairs(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,12 +340,22 @@ def labelled(labels: DataFrame, fit_rows: int | None = None) -> DataFrame:
     return one.where(part)
 
 
+def taught(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, good, x) of the documents whose label is among ``known`` (doc_id, good); copies of an id are one row.
+
+    Features are made where the texts are read, so what is dealt by id has a fixed width.
+    """
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    if known.count() <= SENT:
+        texts = texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    made = texts.mapInArrow(_featured, "doc_id long, x binary")
+    return made.groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id").select("doc_id", "good", "x")
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int | None = None) -> Model:
     """Learn from (doc_id, text) and (doc_id, quality)."""
     known = cut(labelled(labels, fit_rows), "labels")
-    texts = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "good", "text")
-    made = texts.mapInArrow(_featured, "doc_id long, good int, x binary")
-    rows = cut(made.groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).select("doc_id", "r.good", "r.x"), "features")
+    rows = cut(taught(docs, known), "features")
     counts = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     if len(counts) < 2:
